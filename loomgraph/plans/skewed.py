@@ -22,7 +22,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _per_key_sql(key: str) -> str:
     return f"""
-SELECT {key}, count(*) AS n_rows, count_if(crosscheck = 'supported') AS n_supported, epoch_us(max(generated_at)) AS last_generated_us,
+SELECT {key}, count(*) AS n_rows, count(*) FILTER (WHERE crosscheck = 'supported') AS n_supported, epoch_us(max(generated_at)) AS last_generated_us,
   count(DISTINCT repo) AS n_repos, count(DISTINCT rule_id) AS n_rules FROM rules GROUP BY {key}"""
 
 
