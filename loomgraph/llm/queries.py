@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import load
-from . import bpe, components, packing, splitting, survivors
+from . import bpe, components, packing, similarity, splitting, survivors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,6 +25,35 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _rule_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
+    rules = load(spark, sf_dir, "rules").where(F.regexp_like("requirement", F.lit(r"\S")))
+    return rules, F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("requirement"))
+
+
+@query(r"""
+WITH t AS (
+  SELECT DISTINCT rule_id, list_sort(list_distinct(list_filter(
+    regexp_extract_all(lower(coalesce(title, '') || ' ' || requirement), '([\p{L}\p{N}]+)', 1), lambda w: length(w) >= 3))) AS ws
+  FROM rules WHERE regexp_matches(requirement, '\S')),
+s AS (SELECT rule_id, ws, len(ws) AS n FROM t WHERE len(ws) > 0),
+w AS (SELECT rule_id, n, unnest(ws) AS word FROM s),
+i AS (
+  SELECT a.rule_id AS rule_a, b.rule_id AS rule_b, a.n AS na, b.n AS nb, count(*) AS shared
+  FROM w a JOIN w b ON a.word = b.word AND a.rule_id < b.rule_id GROUP BY ALL)
+SELECT rule_a, rule_b FROM i WHERE shared / (na + nb - shared) >= 0.8""")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of rules whose word sets have a Jaccard similarity of 0.8 or more."""
+    rules, text = _rule_texts(spark, sf_dir)
+    return similarity.similar_pairs(rules, "rule_id", text).select(F.col("a").alias("rule_a"), F.col("b").alias("rule_b"))
+
+
+@query()
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each rule with its class of equal word sets and the number of other classes near it."""
+    rules, text = _rule_texts(spark, sf_dir)
+    return similarity.class_links(rules, "rule_id", text)
+
+
 @query("SELECT DISTINCT id FROM chunks WHERE length(content) > 8000")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of the chunks that the splitter cuts: those with a second piece."""
