@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import load
-from . import bpe, components, packing, similarity, splitting, survivors
+from . import bpe, components, garbled, packing, similarity, splitting, survivors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -128,6 +128,18 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(load(spark, sf_dir, "documents"))
 
 
+@query()
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with garbled text."""
+    return garbled.find(load(spark, sf_dir, "documents")).select("doc_id")
+
+
+@query()
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The original text of garbled documents, where it can be restored, and the chains that garbled it."""
+    return garbled.find(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
