@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import load
-from . import bpe, components, garbled, packing, similarity, splitting, survivors
+from . import bpe, components, garbled, packing, similarity, splitting, survivors, syntax
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -116,6 +116,28 @@ def p6_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return choices.select(F.hex("group").alias("group_key"), "field", "value", F.round("support", 4).alias("support"), "votes")
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.invalid_files(load(spark, sf_dir, "chunks"), load(spark, sf_dir, "known_languages"))
+
+
+@query()
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are not valid in the language of their extension."""
+    return _judged(spark, sf_dir).where("reason is not null").select("file_id")
+
+
+@query()
+def p7_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with each invalid file."""
+    return _judged(spark, sf_dir).where("reason is not null")
+
+
+@query()
+def p7_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of invalid files by repository and language."""
+    return syntax.rates(_judged(spark, sf_dir))
+
+
 @query()
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of each document."""
