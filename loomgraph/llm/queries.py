@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import load
-from . import bpe, components, garbled, packing, similarity, splitting, survivors, syntax
+from . import bpe, components, garbled, packing, provenance, similarity, splitting, survivors, syntax
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,6 +82,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.components(pairs).select(F.col("id").alias("rule_id"), "group_id")
 
 
+@query()
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are generated, minified, third-party or data kept as code."""
+    return provenance.kinds(load(spark, sf_dir, "chunks")).select("file_id")
+
+
+@query()
+def p5_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kind of each file that isn't hand-written."""
+    return provenance.kinds(load(spark, sf_dir, "chunks"))
+
+
 @query(r"""
 WITH r AS (
   SELECT *, trim(regexp_replace(lower(requirement), '[ \t\r\n]+', ' ', 'g')) AS txt FROM rules),
