@@ -37,7 +37,7 @@ from ..durable import Cut, cut
 #: The threshold as a fraction of integers, so that all bounds are exact.
 THRESHOLD = (4, 5)
 #: Regions expected to hold more sets than this are divided.
-REGION = 48
+REGION = 128
 #: Words on more than one of so many sets are listed with their frequency (at most so many times the mean set size).
 LISTED = 2000
 
