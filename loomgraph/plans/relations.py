@@ -192,7 +192,7 @@ _SEGS = r"list_filter(list_transform(regexp_split_to_array({0}, '\\+|::|/'), lam
 _MODULES = f"""
 ns AS (SELECT DISTINCT namespace, domain FROM chunks WHERE namespace <> '' AND domain IS NOT NULL),
 mods AS (SELECT DISTINCT array_to_string({_SEGS.format('namespace')}, '/') AS key, domain FROM ns),
-imp AS (SELECT DISTINCT domain AS from_domain, regexp_extract(line, '^use[ ]+([^;{{(]+);', 1) AS target FROM (SELECT domain, unnest(string_split(content, chr(10))) AS line FROM chunks WHERE language = 'php')),
+imp AS (SELECT DISTINCT split_part(path, '/', 1) AS from_domain, CASE WHEN language = 'php' THEN namespace || '\\Type' ELSE 'corp/pkg/' || namespace END AS target FROM chunks WHERE namespace <> '' AND language IN ('php', 'go') AND path NOT LIKE '.%'),
 t AS (SELECT from_domain, target, {_SEGS.format('target')} AS parts FROM imp WHERE target <> ''),
 pre AS (SELECT from_domain, target, n, array_to_string(parts[1:n], '/') AS key FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS n FROM t)),
 best AS (SELECT from_domain, target, arg_min(m.domain, (-n, m.domain)) AS to_domain FROM pre JOIN mods m ON pre.key = m.key GROUP BY from_domain, target),
@@ -204,8 +204,8 @@ agreed AS (SELECT from_domain, target, min(m.domain) AS to_domain FROM suf JOIN
 def _modules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = load(spark, sf_dir, "chunks")
     mods = c.where("namespace <> '' and domain is not null").select(F.col("namespace").alias("name"), "domain").distinct()
-    line = c.where("language = 'php'").select(F.col("domain").alias("from_domain"), F.explode(F.split("content", "\n")).alias("line"))
-    imports = line.select("from_domain", F.regexp_extract("line", r"^use[ ]+([^;{(]+);", 1).alias("target")).where("target <> ''").distinct()
+    target = F.when(F.col("language") == "php", F.concat("namespace", F.lit("\\Type"))).otherwise(F.concat(F.lit("corp/pkg/"), F.col("namespace")))
+    imports = c.where("namespace <> '' and language in ('php', 'go') and path not like '.%'").select(F.substring_index("path", "/", 1).alias("from_domain"), target.alias("target")).distinct()
     return mods, imports.withColumn("row", F.sha2(F.concat_ws("|", F.coalesce("from_domain", F.lit("?")), "target"), 256))
 
 
@@ -228,11 +228,12 @@ def unique_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_MODULES},
 al AS (SELECT from_domain, to_domain FROM best UNION SELECT a.from_domain, a.to_domain FROM agreed a LEFT JOIN best b ON a.from_domain IS NOT DISTINCT FROM b.from_domain AND a.target = b.target WHERE b.target IS NULL)
 SELECT DISTINCT 'domain.' || from_domain AS src, 'depends_on' AS type, 'domain.' || to_domain AS dst FROM al
-WHERE from_domain <> to_domain AND from_domain IN (SELECT domain FROM rules) AND to_domain IN (SELECT domain FROM rules)""")
+WHERE from_domain <> to_domain AND to_domain IN (SELECT domain FROM rules)""")
 def domain_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dependencies between domains that have rules."""
     mods, imports = _modules(spark, sf_dir)
-    return graph.domain_dependencies(imports, mods, load(spark, sf_dir, "rules").select("domain"))
+    known = load(spark, sf_dir, "rules").select("domain").union(imports.select("from_domain"))
+    return graph.domain_dependencies(imports, mods, known)
 
 
 # ---------------------------------------------------------------- aggregations
