@@ -21,8 +21,8 @@ def _lines(start: str = "start_line", end: str = "end_line") -> Column:
 
 
 def _fact(df: DataFrame, kind: str, key: Column, attrs: dict[str, Column]) -> DataFrame:
-    pairs = F.array(*(F.struct(F.lit(k), v) for k, v in attrs.items()))
-    some = F.map_from_entries(F.filter(pairs, lambda p: F.coalesce(p["col2"] != "", F.lit(False))))
+    pairs = F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in attrs.items()))
+    some = F.map_from_entries(F.filter(pairs, lambda p: F.coalesce(p["v"] != "", F.lit(False))))
     return df.select(F.lit(kind).alias("kind"), key.alias("id"), some.alias("attrs"), F.struct("path", _lines().alias("lines")).alias("source"), F.lit("tree-sitter").alias("origin"), F.lit("static").alias("certainty"), F.struct("path", "start_line", "pos").alias("pos"))
 
 
