@@ -39,9 +39,9 @@ def cut_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
         if most >= n:
             pieces.append((begin, n))
             return pieces
-        floor = max(reached, begin + limit // 2)
+        floor = max(reached + 1, begin + limit // 2)
         k = bisect_right(strong, most) - 1
-        end = strong[k] if k >= 0 and strong[k] > floor else 0
+        end = strong[k] if k >= 0 and strong[k] >= floor else 0
         if not end:
             k = bisect_right(lines, most) - 1
             end = lines[k] if lines[k] > reached else 0
@@ -49,14 +49,15 @@ def cut_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
             if gaps is None:
                 gaps = [m.start() for m in _GAP.finditer(text)]
             k = bisect_right(gaps, most) - 1
-            end = gaps[k] if k >= 0 and gaps[k] > max(reached, begin + limit // 2) else most
+            end = gaps[k] if k >= 0 and gaps[k] >= floor else most
         pieces.append((begin, end))
+        later = bisect_right(lines, begin)
         reached, begin = end, end
         k = bisect_left(lines, end)
         if k < len(lines) and lines[k] == end:  # on a line end: step back by whole lines that leave room for the next line
             after = lines[k + 1] if k + 1 < len(lines) else n
             back = bisect_left(lines, after - limit)
-            begin = lines[min(k, max(back, k - overlap))]
+            begin = lines[min(k, max(back, k - overlap, later))]
 
 
 def split(items: DataFrame, key: str = "id", text: str = "content", start: str = "start_line", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:

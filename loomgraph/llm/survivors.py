@@ -1,8 +1,9 @@
 """Best representative of each duplicate group by iterative truth discovery.
 
-Each row of a group claims a value for each field. In a round, the claims of a group are weighed and the best-supported
-value of each field is chosen; then a source's reliability is estimated as the (smoothed) share of its claims that were
-chosen, and the votes are weighed anew, until no reliability moves by more than a tolerance. A field may have an order
+Each row of a group claims a value for each field. In a round, the votes of a group's claims are weighed by their
+sources' reliabilities, which gives each value its support; then a source's reliability is estimated as the (smoothed)
+mean support of its claims, and the votes are weighed anew, until no reliability moves by more than a tolerance. The
+value with the highest support is chosen. A field may have an order
 of preference that goes before the votes (completeness, recency); votes decide among claims that this order leaves
 equal. Where the order is total, votes can't change a choice, the first round is the fixed point and no other is run.
 
@@ -88,33 +89,43 @@ def best_by_order(claims: DataFrame) -> DataFrame:
 def discover(claims: DataFrame, group: str = "g", field: str = "field", value: str = "value", source: str = "source", tier: str = "tier", tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(choices (group, field, value, support, votes), reliabilities (source, reliability, n_claims)).
 
-    claims: (group, field, value, source, tier); only claims of a group's and field's highest tier vote. Ties of
-    support go to the smaller value.
+    claims: (group, field, value, source, tier); only claims of a group's and field's highest tier vote. A value's
+    support is its probability given the sources' reliabilities: each vote weighs log(r F / (1 - r)) among F rivals. A
+    source's reliability is the smoothed mean support of its contested claims; hard choices instead of supports would
+    let one source outvote all others in the end. Ties go to the smaller value. Groups that agree need no rounds.
     """
     c = claims.select(F.col(group).alias("g"), F.col(field).alias("f"), F.col(value).alias("v"), F.col(source).alias("s"), F.col(tier).alias("t"))
     top = c.groupBy("g", "f").agg(F.max("t").alias("t"))
     votes = cut(c.groupBy("g", "f", "v", "s", "t").agg(F.count("*").alias("n")).join(top, ["g", "f", "t"]).drop("t"))
-    trust = cut(votes.df.select("s").distinct().withColumn("w", F.lit(0.8)))
+    values = votes.df.groupBy("g", "f", "v").agg(F.sum("n").alias("votes"))
+    rivals = values.groupBy("g", "f").agg((F.count("*") - 1).alias("rivals"), F.min("v").alias("only"), F.sum("votes").alias("votes"))
+    held = cut(rivals)
+    contested = cut(votes.df.join(held.df.where("rivals > 0").select("g", "f", "rivals"), ["g", "f"]))
+    trust = cut(contested.df.select("s").distinct().withColumn("w", F.lit(0.8)))
     while True:
-        weighed = votes.df.join(trust.df, "s").groupBy("g", "f", "v").agg(F.sum(-F.log1p(-F.col("w"))).alias("support"), F.sum("n").alias("votes"))
-        chosen = cut(weighed.groupBy("g", "f").agg(F.min_by(F.struct("v", "support", "votes"), F.struct(-F.col("support"), "v")).alias("x"), F.count("*").alias("k")).select("g", "f", "x.*", "k"))
-        agreed = votes.df.join(chosen.df.select("g", "f", F.col("v").alias("c"), "k"), ["g", "f"]).where("k > 1")
-        new = cut(
-            trust.df.join(agreed.groupBy("s").agg(F.sum(F.when(F.col("v").eqNullSafe(F.col("c")), 1.0).otherwise(0.0)).alias("hit"), F.count("*").alias("n")), "s", "left").select(
-                "s", ((F.coalesce("hit", F.lit(0.0)) + 4.0) / (F.coalesce("n", F.lit(0)) + 5.0)).alias("new"), "w", F.coalesce("n", F.lit(0)).alias("n")
-            )
-        )
+        weight = F.log(F.col("w") * F.col("rivals") / (1 - F.col("w")))
+        weighed = cut(contested.df.join(trust.df, "s").groupBy("g", "f", "v").agg(F.sum(weight).alias("x"), F.sum("n").alias("votes")))
+        scale = weighed.df.groupBy("g", "f").agg(F.max("x").alias("m"))
+        shifted = weighed.df.join(scale, ["g", "f"]).withColumn("e", F.exp(F.col("x") - F.col("m")))
+        total = shifted.groupBy("g", "f").agg(F.sum("e").alias("z"))
+        supports = cut(shifted.join(total, ["g", "f"]).select("g", "f", "v", (F.col("e") / F.col("z")).alias("support"), "votes"))
+        mean = contested.df.join(supports.df.select("g", "f", "v", "support"), ["g", "f", "v"]).groupBy("s").agg(F.sum("support").alias("hit"), F.count("*").alias("n"))
+        new = cut(trust.df.join(mean, "s").select("s", ((F.col("hit") + 4.0) / (F.col("n") + 5.0)).alias("new"), "w", "n"))
         moved = new.df.agg(F.max(F.abs(F.col("new") - F.col("w")))).collect()[0][0]
-        trust.drop()
+        for x in (trust, weighed):
+            x.drop()
         trust = cut(new.df.select("s", F.col("new").alias("w")))
         rounds -= 1
         if moved is None or moved <= tolerance or rounds <= 0:
-            counts = new.df.select(F.col("s").alias("source"), F.col("new").alias("reliability"), F.col("n").alias("n_claims"))
-            votes.drop()
-            trust.drop()
-            return chosen.df.select(F.col("g").alias("group"), F.col("f").alias("field"), F.col("v").alias("value"), "support", "votes"), counts
+            break
         new.drop()
-        chosen.drop()
+        supports.drop()
+    best = supports.df.groupBy("g", "f").agg(F.min_by(F.struct("v", "support", "votes"), F.struct(-F.col("support"), "v")).alias("x")).select("g", "f", "x.*")
+    agreed = held.df.where("rivals = 0").select("g", "f", F.col("only").alias("v"), F.lit(1.0).alias("support"), "votes")
+    for x in (votes, contested, trust):
+        x.drop()
+    choices = best.unionByName(agreed).select(F.col("g").alias("group"), F.col("f").alias("field"), F.col("v").alias("value"), "support", "votes")
+    return choices, new.df.select(F.col("s").alias("source"), F.col("new").alias("reliability"), F.col("n").alias("n_claims"))
 
 
 def field_claims(rules: DataFrame) -> DataFrame:

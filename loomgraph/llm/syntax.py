@@ -94,7 +94,7 @@ _ID = r"[A-Za-z_\u0080-
 _TOKENS = {
     "javascript": r"(?P<w>[A-Za-z_$\u0080-￿#][\w$]*)|(?P<d>\d[\w.]*|\.\d\w*)|(?P<s>\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*')|(?P<c>//[^\n]*|/\*[\s\S]*?\*/)|(?P<l>\n)|(?P<b>[(){}\[\]])|(?P<p>=>|\.\.\.|\?\.|&&|\|\||\?\?|[-+]{2}|[=!]==?|[<>]=|[-+*/%&|^]=|[^\s\w])",
     "go": rf"(?P<w>{_ID})|(?P<d>\d[\w.]*|\.\d\w*)|(?P<s>\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`|'(?:[^'\\\n]|\\(?:[0-7]{{3}}|x[0-9a-fA-F]{{2}}|u[0-9a-fA-F]{{4}}|U[0-9a-fA-F]{{8}}|[^\n]))')|(?P<c>//[^\n]*|/\*[\s\S]*?\*/)|(?P<l>\n)|(?P<b>[(){{}}\[\]])|(?P<p>:=|\.\.\.|<-|&&|\|\||[-+]{{2}}|[=!<>]=|[^\s\w])",
-    "rust": rf"(?P<s>b?\"(?:[^\"\\]|\\[\s\S])*\"|b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{{2}}|u\{{[0-9a-fA-F_]+\}}|[^\n]))'|(?:br|r|cr)(?P<h>#*)\"[\s\S]*?\"(?P=h))|(?P<w>r?\#?{_ID})|(?P<d>\d(?:[\w]|\.\d)*)|(?P<c>//[^\n]*|/\*)|(?P<l>\n)|(?P<b>[(){{}}\[\]])|(?P<t>'{_ID})|(?P<p>::|->|=>|\.\.[.=]?|&&|\|\||[=!<>]=|[^\s\w])",
+    "rust": rf"(?P<s>b?\"(?:[^\"\\]|\\[\s\S])*\"|b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{{2}}|u\{{[0-9a-fA-F_]+\}}|[^\n]))'|(?:br|r|cr)(?P<h>#*)\"[\s\S]*?\"(?P=h))|(?P<w>(?:r\#)?{_ID})|(?P<d>\d(?:[\w]|\.\d)*)|(?P<c>//[^\n]*|/\*)|(?P<l>\n)|(?P<b>[(){{}}\[\]])|(?P<t>'{_ID})|(?P<p>::|->|=>|\.\.[.=]?|&&|\|\||[=!<>]=|[^\s\w])",
     "php": rf"(?P<s>\"(?:[^\"\\]|\\[\s\S])*\"|'(?:[^'\\]|\\[\s\S])*'|`[^`]*`)|(?P<h><<<[ \t]*(?P<q>[\"']?)(?P<m>\w+)(?P=q)\n)|(?P<v>\${_ID})|(?P<w>\\?{_ID}(?:\\{_ID})*)|(?P<d>\d[\w.]*|\.\d\w*)|(?P<c>//(?:(?!\?>)[^\n])*|\#(?!\[)(?:(?!\?>)[^\n])*|/\*[\s\S]*?\*/)|(?P<l>\n)|(?P<b>[(){{}}\[\]])|(?P<p>\?>|\?->|->|=>|::|\.\.\.|&&|\|\||\?\?|[-+]{{2}}|[=!]==?|[<>]=|[^\s\w])",
 }
 _MATCH = {family: re.compile(p).match for family, p in _TOKENS.items()}
@@ -164,6 +164,8 @@ class _Lexer:
         questions = [0]
         error = ""
         tight = family in ("rust", "php")
+        members = ("->", "?->", "::") if family == "php" else (".", "?.")
+        free = 0  # Rust: the bracket that opened a macro's own tokens
         while at < n:
             space = _SPACE.match(text, at)
             if space:
@@ -203,8 +205,8 @@ class _Lexer:
                 error = "a conflict marker"
                 break
             if kind == "w":
-                bare = token if value not in (".", "?.", "->", "?->", "::") or (family == "rust" and value == "::") else ""
-                if bare in words and not (family == "php" and value in ("->", "::", "?->")):
+                bare = "" if value in members else token
+                if bare in words :
                     now = KEYWORD
                 elif family == "php" and bare.lower() in words:
                     now, bare = KEYWORD, bare.lower()
@@ -235,11 +237,15 @@ class _Lexer:
                             kinds.append("type" if token == "{" and value in ("struct", "interface") else "import" if token == "(" and value in ("import", "const", "var", "type") else "args" if token == "(" else "block" if token == "{" and prev != NAME or token == "{" and before == ")" else "other")
                         stack.append(token)
                         questions.append(0)
+                        if family == "rust" and value == "!" and not free and text[start - 1 : start] in ("!", " "):
+                            free = len(stack)
                     else:
-                        if value in _NO_OPERAND and value not in (",", "(", "[", "...", "=>") and not (value in "*&" or (value == "|" and family == "rust") or (value == "=" and family == "rust") or (value in "?" )):
+                        if value in _NO_OPERAND and value not in (",", "(", "[", "...", "=>") and not (value in "*&" or (value == "|" and family == "rust") or (value in ("=", "+", "==", "||", "&&") and family == "rust") or (value in "?" )):
                             error = f"{value} before {token}"
                             break
                         if stack and stack[-1] == CLOSES[token]:
+                            if free == len(stack):
+                                free = 0
                             stack.pop()
                             questions.pop()
                             if kinds:
@@ -276,7 +282,7 @@ class _Lexer:
                         questions.append(0)
                     else:
                         now, token = STRING, "``"
-                elif token == "/" and family == "javascript" and (prev in ("", PUNCT, KEYWORD) and value not in _CALL_BEFORE and value not in ("this", "super", "null", "true", "false", "undefined")):
+                elif token in ("/", "/=") and family == "javascript" and (prev in ("", PUNCT, KEYWORD) and value not in _CALL_BEFORE and value not in ("this", "super", "null", "true", "false", "undefined")):
                     x = _REGEX.match(text, start)
                     if x is None:
                         if text.startswith("/*", start):
@@ -322,7 +328,7 @@ class _Lexer:
                     questions[-1] += 1
                 elif token in ";":
                     questions[-1] = 0
-                    if value in ("=", "+", "==", "===", "&&", "||", ":=", "(", "[") and prev == PUNCT:
+                    if value in ("=", "+", "==", "===", "&&", "||", ":=", "[") and prev == PUNCT:
                         error = f"{value} before ;"
                         break
                 elif token == ":" and self.language == "javascript" and stack and stack[-1] == "(" and prev in (NAME,) and before in ("(", ",") and not questions[-1]:
@@ -342,7 +348,7 @@ class _Lexer:
                 if token == "." and (fresh or (value in (";", "}") and line)) and family == "javascript" and prev == PUNCT and value == ";":
                     error = "a statement that begins with ."
                     break
-            elif prev and prev != PUNCT and same:
+            elif prev and prev != PUNCT and same and not free:
                 if now == NAME:
                     if prev == NAME:
                         if family != "go" or before == "n" or (kinds and kinds[-1] == "block" and fresh2):
@@ -357,7 +363,7 @@ class _Lexer:
                         break
                 elif now == KEYWORD:
                     if prev in (NAME, NUMBER, STRING, VARIABLE) and bare not in after and (prev == NAME and bare in opens or prev in (NUMBER, STRING) and bare in opens):
-                        if not (family == "rust" and bare == "const" and value == "*") and not (family == "php" and bare in ("static", "new")):
+                        if not (family == "rust" and (prev == STRING and bare in ("fn", "unsafe"))) and not (family == "php" and bare in ("static", "new")):
                             error = f"{value} before {bare}"
                             break
                 elif now in (NUMBER, STRING):
@@ -365,7 +371,7 @@ class _Lexer:
                         error = "two literals"
                         break
                     if prev == NAME:
-                        if now == NUMBER or not (family == "go" and (token[0] == "`" or before in ("(", "") or kinds and kinds[-1] in ("import", "type"))) and not (family == "javascript" and token == "``") and not (family == "php" and token == "''"):
+                        if now == NUMBER or not (family == "go" and (token[0] == "`" or before in ("(", "") or not kinds or kinds[-1] in ("import", "type"))) and not (family == "javascript" and token == "``") and not (family == "php" and token == "''"):
                             error = f"{value} before a literal"
                             break
                 elif now == VARIABLE and (prev in (NUMBER, STRING, VARIABLE) or prev == NAME and fresh2):
