@@ -194,19 +194,26 @@ class _Memo(dict):
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(folder: str = TOKENIZER_DIR, name: str = TOKENIZER) -> Encoder:
-    """This process's encoder; read once a worker."""
+def encoder(folder: str = TOKENIZER_DIR, name: str = TOKENIZER, spec: str | None = None) -> Encoder:
+    """This process's encoder, built once; from the tokenizer file's text `spec`, if given, else from the file."""
     if (folder, name) not in _ENCODERS:
-        _ENCODERS[folder, name] = Encoder(Vocabulary.read(folder, name))
+        _ENCODERS[folder, name] = Encoder(Vocabulary(json.loads(spec)) if spec else Vocabulary.read(folder, name))
     return _ENCODERS[folder, name]
 
 
+def _shipped(df: DataFrame, folder: str, name: str):
+    """The tokenizer file, read by the driver and sent to each executor once; its size is the vocabulary's."""
+    with open(f"{folder}/{name}.json", encoding="utf-8") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
+
+
 def encode_column(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZER_DIR, name: str = TOKENIZER) -> DataFrame:
     """(key, ids array<int>) for each row of `df`, repeated rows included. One narrow stage, no shuffle."""
     kind = df.schema[key].dataType.simpleString()
+    spec = _shipped(df, folder, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(folder, name)
+        e = encoder(folder, name, spec.value)
         for batch in batches:
             offsets, flat = [0], []
             for t in batch.column(1).to_pylist():
@@ -221,9 +228,10 @@ def encode_column(df: DataFrame, key: str = "doc_id", text: str = "text", folder
 def count_column(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZER_DIR, name: str = TOKENIZER) -> DataFrame:
     """(key, n_tokens int) for each row of `df`; 0 for null and empty text."""
     kind = df.schema[key].dataType.simpleString()
+    spec = _shipped(df, folder, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(folder, name)
+        e = encoder(folder, name, spec.value)
         for batch in batches:
             n = pa.array([e.count(t) for t in batch.column(1).to_pylist()], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), n], [key, "n_tokens"])
