@@ -30,11 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table that cut() wrote."""
+    _WRITTEN.discard(path)
     jvm = spark._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+_WRITTEN: set[str] = set()
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete every table that this process has cut and not dropped. Results that still read one can't be read after."""
+    for path in list(_WRITTEN):
+        remove(spark, path)
+
+
 class Cut:
     """A materialised table: `df` to read it, `rows` it holds, `drop()` once nothing reads it any more."""
 
@@ -56,5 +66,6 @@ def cut(df: DataFrame, codec: str = "zstd") -> Cut:
     """Write `df` to the shared folder and read it back, with its lineage cut."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgraph/{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
     df.write.option("compression", codec).parquet(path)
     return Cut(spark, path, spark.read.schema(df.schema).parquet(path))
