@@ -89,3 +89,13 @@ def excerpt(citations: DataFrame, files: DataFrame, key: str = "rule_id", contex
     text = F.concat(F.format_string("%5d", "line_no"), F.lit(" "), mark, F.lit(" "), F.element_at("ls", F.col("line_no").cast("int")))
     n = F.row_number().over(Window.partitionBy(key).orderBy("src", "line_no"))
     return rows.select(key, "src", "line_no", text.alias("line")).withColumn("__n", n).where(F.col("__n") <= budget).drop("__n")
+
+
+def excerpt_texts(lines: DataFrame, citations: DataFrame, key: str = "rule_id", budget: int = 400) -> DataFrame:
+    """(key, excerpt): the lines of excerpt() as one text, each source under its heading, marked where the budget cut it."""
+    parts = lines.groupBy(key, "src").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"), F.count("*").alias("n"))
+    heads = parts.join(citations.select(key, "src", F.concat(F.lit("--- "), "path", F.lit(":"), "lines", F.lit(" ---")).alias("head")), [key, "src"])
+    text = F.concat("head", F.lit("\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))
+    whole = heads.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("src", text.alias("t")))).alias("ts"), F.sum("n").alias("n"))
+    end = F.when(F.col("n") >= budget, "\n... (excerpt truncated)").otherwise("")
+    return whole.select(key, F.concat(F.array_join(F.transform("ts", lambda x: x["t"]), "\n"), end).alias("excerpt"))

@@ -109,7 +109,7 @@ def run(spark: SparkSession, config: Config, chat: M.Chat) -> dict:
     if config.crosscheck:
         cited = nodes.where("type = 'rule'").select(F.col("id").alias("rule_id"), F.posexplode("sources").alias("src", "s")).select("rule_id", "src", "s.path", "s.lines")
         lines = checks.excerpt(cited, files.select("path", F.col("text").alias("content")))
-        shown = lines.groupBy("rule_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("src", "line_no", "line"))), lambda x: x["line"]), "\n").alias("excerpt"))
+        shown = checks.excerpt_texts(lines, cited)
         verdicts = cut(phases.crosscheck(nodes, shown, precise_symbols(facts), chat, memo("crosscheck", phases.VERDICT), config.repair, config.workers, config.retry_failed)).df
         v = verdicts.agg(F.count("*"), F.count_if("failed"), F.coalesce(F.sum("prompt"), F.lit(0)), F.coalesce(F.sum("completion"), F.lit(0)), *(F.count_if(~F.col("failed") & (F.col("verdict") == n)) for n in ("supported", "partial", "unsupported", "repaired"))).collect()[0]
         state.phase("crosscheck", *v[:4])
