@@ -45,10 +45,8 @@ SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY string_split(pa
 def walk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths in the order of a walk, folder by folder, and in plain order."""
     f = load(spark, sf_dir, "files_extracted").select("repo", "path").distinct()
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("repo")
-    return f.withColumn("walk_pos", F.row_number().over(w.orderBy(F.split("path", "/"))).cast("bigint")).withColumn("plain_pos", F.row_number().over(w.orderBy("path")).cast("bigint"))
+    walked = windows.numbered(f.withColumn("__s", F.split("path", "/")), ["repo"], ["__s"], "walk_pos").drop("__s")
+    return windows.numbered(walked, ["repo"], ["path"], "plain_pos")
 
 
 @query(r"""

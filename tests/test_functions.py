@@ -61,3 +61,13 @@ def test_windows_equal_the_loop(spark):
                 break
             start = end - 19
         assert [tuple(x) for x in w] == want
+
+
+def test_numbering_equals_a_window(spark):
+    from pyspark.sql import Window
+
+    rows = [("hot", k * 37 % 1009) for k in range(1000)] + [(None, k) for k in range(50)] + [(f"g{k % 7}", k) for k in range(90)]
+    df = spark.createDataFrame(rows, "g string, k int").repartition(6)
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("k")).cast("bigint"))
+    assert sorted(map(str, windows.numbered(df, ["g"], ["k"], "n").collect())) == sorted(map(str, want.collect()))
+    assert windows.numbered(df.limit(0), ["g"], ["k"], "n").count() == 0
