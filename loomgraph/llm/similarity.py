@@ -38,6 +38,8 @@ from ..durable import Cut, cut
 THRESHOLD = (4, 5)
 #: Regions expected to hold more sets than this are divided.
 REGION = 128
+#: Classes of equal sets with more rows than this are linked through their representative instead of pair by pair.
+EXPANDED = 5000
 #: Words on more than one of so many sets are listed with their frequency (at most so many times the mean set size).
 LISTED = 2000
 
@@ -49,11 +51,11 @@ def words(text: Column, least: int = 3) -> Column:
 
 
 def classes(rows: DataFrame, key: str, text: Column) -> tuple[Cut, Cut]:
-    """(members (key, h1, h2), representatives (id, h1, h2, many, words)) of the rows with a non-empty word set."""
+    """(members (key, h1, h2), representatives (id, h1, h2, many, rows, words)) of the rows with a non-empty word set."""
     sets = rows.select(F.col(key).alias("key"), words(text).alias("words")).where(F.size("words") > 0)
     held = cut(sets.select("key", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), F.col("words")).alias("h2"), "words"))
-    reps = held.df.groupBy("h1", "h2").agg(F.min("key").alias("id"), F.max("key").alias("__last"), F.first("words").alias("words"))
-    return held, cut(reps.select("id", "h1", "h2", (F.col("id") < F.col("__last")).alias("many"), "words"))
+    reps = held.df.groupBy("h1", "h2").agg(F.min("key").alias("id"), F.max("key").alias("__last"), F.count("*").alias("rows"), F.first("words").alias("words"))
+    return held, cut(reps.select("id", "h1", "h2", (F.col("id") < F.col("__last")).alias("many"), "rows", "words"))
 
 
 def regions(batch_ids: np.ndarray, sizes: np.ndarray, flat: np.ndarray, listed: np.ndarray, frequency: np.ndarray, total: int, depth: int, region: int = REGION) -> tuple[np.ndarray, ...]:
@@ -151,18 +153,24 @@ def near_pairs(reps: Cut) -> DataFrame:
     return sized.where(F.col("overlap") * (p + q) >= (F.col("n_a") + F.col("n_b")) * p).select("a", "b", "overlap", "n_a", "n_b")
 
 
-def similar_pairs(rows: DataFrame, key: str, text: Column) -> DataFrame:
-    """(a, b), a < b: all pairs of keys whose word sets are similar enough, copies included."""
+def similar_pairs(rows: DataFrame, key: str, text: Column, expanded: int = EXPANDED) -> DataFrame:
+    """(a, b), a < b: all pairs of keys whose word sets are similar enough, copies included.
+
+    A class of more than `expanded` rows of equal sets, whose pairs among themselves would be the square of that, is
+    given by its membership: each member paired with the representative (the smallest key), and pairs between the
+    representative and what is near it. No link between different sets is lost.
+    """
     held, reps = classes(rows, key, text)
     pairs = cut(near_pairs(reps).select("a", "b"))
-    many = reps.df.where("many").select("h1", "h2", "id")
-    members = held.df.select("key", "h1", "h2").join(many, ["h1", "h2"]).select("id", "key").distinct()
-    own = cut(members)
-    left = own.df.select(F.col("id").alias("a"), F.col("key").alias("ka"))
-    right = own.df.select(F.col("id").alias("b"), F.col("key").alias("kb"))
+    many = reps.df.where("many").select("h1", "h2", "id", (F.col("rows") > expanded).alias("huge"))
+    own = cut(held.df.select("key", "h1", "h2").join(many, ["h1", "h2"]).select("id", "huge", "key").distinct())
+    listed = own.df.where("not huge")
+    left = listed.select(F.col("id").alias("a"), F.col("key").alias("ka"))
+    right = listed.select(F.col("id").alias("b"), F.col("key").alias("kb"))
     across = pairs.df.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ka", "a").alias("x"), F.coalesce("kb", "b").alias("y"))
-    within = own.df.alias("l").join(own.df.alias("r"), F.expr("l.id = r.id and l.key < r.key")).select(F.col("l.key").alias("x"), F.col("r.key").alias("y"))
-    return across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(within.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    within = listed.alias("l").join(listed.alias("r"), F.expr("l.id = r.id and l.key < r.key")).select(F.col("l.key").alias("a"), F.col("r.key").alias("b"))
+    members = own.df.where("huge and key > id").select(F.col("id").alias("a"), F.col("key").alias("b"))
+    return across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(within).unionByName(members)
 
 
 def class_links(rows: DataFrame, key: str, text: Column) -> DataFrame:

@@ -47,6 +47,13 @@ def test_similar_pairs_equal_brute_force(spark, monkeypatch, region):
         assert n == len({sets[b] for b in sets if sets[b] and sets[b] != sets[k] and 5 * len(sets[k] & sets[b]) >= 4 * len(sets[k] | sets[b])})
 
 
+def test_large_classes_go_by_membership(spark):
+    texts = {k: "one two three four five six" for k in range(1, 11)} | {20: "one two three four five six seven", 21: "one two three four five six seven eight", 30: "other words entirely here"}
+    df = spark.createDataFrame(list(texts.items()), "k bigint, t string")
+    got = {tuple(r) for r in similarity.similar_pairs(df, "k", F.col("t"), expanded=5).collect()}
+    assert got == {(1, k) for k in range(2, 11)} | {(1, 20), (20, 21)}
+
+
 def test_similar_pairs_of_nothing(spark):
     df = spark.createDataFrame([], "k bigint, t string")
     assert similarity.similar_pairs(df, "k", F.col("t")).count() == 0
