@@ -387,12 +387,15 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.coverage(nodes, graph.rule_edges(r.where("crosscheck = 'supported'")))
 
 
-@query("""
+_DRIFT = """
 WITH f AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(13))),
 m AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN upper(text) ELSE text END AS text FROM f WHERE doc_id % 10 <> 0),
 d AS (SELECT doc_id, CASE WHEN len(string_split(text, chr(10))) >= 3 THEN left(sha256('d' || doc_id || '|1-3' || chr(10) || array_to_string(string_split(text, chr(10))[1:3], chr(10)) || chr(10)), 16) END AS digest FROM f),
 e AS (SELECT doc_id, CASE WHEN len(string_split(text, chr(10))) >= 3 THEN left(sha256('d' || doc_id || '|1-3' || chr(10) || array_to_string(string_split(text, chr(10))[1:3], chr(10)) || chr(10)), 16) END AS digest FROM m)
-SELECT d.doc_id, d.digest, CASE WHEN d.digest IS NULL THEN 'unknown' WHEN e.digest IS NULL THEN 'broken' WHEN d.digest = e.digest THEN 'ok' ELSE 'stale' END AS status FROM d LEFT JOIN e ON d.doc_id = e.doc_id""")
+SELECT d.doc_id, d.digest, CASE WHEN d.digest IS NULL THEN 'unknown' WHEN e.digest IS NULL THEN 'broken' WHEN d.digest = e.digest THEN 'ok' ELSE 'stale' END AS status FROM d LEFT JOIN e ON d.doc_id = e.doc_id"""
+
+
+@query(_DRIFT)
 def digest_and_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's first three lines, and their drift against a changed copy."""
     d = load(spark, sf_dir, "documents").where("text is not null").where(~F.contains("text", F.lit("\r")))
@@ -404,7 +407,8 @@ def digest_and_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.drift(before, now, "doc_id").join(before, "doc_id").select("doc_id", "digest", "status")
 
 
-@query()
+@query(f"""WITH d AS ({_DRIFT}), c AS (SELECT count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'stale') AS stale, count(*) FILTER (WHERE status = 'broken') AS broken, count(*) FILTER (WHERE status = 'unknown') AS unknown FROM d)
+SELECT *, stale + broken > 0 AS drifted FROM c""")
 def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row of drift counts."""
     return checks.drift_report(digest_and_drift(spark, sf_dir))
