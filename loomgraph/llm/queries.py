@@ -47,7 +47,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_pairs(rules, "rule_id", text).select(F.col("a").alias("rule_a"), F.col("b").alias("rule_b"))
 
 
-@query()
+@query(r"""
+WITH t AS (
+  SELECT DISTINCT rule_id, list_sort(list_distinct(list_filter(
+    regexp_extract_all(lower(coalesce(title, '') || ' ' || requirement), '([\p{L}\p{N}]+)', 1), lambda w: length(w) >= 3))) AS ws
+  FROM rules WHERE regexp_matches(requirement, '\S')),
+c AS (SELECT ws, min(rule_id) AS class_id, len(ws) AS n FROM t WHERE len(ws) > 0 GROUP BY ws),
+w AS (SELECT class_id, n, unnest(ws) AS word FROM c),
+i AS (SELECT a.class_id AS x, b.class_id AS y, a.n AS na, b.n AS nb, count(*) AS shared FROM w a JOIN w b ON a.word = b.word AND a.class_id <> b.class_id GROUP BY ALL),
+l AS (SELECT x, count(*) AS n_links FROM i WHERE shared / (na + nb - shared) >= 0.8 GROUP BY x)
+SELECT t.rule_id, c.class_id, coalesce(l.n_links, 0) AS n_links FROM t JOIN c ON t.ws = c.ws LEFT JOIN l ON l.x = c.class_id""")
 def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each rule with its class of equal word sets and the number of other classes near it."""
     rules, text = _rule_texts(spark, sf_dir)
