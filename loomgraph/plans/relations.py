@@ -12,13 +12,16 @@ from .catalog import query
 from .texts import _LANG, SLUG, citations
 
 
-def first_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each rule once: its first delivery by arrival, then by creation."""
+def first_delivery(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Each rule once: its first delivery by arrival, then creation, then confidence. Only `columns` (and what orders
+    them) are read; without any, all are."""
     r = load(spark, sf_dir, "rules")
-    return merge.best_per_key(r, "rule_id", ["received_at", "generated_at", F.to_json("citations"), "confidence"])
+    if columns:
+        r = r.select(*dict.fromkeys(("rule_id", *columns, "received_at", "generated_at", "confidence")))
+    return merge.best_per_key(r, "rule_id", ["received_at", "generated_at", "confidence"])
 
 
-RULES = """r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY received_at NULLS FIRST, generated_at NULLS FIRST, to_json(citations)::VARCHAR NULLS FIRST, confidence NULLS FIRST) AS nth FROM rules) WHERE nth = 1)"""
+RULES = """r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY received_at NULLS FIRST, generated_at NULLS FIRST, confidence NULLS FIRST) AS nth FROM rules) WHERE nth = 1)"""
 _SPANS = """
 c AS (SELECT DISTINCT rule_id, repo, c.path AS path, c.lines AS lines FROM (SELECT rule_id, repo, unnest(citations) AS c FROM rules)),
 sp AS (SELECT repo, path, a, b FROM (SELECT DISTINCT repo, path, try_cast(split_part(lines, '-', 1) AS BIGINT) AS a, try_cast(split_part(lines, '-', 2) AS BIGINT) AS b FROM c WHERE regexp_full_match(lines, '[0-9]+-[0-9]+')) WHERE a >= 1 AND a <= b),
@@ -81,7 +84,7 @@ l AS (SELECT repo, domain, requirement, string_agg(coalesce(path, '?') || ':' ||
 SELECT g.rule_id, coalesce(l.cited, '') AS cited FROM g LEFT JOIN l ON g.repo IS NOT DISTINCT FROM l.repo AND g.domain IS NOT DISTINCT FROM l.domain AND g.requirement IS NOT DISTINCT FROM l.requirement""")
 def merge_citation_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of one requirement in a domain made one, with all their citations."""
-    r = first_delivery(spark, sf_dir).select("repo", "domain", "requirement", "rule_id", "title", "citations")
+    r = first_delivery(spark, sf_dir, "repo", "domain", "requirement", "title", "citations").select("repo", "domain", "requirement", "rule_id", "title", "citations")
     m = merge.merge_by_requirement(r, ["repo", "domain"], ["rule_id"])
     text = F.transform("citations", lambda c: F.concat(F.coalesce(c["path"], F.lit("?")), F.lit(":"), F.coalesce(c["lines"], F.lit("?"))))
     return m.select("rule_id", F.coalesce(F.array_join(text, " "), F.lit("")).alias("cited"))
@@ -90,7 +93,7 @@ def merge_citation_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def slug_suffixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slugs made unique within a repository's domain, in rule order."""
-    r = first_delivery(spark, sf_dir).select("rule_id", "repo", "domain", X.slug_words(F.coalesce("slug", "title", F.lit("rule"))).alias("slug"))
+    r = first_delivery(spark, sf_dir, "repo", "domain", "slug", "title").select("rule_id", "repo", "domain", X.slug_words(F.coalesce("slug", "title", F.lit("rule"))).alias("slug"))
     return merge.name_uniquely(r, ["repo", "domain"], "slug", ["rule_id"], "unique_slug")
 
 
@@ -241,7 +244,7 @@ def domain_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {RULES} SELECT nature, origin, count(*) AS n FROM r WHERE nature <> '' OR origin <> '' GROUP BY nature, origin")
 def rules_by_nature_and_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_delivery(spark, sf_dir).where("nature <> '' or origin <> ''").groupBy("nature", "origin").agg(F.count("*").alias("n"))
+    return first_delivery(spark, sf_dir, "nature", "origin").where("nature <> '' or origin <> ''").groupBy("nature", "origin").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -261,7 +264,7 @@ SELECT count(*) FILTER (WHERE crosscheck = 'supported') AS supported, count(*) F
 def verdict_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts in five counters; a missing one counts as failed."""
     v = lambda name: F.count_if(F.col("crosscheck") == name).alias(name)
-    return first_delivery(spark, sf_dir).agg(v("supported"), v("partial"), v("unsupported"), v("repaired"), F.count_if(F.col("crosscheck").isNull()).alias("failed"))
+    return first_delivery(spark, sf_dir, "crosscheck").agg(v("supported"), v("partial"), v("unsupported"), v("repaired"), F.count_if(F.col("crosscheck").isNull()).alias("failed"))
 
 
 @query("SELECT repo, count(*) AS total, count(*) FILTER (WHERE failed) AS n_failed, count(*) FILTER (WHERE NOT failed) AS done FROM reduce_out GROUP BY repo")
@@ -275,25 +278,30 @@ SELECT u.output_id, u.domain, count(*) AS n_rules FROM u JOIN r ON r.output_id =
 def usable_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outputs that did not fail and have rules."""
     o = load(spark, sf_dir, "reduce_out").where(~F.coalesce("failed", F.lit(False))).select("output_id", "domain")
-    return o.join(first_delivery(spark, sf_dir).select("output_id"), "output_id").groupBy("output_id", "domain").agg(F.count("*").alias("n_rules"))
+    return o.join(first_delivery(spark, sf_dir, "output_id").select("output_id"), "output_id").groupBy("output_id", "domain").agg(F.count("*").alias("n_rules"))
 
 
 @query(f"""WITH {RULES}, n AS (SELECT repo, domain, rule_id, (row_number() OVER (PARTITION BY repo, domain ORDER BY rule_id) - 1) // 30 AS batch FROM r)
 SELECT repo, domain, batch, count(*) AS n, min(rule_id) AS first_rule FROM n GROUP BY ALL""")
 def candidates_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of 30 candidates of each repository's domain."""
-    r = first_delivery(spark, sf_dir).select("repo", "domain", "rule_id")
+    r = first_delivery(spark, sf_dir, "repo", "domain").select("repo", "domain", "rule_id")
     return windows.batches(r, ["repo", "domain"], ["rule_id"], 30).groupBy("repo", "domain", "batch").agg(F.count("*").alias("n"), F.min("rule_id").alias("first_rule"))
 
 
-@query(f"""WITH {RULES}, c AS (SELECT repo, domain, coalesce(requirement, '') || chr(9) || coalesce(title, '') AS line FROM r)
-SELECT repo, domain, left(sha256('2' || chr(10) || string_agg(line, chr(10) ORDER BY line)), 16) AS candidates_hash FROM c GROUP BY ALL""")
+@query(f"""WITH {RULES}, c AS (SELECT repo, domain, ('0x' || left(sha256(coalesce(requirement, '') || chr(9) || coalesce(title, '')), 15))::BIGINT AS h FROM r)
+SELECT repo, domain, left(sha256('2' || chr(10) || count(*) || ':' || sum(h)), 16) AS candidates_hash FROM c GROUP BY repo, domain""")
 def candidates_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content hash of each domain's candidates, with the prompt's version; the key of the reduce memo."""
-    r = first_delivery(spark, sf_dir)
+    """Content hash of each domain's candidates, with the prompt's version; the key of a reduction's memo.
+
+    The hash of a multiset: the number of candidates and the sum of their hashes, which combine before the shuffle, so
+    no domain's candidates are brought together or sorted.
+    """
+    r = first_delivery(spark, sf_dir, "repo", "domain", "requirement", "title")
     line = F.concat(F.coalesce("requirement", F.lit("")), F.lit("\t"), F.coalesce("title", F.lit("")))
-    g = r.select("repo", "domain", line.alias("line")).groupBy("repo", "domain").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("all"))
-    return g.select("repo", "domain", X.short_hash(F.concat(F.lit("2\n"), F.col("all"))).alias("candidates_hash"))
+    h = F.conv(F.substring(F.sha2(line, 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    g = r.groupBy("repo", "domain").agg(F.count("*").alias("n"), F.sum(h).alias("h"))
+    return g.select("repo", "domain", X.short_hash(F.concat(F.lit("2\n"), F.col("n").cast("string"), F.lit(":"), F.col("h").cast("string"))).alias("candidates_hash"))
 
 
 @query(f"WITH {RULES}, e AS (SELECT repo, unnest(list_concat(coalesce(entities, []), coalesce(endpoints, []))) AS id FROM r) SELECT repo, count(DISTINCT id) AS n, string_agg(DISTINCT id, ' ' ORDER BY id) AS ids FROM e GROUP BY repo")
@@ -308,7 +316,7 @@ def distinct_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT name, n FROM k WHERE i <= 7 UNION ALL SELECT 'more ' || count(*), sum(n)::BIGINT FROM k WHERE i > 7 HAVING count(*) > 0""")
 def top_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seven largest domains and the rest."""
-    g = first_delivery(spark, sf_dir).where("domain is not null").groupBy(F.col("domain").alias("name")).agg(F.count("*").alias("n"))
+    g = first_delivery(spark, sf_dir, "domain").where("domain is not null").groupBy(F.col("domain").alias("name")).agg(F.count("*").alias("n"))
     return windows.top_with_rest(g, "name", "n")
 
 
@@ -328,7 +336,7 @@ SELECT src, type, dst, count(*) AS n FROM (
   UNION ALL SELECT src, 'exposed_by', unnest(list_distinct(coalesce(endpoints, []))), rule_id FROM k) GROUP BY ALL""")
 def edges_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of rules, with how many rules of one id have them."""
-    r = first_delivery(spark, sf_dir).where("domain is not null and slug is not null")
+    r = first_delivery(spark, sf_dir, "domain", "slug", "entities", "endpoints").where("domain is not null and slug is not null")
     return graph.rule_edges(r).groupBy("src", "type", "dst").agg(F.count("*").alias("n"))
 
 
@@ -337,7 +345,7 @@ n AS (SELECT DISTINCT unnest(entities) AS id FROM r WHERE crosscheck = 'supporte
 SELECT DISTINCT src AS node_id, 'edge touches points to missing node ' || e AS detail FROM (SELECT src, unnest(entities) AS e FROM k) WHERE e NOT IN (SELECT id FROM n)""")
 def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges to entities that no supported rule names."""
-    r = first_delivery(spark, sf_dir)
+    r = first_delivery(spark, sf_dir, "domain", "slug", "entities", "endpoints", "crosscheck")
     known = r.where("crosscheck = 'supported'").select(F.explode("entities").alias("id")).distinct()
     edges = graph.rule_edges(r.where("domain is not null and slug is not null")).where("type = 'touches'")
     return checks.dangling_edges(edges, known).select("node_id", "detail").distinct()
@@ -371,7 +379,7 @@ def citation_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {RULES} SELECT rule_id FROM r WHERE len(coalesce(citations, [])) = 0")
 def missing_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules without a citation."""
-    nodes = first_delivery(spark, sf_dir).select(F.col("rule_id").alias("id"), F.lit("rule").alias("type"), F.col("citations").alias("sources"))
+    nodes = first_delivery(spark, sf_dir, "citations").select(F.col("rule_id").alias("id"), F.lit("rule").alias("type"), F.col("citations").alias("sources"))
     return checks.uncited_rules(nodes).select(F.col("node_id").alias("rule_id"))
 
 
@@ -382,7 +390,7 @@ SELECT count(*) FILTER (WHERE type = 'endpoint') AS endpoints_total, count(*) FI
   count(*) FILTER (WHERE type = 'entity') AS entities_total, count(*) FILTER (WHERE type = 'entity' AND u.id IS NOT NULL) AS entities_touched FROM ids LEFT JOIN used u ON ids.id = u.id""")
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities and endpoints in all, and those that supported rules reach."""
-    r = first_delivery(spark, sf_dir).where("domain is not null and slug is not null")
+    r = first_delivery(spark, sf_dir, "domain", "slug", "entities", "endpoints", "crosscheck").where("domain is not null and slug is not null")
     nodes = r.select(F.lit("entity").alias("type"), F.explode("entities").alias("id")).union(r.select(F.lit("endpoint"), F.explode("endpoints"))).distinct()
     return graph.coverage(nodes, graph.rule_edges(r.where("crosscheck = 'supported'")))
 

@@ -69,7 +69,7 @@ def rule_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(~sure, "confidence")
         .otherwise("ok")
     )
-    return first_delivery(spark, sf_dir).select("rule_id", error.alias("first_error"))
+    return first_delivery(spark, sf_dir, "ears_kind", "citations", "nature", "origin").select("rule_id", error.alias("first_error"))
 
 
 @query(f"""WITH {RULES},
@@ -84,7 +84,7 @@ SELECT k.id, '---' || chr(10) || 'id: ' || k.id || chr(10) || 'type: rule' || ch
 FROM k JOIN e ON e.rule_id = k.rule_id LEFT JOIN s ON s.rule_id = k.rule_id WHERE confidence IS NULL OR NOT isnan(confidence)""")
 def frontmatter_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heads of rule pages, with the rule's id for its domain so that ids are unique."""
-    r = first_delivery(spark, sf_dir).where("domain is not null and slug is not null and (confidence is null or not isnan(confidence))").withColumn("domain", F.col("rule_id").cast("string"))
+    r = first_delivery(spark, sf_dir, "domain", "slug", "title", "ears_kind", "requirement", "rationale", "citations", "entities", "endpoints", "acceptance_criteria", "nature", "origin").where("domain is not null and slug is not null and (confidence is null or not isnan(confidence))").withColumn("domain", F.col("rule_id").cast("string"))
     plain = ~F.coalesce(F.exists("citations", lambda c: c["path"].isNull() | c["lines"].isNull() | ~F.regexp_like(c["path"], F.lit(r"^[A-Za-z0-9._/-]+\z"))), F.lit(False))
     none = F.array().cast("array<string>")
     named = ~F.exists(F.concat(F.coalesce("entities", none), F.coalesce("endpoints", none)), lambda x: x.isNull())
