@@ -491,6 +491,6 @@ def mermaid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One diagram line for each edge."""
     n, r = load(spark, sf_dir, "nation"), load(spark, sf_dir, "region")
     name = lambda c: X.mermaid_id(F.replace(F.lower(c), F.lit(" "), F.lit("-")))
-    return n.join(F.broadcast(r.limit(1000)), n["n_regionkey"] == r["r_regionkey"]).select(F.concat(name(F.col("r_name")), F.lit(" --> "), name(F.col("n_name"))).alias("line"))
+    return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.concat(name(F.col("r_name")), F.lit(" --> "), name(F.col("n_name"))).alias("line"))
 
 

@@ -159,3 +159,34 @@ def test_replies():
     got = M.reduce_adaptively(list(range(80)), call)
     assert got.dropped == 5 and len(got.rules) == 75 and calls[0] == (80, 0) and calls[-1][1] in (0, 2)
     assert M.grounded([{"path": "p", "lines": "5-9"}, {"path": "p", "lines": "5-9"}, {"path": "q", "lines": "1-2"}, {"path": "p", "lines": "90-91"}], {"p"}, {"p": [(8, 20)]}) == [{"path": "p", "lines": "5-9"}]
+
+
+def test_http_client():
+    import http.server
+    import json
+    import threading
+
+    import pytest
+
+    answers = [500, 429, 200, 400]
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            assert self.path == "/v1/chat/completions" and body["temperature"] == 0.1 and self.headers["Authorization"] == "Bearer k"
+            status = answers.pop(0)
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": "hello"}}], "usage": {"prompt_tokens": 3, "completion_tokens": 2}}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    chat = M.HttpChat(f"http://127.0.0.1:{server.server_port}/v1/", "m", "k", backoff=(0, 0, 0))
+    assert chat([{"role": "user", "content": "x"}]) == ("hello", (3, 2))
+    with pytest.raises(M.ModelError, match="status 400"):
+        chat([])
+    assert not answers
+    server.shutdown()
