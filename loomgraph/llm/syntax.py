@@ -502,9 +502,10 @@ def _distinct(parts: list[dict]) -> list[dict]:
 def _known(chunks: DataFrame, languages: DataFrame) -> DataFrame:
     """The chunks of files of a known language; `languages` is the fixed table (extension, language)."""
     extension = F.lower(F.regexp_extract(F.trim("path"), r"(\.[A-Za-z0-9]+)$", 1))
-    names = languages.where(F.col("language").isin(list(FAMILY))).select(F.lower("extension").alias("__e"), F.col("language").alias("__language")).limit(1000)
+    names = languages.where(F.col("language").isin(list(FAMILY))).select(F.lower("extension").alias("__e"), F.col("language").alias("__language")).distinct()
+    few = names.count() <= 1000  # broadcast only if it is as small as it should be
     text = F.coalesce("content", F.lit(""))
-    return chunks.withColumn("__e", extension).join(F.broadcast(names), "__e").select("file_id", "id", "repo", F.col("__language").alias("language"), F.col("start_line").alias("start"), F.trim("path").alias("path"), text.alias("content"))
+    return chunks.withColumn("__e", extension).join(F.broadcast(names) if few else names, "__e").select("file_id", "id", "repo", F.col("__language").alias("language"), F.col("start_line").alias("start"), F.trim("path").alias("path"), text.alias("content"))
 
 
 def invalid_files(chunks: DataFrame, languages: DataFrame) -> DataFrame:
