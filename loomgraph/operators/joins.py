@@ -106,25 +106,31 @@ def similar_sets(sets: DataFrame, row: str = "row", words: str = "words", thresh
     are joined once, as one set, and expanded after.
     """
     t = threshold if threshold > 0 else 0.8
-    own = sets.select(F.col(row).alias("__row"), F.array_sort(words).alias("__w")).where(F.size("__w") > 0)
-    keyed = own.withColumn("__h", F.sha2(F.to_json("__w"), 256))
-    reps = keyed.groupBy("__h").agg(F.first("__w").alias("w"))
+    own = sets.select(F.col(row).alias("__row"), F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))).alias("w")).where(F.size("w") > 0)
+    keyed = own.select("__row", "w", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), F.col("w")).alias("h2"))
+    reps = keyed.groupBy("h1", "h2").agg(F.min("__row").alias("id"), F.first("w").alias("w"))
     freq = reps.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("f"))
-    ranked = reps.select("__h", F.explode("w").alias("word")).join(freq, "word").groupBy("__h").agg(F.array_sort(F.collect_list(F.struct("f", "word"))).alias("fw"))
+    ranked = reps.select("id", F.explode("w").alias("word")).join(freq, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "word"))).alias("fw"))
     k = 2 if t > 0.5 else 1
-    n = F.size("fw")
-    head = F.transform(F.slice("fw", F.lit(1), n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + k), lambda x: x["word"])
+    size = F.size("fw")
+    cut_off = size - F.ceil(size * F.lit(t) - 1e-9).cast("int") + k
+    head = ranked.select("id", size.alias("n"), F.transform(F.slice("fw", F.lit(1), cut_off), lambda x: x["word"]).alias("head"))
+    # A key's words are the first ones that a pair shares: `miss` of the words before its last one are not shared.
     if k == 2:
-        rest = lambda h, i: F.slice(h, i + 2, F.greatest(F.size(h) - i - 1, F.lit(0)))
-        heads = ranked.select("__h", n.alias("n"), head.alias("head")).select("__h", "n", F.explode(F.flatten(F.transform("head", lambda x, i: F.transform(rest(F.col("head"), i), lambda y: F.xxhash64(x, y))))).alias("word"))
+        rest = lambda i: F.slice("head", i + 2, F.greatest(F.size("head") - i - 1, F.lit(0)))
+        keys = F.flatten(F.transform("head", lambda x, i: F.transform(rest(i), lambda y, j: F.struct(F.xxhash64(x, y).alias("key"), (i + j).alias("miss")))))
     else:
-        heads = ranked.select("__h", n.alias("n"), F.explode(head).alias("word"))
-    l, r = heads.alias("l"), heads.alias("r")
-    near = l.join(r, F.expr("l.word = r.word and (l.n < r.n or l.n = r.n and l.__h < r.__h)") & (F.col("l.n") >= F.col("r.n") * t - 1e-9)).select(F.col("l.__h").alias("ha"), F.col("r.__h").alias("hb")).distinct()
-    wa, wb = reps.select(F.col("__h").alias("ha"), F.col("w").alias("wa")), reps.select(F.col("__h").alias("hb"), F.col("w").alias("wb"))
+        keys = F.transform("head", lambda x, i: F.struct(F.xxhash64(x).alias("key"), i.alias("miss")))
+    placed = head.select("id", "n", F.explode(keys).alias("x")).select("id", "n", "x.key", "x.miss")
+    l, r = placed.alias("l"), placed.alias("r")
+    need = F.ceil((F.col("l.n") + F.col("r.n")) * F.lit(t / (1 + t)) - 1e-6)
+    fits = F.expr("l.key = r.key and (l.n < r.n or l.n = r.n and l.id < r.id)") & (F.col("l.n") >= F.col("r.n") * t - 1e-9) & (F.col("l.n") - F.col("l.miss") >= need) & (F.col("r.n") - F.col("r.miss") >= need)
+    near = l.join(r, fits).select(F.col("l.id").alias("ia"), F.col("r.id").alias("ib")).distinct()
+    wa, wb = reps.select(F.col("id").alias("ia"), F.col("w").alias("wa")), reps.select(F.col("id").alias("ib"), F.col("w").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))
-    sized = near.join(wa, "ha").join(wb, "hb").select("ha", "hb", (both / (F.size("wa") + F.size("wb") - both)).alias("similarity")).where(F.col("similarity") >= t)
-    ra, rb = keyed.select(F.col("__h").alias("ha"), F.col("__row").alias("ra")), keyed.select(F.col("__h").alias("hb"), F.col("__row").alias("rb"))
-    across = sized.join(ra, "ha").join(rb, "hb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "similarity")
-    same = ra.join(rb, F.col("ha") == F.col("hb")).where("ra < rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"), F.lit(1.0).alias("similarity"))
+    sized = near.join(wa, "ia").join(wb, "ib").select("ia", "ib", (both / (F.size("wa") + F.size("wb") - both)).alias("similarity")).where(F.col("similarity") >= t)
+    member = keyed.select("__row", "h1", "h2").join(reps.select("h1", "h2", "id"), ["h1", "h2"]).select("id", "__row")
+    ra, rb = member.select(F.col("id").alias("ia"), F.col("__row").alias("ra")), member.select(F.col("id").alias("ib"), F.col("__row").alias("rb"))
+    across = sized.join(ra, "ia").join(rb, "ib").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "similarity")
+    same = ra.join(rb, F.col("ia") == F.col("ib")).where("ra < rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"), F.lit(1.0).alias("similarity"))
     return across.unionByName(same)
