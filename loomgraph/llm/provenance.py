@@ -7,10 +7,10 @@ file become rules, in one vectorised step for a batch of files. Evidence:
 * generated - one long rule, reused again and again, covers most of the file; or a notice of generation at its head;
 * blob - literals make up most of the file and hardly compress;
 * minified - many characters a line and hardly a blank;
-* vendored - long stretches of the file recur in several repositories; or a path of third-party folders, or a notice
-  of provenance at its head.
+* vendored - half of the file's stretches of tokens recur in another repository, whatever its names are; or a path of
+  third-party folders, or a notice of provenance at its head.
 
-A file's text is put together from its chunks by file; rules shared across repositories are counted by a hash of the
+A file's text is put together from its chunks by file; stretches shared across repositories are counted by a hash of the
 stretch and its repository, combined before the shuffle, so a stretch that every file has is one counter.
 
 Defined results: null content is empty; empty files are hand-written; a chunk delivered twice counts once; null lines
@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..durable import cut
+from .syntax import WORDS
 
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
 _COMMENT = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|(?m:^\s*#(?![\[!])[^\n]*)")
 _NAME = re.compile(r"[A-Za-z_$\u0080-￿][\w$]*")
 _NUMBER = re.compile(r"\d[\w.]*")
 _BLANK = re.compile(r"\s+")
+_TOKEN = re.compile(rf"(?:{_COMMENT.pattern})|({_STRING.pattern}|{_NAME.pattern}|{_NUMBER.pattern}|\S)")
 #: How notices of generation and of provenance are worded.
 GENERATED_NOTICE = re.compile(r"code generated by|do not (?:edit|modify)|@generated\b|auto-?generated\b|(?:produced|generated|created) automatically|automatically (?:produced|generated|created)|(?:généré|produit|créé)e? automatiquement|ne pas (?:modifier|éditer)|automatisch (?:generiert|erzeugt|erstellt)|nicht (?:bearbeiten|ändern|editieren)|generad[oa] automáticamente|no (?:editar|modificar)|gerad[oa] automaticamente|não (?:editar|modificar|edite)|changes? (?:\w+ )*(?:will be|is|are) (?:lost|overwritten)", re.I)
 VENDORED_NOTICE = re.compile(r"@license\s+\S+|released under the .{0,40}licen[cs]e|licensed under the .{0,60}licen[cs]e|\bupstream\b.{0,12}https?:|(?:bundled|local|vendored|imported) copy|imported from https?:|\(c\) \d{4} .{0,60}(?:authors|contributors)|copyright \d{4}.{0,60}(?:authors|contributors)", re.I | re.S)
@@ -51,8 +53,12 @@ ROUNDS = 24
 REUSE = 0.65
 DATA, DATA_TOKENS, INFORMATION = 0.75, 40, 0.2
 LINE, BLANKS = 150, 0.1
-#: A stretch is so many code lines; one in SPACING is kept, chosen by content; so many repositories must share it.
-STRETCH, SPACING, REPOSITORIES, SHARED = 8, 4, 3, 0.5
+#: A stretch is so many code tokens, or so many if names don't count; of each WINNOW in a row the least is kept.
+STRETCH, RENAMED, WINNOW = 32, 96, 32
+#: So many repositories must share it, or so many if names don't count; and so many of a file's stretches.
+REPOSITORIES, REPOSITORIES_RENAMED, SHARED = 2, 3, 0.5
+#: Shorter texts are alike by chance.
+LEAST_TOKENS = 16
 #: Lines of a file that one task looks at together; longer files are judged from the sums over their segments.
 SEGMENT = 20_000
 
@@ -128,18 +134,64 @@ def re_pair(sequences: list[bytes], rounds: int = ROUNDS) -> tuple[np.ndarray, n
     return size, share
 
 
+class _Codes(dict):
+    """A number for each token, remembered; names have the bit NAMED."""
+
+    def __missing__(self, token: str) -> int:
+        code = zlib.crc32(token.encode("utf-8", "replace"))
+        if _NAME.match(token) and token not in _KEYWORDS:
+            code |= NAMED
+        if len(self) > 500_000:
+            self.clear()
+        self[token] = code
+        return code
+
+
+_CODES = _Codes()
+_KEYWORDS = frozenset(w for words in WORDS.values() for w in words.split())
+NAMED = 1 << 33
+#: Odd, so that it has an inverse: hashes of stretches are differences of prefix sums, shifted to the stretch's start.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _chosen(codes: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the stretches of `width` codes that are the least of WINNOW in a row; at least one."""
+    powers, inverses = (np.cumprod(np.full(len(codes), x, dtype=np.uint64)) for x in (_BASE, _INVERSE))
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_mixed(codes.astype(np.uint64)) * powers, dtype=np.uint64)])
+    least = _mixed((sums[width:] - sums[:-width]) * inverses[: len(codes) - width + 1])
+    step = 1
+    while step < WINNOW:
+        if len(least) > step:
+            least = np.minimum(least[:-step], least[step:])
+        step *= 2
+    return np.unique(least)
+
+
 def stretches(text: str) -> list[int]:
-    """Hashes of content-chosen stretches of code lines, names kept."""
-    lines = [x for x in (_BLANK.sub(" ", line).strip() for line in _COMMENT.sub("", text).split("\n")) if len(x) > 3]
-    if len(lines) < STRETCH:
+    """Hashes of stretches of code tokens, chosen by content, so that a text has one of each sort at least.
+
+    Even hashes keep the names. Odd ones tell a name by how far back it stood last, so a copy with other names has them
+    too; they are longer. A text too short for a stretch is one as a whole, names kept; under LEAST_TOKENS it has none.
+    """
+    codes = np.fromiter(map(_CODES.__getitem__, filter(None, _TOKEN.findall(text))), dtype=np.int64)
+    if len(codes) < LEAST_TOKENS:
         return []
-    codes = np.array([zlib.crc32(x.encode("utf-8", "replace")) | zlib.adler32(x.encode("utf-8", "replace")) << 32 & 0x7FFFFFFFFFFFFFFF for x in lines], dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        mixed = np.zeros(len(codes) - STRETCH + 1, dtype=np.uint64)
-        for k in range(STRETCH):
-            mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(mixed)]
-        mixed ^= mixed >> np.uint64(31)
-    return np.unique(mixed[mixed % np.uint64(SPACING) == 0].view(np.int64)).tolist()
+    found = _chosen(codes, min(STRETCH, len(codes))) & ~np.uint64(1)
+    if len(codes) >= RENAMED:
+        named = np.flatnonzero(codes & NAMED)
+        by = named[np.argsort(codes[named], kind="stable")]
+        back = np.zeros(len(by), dtype=np.int64)
+        back[1:] = np.where(codes[by[1:]] == codes[by[:-1]], np.diff(by), 0)
+        codes[by] = NAMED + np.where(back <= STRETCH, back, 0)
+        found = np.concatenate([found, _chosen(codes, RENAMED) | np.uint64(1)])
+    return found.view(np.int64).tolist()
 
 
 def evidence(texts: list[str]) -> dict[str, list]:
@@ -185,10 +237,11 @@ def kinds(chunks: DataFrame) -> DataFrame:
 
     schema = "file_id bigint, segment int, repo string, path string, chars bigint, `lines` bigint, blanks bigint, tokens bigint, data bigint, reused double, literal bigint, packed bigint, generated boolean, vendored boolean, stretches array<bigint>"
     seen = cut(parts.select("file_id", "segment", "repo", "path", "parts").mapInArrow(run, schema))
+    odd = F.col("h").bitwiseAND(1) == 1
     pieces = seen.df.select("file_id", "repo", F.explode("stretches").alias("h"))
-    common = pieces.select("h", "repo").distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= REPOSITORIES).select("h")
-    shared = pieces.join(common, "h").groupBy("file_id").agg(F.count("*").alias("shared"))
-    files = seen.df.groupBy("file_id").agg(*(F.sum(c).alias(c) for c in _SUMS), F.sum(F.size("stretches")).alias("n_stretches"), F.max("path").alias("path"), F.min_by(F.struct("generated", "vendored"), "segment").alias("head"))
+    common = pieces.select("h", "repo").distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= F.when(odd, REPOSITORIES_RENAMED).otherwise(REPOSITORIES)).select("h")
+    shared = pieces.join(common, "h").groupBy("file_id").agg(F.count_if(~odd).alias("shared"), F.count_if(odd).alias("shared_renamed"))
+    files = seen.df.groupBy("file_id").agg(*(F.sum(c).alias(c) for c in _SUMS), F.sum(F.size("stretches")).alias("n_stretches"), F.sum(F.size(F.filter("stretches", lambda h: h.bitwiseAND(1) == 1))).alias("n_renamed"), F.max("path").alias("path"), F.min_by(F.struct("generated", "vendored"), "segment").alias("head"))
     f = files.join(shared, "file_id", "left")
     path = F.coalesce("path", F.lit(""))
     matches = lambda rx: F.regexp_like(path, F.lit("(?i)" + rx.pattern))
@@ -198,6 +251,6 @@ def kinds(chunks: DataFrame) -> DataFrame:
         .when((F.col("chars") >= LINE * F.col("lines")) & (F.col("blanks") < BLANKS * F.col("chars")) & (F.col("chars") >= 2 * LINE), "minified")
         .when(F.col("head.vendored") | matches(VENDORED_PATH), "vendored")
         .when(F.col("head.generated") | matches(GENERATED_PATH) | (F.col("reused") >= REUSE * F.col("tokens")) & (F.col("tokens") >= DATA_TOKENS), "generated")
-        .when(F.col("shared") >= SHARED * F.col("n_stretches"), "vendored")
+        .when((F.col("shared") >= SHARED * (F.col("n_stretches") - F.col("n_renamed"))) | (F.col("n_renamed") > 0) & (F.col("shared_renamed") >= SHARED * F.col("n_renamed")), "vendored")
     )
     return f.select("file_id", kind.alias("kind")).where("kind is not null")

@@ -170,6 +170,19 @@ def test_kinds(spark):
     assert provenance.kinds(df.limit(0)).count() == 0
 
 
+def test_copies_are_found_by_content(spark):
+    """Short files, copies in two repositories, and copies with other names and line breaks."""
+    import re
+
+    short = "export const clamp = (x, lo, hi) => Math.max(lo, Math.min(hi, x));\nexport const lerp = (a, b, t) => a + (b - a) * t;\n"
+    renamed = [re.sub(r"\b(F|a|v\d+|check\d+|use|log)\b", lambda m, k=k: f"n{k}_{m[0]}", HAND.replace(" && ", "\n&& " if k else " && ")) for k in range(3)]
+    files = [("r1", short), ("r2", short), ("r1", STUB + HAND), ("r2", STUB + HAND), *((f"q{k}", x) for k, x in enumerate(renamed)), ("r9", "package p\n"), ("r8", "package p\n")]
+    df = spark.createDataFrame([(f"c{k}", k, repo, f"src/f{k}.js", 1, text) for k, (repo, text) in enumerate(files)], "id string, file_id bigint, repo string, path string, start_line int, content string")
+    assert {r.file_id: r.kind for r in provenance.kinds(df).collect()} == {k: "vendored" for k in range(7)}
+    alone = df.where("file_id in (0, 2, 4, 5, 7)")
+    assert provenance.kinds(alone).count() == 0
+
+
 # ------------------------------------------------------------------ 6
 
 
