@@ -5,7 +5,7 @@ blanks dropped), over which a Re-Pair grammar is inferred: round after round the
 file become rules, in one vectorised step for a batch of files. Evidence:
 
 * generated - one long rule, reused again and again, covers most of the file; or a notice of generation at its head;
-* blob - literals make up most of the file and hardly compress;
+* blob - literals make up most of the file, by tokens or by characters, and zlib hardly compresses them;
 * minified - many characters a line and hardly a blank;
 * vendored - half of the file's stretches of tokens recur in another repository, whatever its names are; or a path of
   third-party folders, or a notice of provenance at its head.
@@ -37,6 +37,12 @@ _NAME = re.compile(r"[A-Za-z_$\u0080-
 _NUMBER = re.compile(r"\d[\w.]*")
 _BLANK = re.compile(r"\s+")
 _TOKEN = re.compile(rf"(?:{_COMMENT.pattern})|({_STRING.pattern}|{_NAME.pattern}|{_NUMBER.pattern}|\S)")
+#: Literals: heredocs and Rust's raw strings too, and lines of a dump whose quotes lie elsewhere.
+_LONG = r"<<<[ \t]*(?P<q>[\"']?)(?P<end>\w+)(?P=q)\r?\n[\s\S]*?(?m:^)[ \t]*(?P=end)\b|\bb?r(?P<h>#*)\"[\s\S]*?\"(?P=h)"
+_DUMP = r"(?:[A-Za-z0-9+/=]{40,}|(?:[0-9A-Fa-f]{2,16}[ ,]+){8,}[^\n]*)[\\,;\"'` \t\r]*$"
+_LITERAL = re.compile(rf"(?:{_COMMENT.pattern})|(?P<literal>{_LONG}|{_STRING.pattern}|(?m:^[ \t]*{_DUMP})|{_NUMBER.pattern})|{_NAME.pattern}")
+_LONGS, _DUMPS = re.compile(_LONG), re.compile(rf"\n[ \t]*(?m:{_DUMP})")
+_WORD = re.compile(r"\b[^\W\d]{3,24}\b")
 #: How notices of generation and of provenance are worded.
 GENERATED_NOTICE = re.compile(r"code generated by|do not (?:edit|modify)|@generated\b|auto-?generated\b|(?:produced|generated|created) automatically|automatically (?:produced|generated|created)|(?:généré|produit|créé)e? automatiquement|ne pas (?:modifier|éditer)|automatisch (?:generiert|erzeugt|erstellt)|nicht (?:bearbeiten|ändern|editieren)|generad[oa] automáticamente|no (?:editar|modificar)|gerad[oa] automaticamente|não (?:editar|modificar|edite)|changes? (?:\w+ )*(?:will be|is|are) (?:lost|overwritten)", re.I)
 VENDORED_NOTICE = re.compile(r"@license\s+\S+|released under the .{0,40}licen[cs]e|licensed under the .{0,60}licen[cs]e|\bupstream\b.{0,12}https?:|(?:bundled|local|vendored|imported) copy|imported from https?:|\(c\) \d{4} .{0,60}(?:authors|contributors)|copyright \d{4}.{0,60}(?:authors|contributors)", re.I | re.S)
@@ -51,7 +57,10 @@ RULE_TOKENS, RULE_USES = 6, 5
 ROUNDS = 24
 #: Shares and bounds of the evidence; see the module.
 REUSE = 0.65
-DATA, DATA_TOKENS, INFORMATION = 0.75, 40, 0.2
+DATA, DATA_TOKENS = 0.75, 40
+#: Literals of so many characters make a blob, whatever the tokens; less than so much of them may be words; and zlib must
+#: leave so much of what coding the characters one by one would take (at UNIFORM bits a character at least).
+DATA_CHARS, WORDED, INFORMATION, UNIFORM = 200, 0.4, 0.4, 2.0
 LINE, BLANKS = 150, 0.1
 #: A stretch is so many code tokens, or so many if names don't count; of each WINNOW in a row the least is kept.
 STRETCH, RENAMED, WINNOW = 32, 96, 32
@@ -194,29 +203,53 @@ def stretches(text: str) -> list[int]:
     return found.view(np.int64).tolist()
 
 
+def literals(text: str) -> tuple[int, int, int, int]:
+    """Of all literals, blanks dropped: (characters, bytes that zlib leaves, bytes by entropy of characters, characters in words)."""
+    found = "\n".join(m["literal"] for m in _LITERAL.finditer(text) if m["literal"])
+    bare = _BLANK.sub("", found)
+    if not bare:
+        return 0, 0, 0, 0
+    raw = bare.encode("utf-8", "replace")
+    n = np.bincount(np.frombuffer(raw, dtype=np.uint8))
+    n = n[n > 0]
+    bits = max(UNIFORM, float(-(n / len(raw) * np.log2(n / len(raw))).sum()))
+    return len(bare), len(zlib.compress(raw, 1)), int(bits * len(raw) / 8), sum(map(len, _WORD.findall(found)))
+
+
+def _wide(text: str) -> bool:
+    """Whether literals that structure() doesn't know may make up most of the text."""
+    if ("<<<" in text or 'r"' in text or 'r#' in text) and 2 * sum(len(m[0]) for m in _LONGS.finditer(text)) > len(text):
+        return True
+    return _DUMPS.search(text) is not None
+
+
 def evidence(texts: list[str]) -> dict[str, list]:
     """What each text (a file or a segment of one) shows, as sums that add up over segments."""
     found = [structure(t) for t in texts]
     tokens = [s for s, _ in found]
     _, share = re_pair(tokens)
     heads = [m[1][:4000] if (m := _HEAD.match(t)) else "" for t in texts]
-    literal = ["".join(_STRING.findall(t)) + "".join(_NUMBER.findall(t)) if n * 2 > len(t) or s.count(b"0") * 4 > len(s) else "" for t, (s, n) in zip(texts, found)]
+    data = [sum(map(s.count, (b"0", b'"', b",", b"-"))) for s in tokens]
+    none = (0, 0, 0, 0)
+    literal, packed, entropy, words = zip(*[literals(t) if d >= DATA * len(s) or n * 2 > len(t) or _wide(t) else none for t, (s, n), d in zip(texts, found, data)]) if texts else ((),) * 4
     return {
         "chars": [len(t) for t in texts],
         "lines": [t.count("\n") + 1 for t in texts],
         "blanks": [sum(map(t.count, " \t\n\r")) for t in texts],
         "tokens": [len(s) for s in tokens],
-        "data": [sum(map(s.count, (b"0", b'"', b",", b"-"))) for s in tokens],
+        "data": data,
         "reused": [float(x) * len(s) for x, s in zip(share, tokens)],
-        "literal": [len(x) for x in literal],
-        "packed": [len(zlib.compress(x.encode("utf-8", "replace"), 1)) if x else 0 for x in literal],
+        "literal": literal,
+        "packed": packed,
+        "entropy": entropy,
+        "words": words,
         "generated": [bool(GENERATED_NOTICE.search(h)) for h in heads],
         "vendored": [bool(VENDORED_NOTICE.search(h)) for h in heads],
         "stretches": [stretches(t) for t in texts],
     }
 
 
-_SUMS = ("chars", "lines", "blanks", "tokens", "data", "reused", "literal", "packed")
+_SUMS = ("chars", "lines", "blanks", "tokens", "data", "reused", "literal", "packed", "entropy", "words")
 
 
 def kinds(chunks: DataFrame) -> DataFrame:
@@ -235,7 +268,7 @@ def kinds(chunks: DataFrame) -> DataFrame:
                 columns = [pa.array(v, types.get(k, pa.int64())) for k, v in seen.items()]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), *columns], ["file_id", "segment", "repo", "path", *seen])
 
-    schema = "file_id bigint, segment int, repo string, path string, chars bigint, `lines` bigint, blanks bigint, tokens bigint, data bigint, reused double, literal bigint, packed bigint, generated boolean, vendored boolean, stretches array<bigint>"
+    schema = "file_id bigint, segment int, repo string, path string, chars bigint, `lines` bigint, blanks bigint, tokens bigint, data bigint, reused double, literal bigint, packed bigint, entropy bigint, words bigint, generated boolean, vendored boolean, stretches array<bigint>"
     seen = cut(parts.select("file_id", "segment", "repo", "path", "parts").mapInArrow(run, schema))
     odd = F.col("h").bitwiseAND(1) == 1
     pieces = seen.df.select("file_id", "repo", F.explode("stretches").alias("h"))
@@ -245,7 +278,8 @@ def kinds(chunks: DataFrame) -> DataFrame:
     f = files.join(shared, "file_id", "left")
     path = F.coalesce("path", F.lit(""))
     matches = lambda rx: F.regexp_like(path, F.lit("(?i)" + rx.pattern))
-    data = (F.col("data") >= DATA * F.col("tokens")) & (F.col("tokens") >= DATA_TOKENS) & (F.col("packed") >= INFORMATION * F.col("literal"))
+    mostly = (F.col("data") >= DATA * F.col("tokens")) & (F.col("tokens") >= DATA_TOKENS) | (F.col("literal") >= DATA * (F.col("chars") - F.col("blanks"))) & (F.col("literal") >= DATA_CHARS) & (F.col("words") < WORDED * F.col("literal"))
+    data = mostly & (F.col("packed") >= INFORMATION * F.col("entropy"))
     kind = (
         F.when(data, "blob")
         .when((F.col("chars") >= LINE * F.col("lines")) & (F.col("blanks") < BLANKS * F.col("chars")) & (F.col("chars") >= 2 * LINE), "minified")

@@ -183,6 +183,19 @@ def test_copies_are_found_by_content(spark):
     assert provenance.kinds(alone).count() == 0
 
 
+def test_blobs_of_few_literals(spark):
+    """One huge literal is a blob, also in a heredoc or a raw string; long prose and a table of one value aren't."""
+    import base64
+
+    rng = random.Random(3)
+    dump = "\n".join(base64.b64encode(rng.randbytes(57)).decode() for _ in range(40))
+    prose = "\n".join(" ".join(rng.choice(["the", "report", "shows", "every", "invoice", "again", "when", "asked", "politely"]) for _ in range(12)) for _ in range(40))
+    texts = ["export const d = `\n" + dump + "\n`;\n", "package p\n\nvar d = `" + dump + "`\n", "<?php\n$d = <<<'EOT'\n" + dump + "\nEOT;\n", 'pub const D: &str = r#"' + dump + '"#;\n', "export const d = `\n" + prose + "\n`;\n", "<?php\n$d = <<<EOT\n" + prose + "\nEOT;\n", "let z = [" + '"aa", ' * 90 + "];\n"]
+    df = spark.createDataFrame([(f"c{k}", k, "r", f"src/f{k}.js", 1, t) for k, t in enumerate(texts)], "id string, file_id bigint, repo string, path string, start_line int, content string")
+    got = {r.file_id: r.kind for r in provenance.kinds(df).collect()}
+    assert [got.get(k) for k in range(4)] == ["blob"] * 4 and not any(got.get(k) == "blob" for k in (4, 5, 6))
+
+
 # ------------------------------------------------------------------ 6
 
 
