@@ -228,7 +228,7 @@ def evidence(texts: list[str]) -> dict[str, list]:
     found = [structure(t) for t in texts]
     tokens = [s for s, _ in found]
     _, share = re_pair(tokens)
-    heads = [m[1][:4000] if (m := _HEAD.match(t)) else "" for t in texts]
+    heads = [m[1] if (m := _HEAD.match(t)) else "" for t in texts]
     data = [sum(map(s.count, (b"0", b'"', b",", b"-"))) for s in tokens]
     none = (0, 0, 0, 0)
     literal, packed, entropy, words = zip(*[literals(t) if d >= DATA * len(s) or n * 2 > len(t) or _wide(t) else none for t, (s, n), d in zip(texts, found, data)]) if texts else ((),) * 4

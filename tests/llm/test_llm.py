@@ -196,6 +196,13 @@ def test_blobs_of_few_literals(spark):
     assert [got.get(k) for k in range(4)] == ["blob"] * 4 and not any(got.get(k) == "blob" for k in (4, 5, 6))
 
 
+def test_notices_below_a_long_head():
+    licence = "".join(f"// Clause {k}: nothing in this paragraph says where the file is from.\n" for k in range(200))
+    notices = ["// Code generated by x. DO NOT EDIT.\n", "// Bundled copy, upstream: https://example.org/q\n"]
+    seen = provenance.evidence([licence + n + HAND for n in notices] + [licence + HAND])
+    assert seen["generated"] == [True, False, False] and seen["vendored"] == [False, True, False]
+
+
 # ------------------------------------------------------------------ 6
 
 
