@@ -9,7 +9,7 @@ from ..functions import exprs as X
 from ..operators import checks, graph, joins, merge, windows
 from ..tables import load
 from .catalog import query
-from .texts import _LANG, SLUG, citations
+from .texts import _LANG, SLUG, citations, texts
 
 
 def first_delivery(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -403,10 +403,7 @@ e AS (SELECT doc_id, CASE WHEN len(string_split(text, chr(10))) >= 3 THEN left(s
 SELECT d.doc_id, d.digest, CASE WHEN d.digest IS NULL THEN 'unknown' WHEN e.digest IS NULL THEN 'broken' WHEN d.digest = e.digest THEN 'ok' ELSE 'stale' END AS status FROM d LEFT JOIN e ON d.doc_id = e.doc_id"""
 
 
-@query(_DRIFT)
-def digest_and_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every document's first three lines, and their drift against a changed copy."""
-    d = load(spark, sf_dir, "documents").where("text is not null").where(~F.contains("text", F.lit("\r")))
+def _drifted(d: DataFrame) -> DataFrame:
     path = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path")
     cited = d.select("doc_id", path, F.lit("1-3").alias("lines"))
     before = checks.digests(cited, d.select(path, F.col("text").alias("content")), "doc_id")
@@ -415,6 +412,19 @@ def digest_and_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.drift(before, now, "doc_id").join(before, "doc_id").select("doc_id", "digest", "status")
 
 
+@query(_DRIFT)
+def digest_and_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's first three lines, and their drift against a changed copy; the documents without CR,
+    as the SQL has them."""
+    return _drifted(texts(spark, sf_dir, False))
+
+
+@query()
+def digest_and_drift_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """digest_and_drift of all documents. Lines end at a newline; a CR before it is text, as in the cited file."""
+    return _drifted(texts(spark, sf_dir))
+
+
 @query(f"""WITH d AS ({_DRIFT}), c AS (SELECT count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'stale') AS stale, count(*) FILTER (WHERE status = 'broken') AS broken, count(*) FILTER (WHERE status = 'unknown') AS unknown FROM d)
 SELECT *, stale + broken > 0 AS drifted FROM c""")
 def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -422,6 +432,12 @@ def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.drift_report(digest_and_drift(spark, sf_dir))
 
 
+@query()
+def drift_report_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """drift_report of all documents."""
+    return checks.drift_report(digest_and_drift_whole(spark, sf_dir))
+
+
 @query("""
 WITH f AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(13))),
 w AS (SELECT doc_id, ls, src, a, b FROM f, (VALUES (0, 3, 5), (1, 20, 22), (2, 60, 61)) AS v(src, a, b)),
@@ -429,8 +445,18 @@ l AS (SELECT doc_id, src, unnest(range(greatest(1, a - 10), least(b + 10, len(ls
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY src, line_no) AS k FROM l)
 SELECT doc_id, src, line_no, lpad(line_no::VARCHAR, 5, ' ') || ' ' || CASE WHEN line_no BETWEEN a AND b THEN '>' ELSE '·' END || ' ' || ls[line_no] AS line FROM n WHERE k <= 40""")
 def excerpt_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Excerpts of three spans of each document, with context, within 40 lines."""
-    d = load(spark, sf_dir, "documents").where("text is not null").where(~F.contains("text", F.lit("\r")))
+    """Excerpts of three spans of each document, with context, within 40 lines; the documents without CR, as the SQL has
+    them."""
+    return _excerpts(texts(spark, sf_dir, False))
+
+
+@query()
+def excerpt_budget_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """excerpt_budget of all documents; a CR before a newline stays."""
+    return _excerpts(texts(spark, sf_dir))
+
+
+def _excerpts(d: DataFrame) -> DataFrame:
     path = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path")
     three = F.array(*(F.struct(F.lit(k).alias("src"), F.lit(v).alias("lines")) for k, v in enumerate(("3-5", "20-22", "60-61"))))
     cited = d.select("doc_id", path, F.explode(three).alias("x")).select("doc_id", "path", "x.*")

@@ -185,9 +185,25 @@ def import_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"SELECT doc_id, split_part(text, chr(10), 1) AS first_line, regexp_extract(text, '(?m)^\*\*Exigence \(EARS\)\*\* : (.*)$', 1) AS stated FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(13))")
 def requirement_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines and stated requirements of documents."""
-    d = load(spark, sf_dir, "documents").where("text is not null").where(~F.contains("text", F.lit("\r")))
-    return d.select("doc_id", F.substring_index("text", "\n", 1).alias("first_line"), F.regexp_extract("text", r"(?m)^\*\*Exigence \(EARS\)\*\* : (.*)$", 1).alias("stated"))
+    """First lines and stated requirements of documents; those without CR, as the SQL has them."""
+    return _stated(texts(spark, sf_dir, False))
+
+
+@query()
+def requirement_extract_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """requirement_extract of all documents. Lines end at a newline, and a CR before it belongs to the end."""
+    return _stated(texts(spark, sf_dir))
+
+
+def texts(spark: SparkSession, sf_dir: str, returns: bool = True) -> DataFrame:
+    """Documents that aren't null; `returns`: with those that contain a CR, which the SQL of some queries leaves out."""
+    d = load(spark, sf_dir, "documents").where("text is not null")
+    return d if returns else d.where(~F.contains("text", F.lit("\r")))
+
+
+def _stated(d: DataFrame) -> DataFrame:
+    plain = lambda c: F.regexp_replace(c, r"\r\z", "")
+    return d.select("doc_id", plain(F.substring_index("text", "\n", 1)).alias("first_line"), plain(F.regexp_extract("text", r"(?md)^\*\*Exigence \(EARS\)\*\* : (.*)$", 1)).alias("stated"))
 
 
 @query("""
