@@ -27,10 +27,12 @@ def with_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def frontmatter() -> Column:
-    """The page's head. A path that plain YAML would misread is quoted."""
-    quoted = lambda p: F.when(F.regexp_like(p, F.lit(r": |:$| #|^[\s\"'&*!|>%@`\[\]{},?-]|\s$|^$")), F.to_json(F.array(p)).substr(F.lit(2), F.length(F.to_json(F.array(p))) - 2)).otherwise(p)
-    sources = F.when(F.size("sources") == 0, "sources: []\n").otherwise(F.concat(F.lit("sources:\n"), F.array_join(F.transform("sources", lambda s: F.concat(F.lit("  - path: "), quoted(s["path"]), F.lit('\n    lines: "'), s["lines"], F.lit('"\n'))), "")))
-    edges = F.when(F.size("edges") == 0, "edges: []\n").otherwise(F.concat(F.lit("edges:\n"), F.array_join(F.transform("edges", lambda e: F.concat(F.lit("  - {type: "), e["type"], F.lit(", to: "), e["to"], F.lit("}\n"))), "")))
+    """The page's head. What plain YAML would misread is quoted."""
+    text = lambda p: F.to_json(F.array(p)).substr(F.lit(2), F.length(F.to_json(F.array(p))) - 2)
+    quoted = lambda p: F.when(F.regexp_like(p, F.lit(r": |:$| #|^[\s\"'&*!|>%@`\[\]{},?-]|\s$|^$|[\x00-\x1f\x7f\x85\u2028\u2029]")), text(p)).otherwise(p)
+    target = lambda p: F.when(F.regexp_like(p, F.lit(r"^\"|^$|[\x00-\x1f\x7f\x85\u2028\u2029]")), text(p)).otherwise(p)
+    sources = F.when(F.size("sources") == 0, "sources: []\n").otherwise(F.concat(F.lit("sources:\n"), F.array_join(F.transform("sources", lambda s: F.concat(F.lit("  - path: "), quoted(s["path"]), F.lit("\n    lines: "), text(s["lines"]), F.lit("\n"))), "")))
+    edges = F.when(F.size("edges") == 0, "edges: []\n").otherwise(F.concat(F.lit("edges:\n"), F.array_join(F.transform("edges", lambda e: F.concat(F.lit("  - {type: "), e["type"], F.lit(", to: "), target(e["to"]), F.lit("}\n"))), "")))
     extra = [F.when(F.coalesce(F.try_element_at("extra", F.lit(k)), F.lit("")) != "", F.concat(F.lit(f"{k}: "), F.try_element_at("extra", F.lit(k)), F.lit("\n"))).otherwise("") for k in EXTRAS]
     return F.concat(F.lit("---\nid: "), "id", F.lit("\ntype: "), "type", F.lit("\nstatus: generated\n"), sources, edges, *extra, F.lit("---\n"))
 

@@ -91,3 +91,24 @@ def frontmatter_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = r.where(plain & named)
     full = render.with_edges(graph.rule_nodes(kept), graph.rule_edges(kept))
     return full.select("id", render.frontmatter().alias("head"))
+
+
+@query()
+def frontmatter_render_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """frontmatter_render of all rules; see _defined()."""
+    full = _with_edges(spark, sf_dir)
+    return full.select("id", render.frontmatter().alias("head"))
+
+
+def _with_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = first_delivery(spark, sf_dir, "domain", "slug", "title", "ears_kind", "requirement", "rationale", "citations", "entities", "endpoints", "acceptance_criteria", "nature", "origin")
+    kept = _defined(r.withColumn("domain", F.col("rule_id").cast("string")))
+    return render.with_edges(graph.rule_nodes(kept), graph.rule_edges(kept))
+
+
+def _defined(r: DataFrame) -> DataFrame:
+    """Rules as they can be written: a null slug, path or range is empty, a null entity or endpoint is none, and NaN is no
+    confidence."""
+    given = lambda c: F.filter(c, lambda x: x.isNotNull())
+    some = F.transform("citations", lambda c: F.struct(F.coalesce(c["path"], F.lit("")).alias("path"), F.coalesce(c["lines"], F.lit("")).alias("lines")))
+    return r.withColumns({"slug": F.coalesce("slug", F.lit("")), "citations": some, "entities": given("entities"), "endpoints": given("endpoints"), "confidence": F.when(~F.isnan("confidence"), F.col("confidence"))})

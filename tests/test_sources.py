@@ -115,3 +115,29 @@ def test_settings_and_state(tmp_path):
     s = State(str(tmp_path / "s.json"))
     s.phase("map", 3, 0, 1, 1)
     assert s.data["tokens"]["map"] == {"prompt": 11, "completion": 3} and s.data["counters"]["map"] == {"total": 3, "done": 3, "failed": 0}
+
+
+def test_all_rules_have_heads(spark, tmp_path):
+    """Nulls, NaN and odd paths give heads that read back as they were."""
+    import datetime as dt
+
+    from loomgraph.operators import render
+    from loomgraph.plans import catalog
+    from loomgraph.plans import sources as plans
+
+    at = dt.datetime(2024, 1, 1)
+    odd = [("a b/c: d.go", "1-2"), ("", "x"), (None, "3-4"), ("p.go", None), ('q"\\.go', 'l"\\'), ("é\n#.go", "5-6"), ("- z", "7-8"), None]
+    rows = [
+        (1, "d", "s1", "t", odd, ["entity.a", None], [None, "endpoint.get.x"], 0.5), (2, "d", "s2", "t", [("ok.go", "1-2")], None, None, float("nan")), (3, None, "s3", None, None, [None], None, None),
+        (4, "d", None, "t", [], [], [], 1.0), (5, "d", "s5", "t", [(p, "1-1") for p in ("tail ", "*x", "a #b", "plain")], ['entity."q', "entity.l\nm"], [""], 0.25),
+    ]
+    schema = "rule_id bigint, domain string, slug string, title string, citations array<struct<path:string,lines:string>>, entities array<string>, endpoints array<string>, confidence double, ears_kind string, requirement string, rationale string, acceptance_criteria array<string>, nature string, origin string, received_at timestamp, generated_at timestamp"
+    spark.createDataFrame([(*r, "event", "req", None, None, "business", "explicit", at, at) for r in rows], schema).write.parquet(str(tmp_path / "rules.parquet"))
+    run = lambda name: {r.id: r["head"] for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
+    heads = run("frontmatter_render_whole")
+    assert set(heads) == {"rule.1.s1", "rule.2.s2", "rule.3.s3", "rule.4.", "rule.5.s5"} and not run("frontmatter_render")
+    assert not render.round_trip(plans._with_edges(spark, str(tmp_path))).count()
+    node = render.parse_page(heads["rule.1.s1"])
+    assert sorted((c["path"], c["lines"]) for c in node["sources"]) == sorted((c[0] or "", c[1] or "") if c else ("", "") for c in odd)
+    assert [e["to"] for e in node["edges"]] == ["domain.1", "entity.a", "endpoint.get.x"]
+    assert render.parse_page(heads["rule.2.s2"])["extra"]["confidence"] == "0.00"
