@@ -22,8 +22,6 @@ class IntegrityError(RuntimeError):
     """The graph has violations; nothing is rendered."""
 
 
-#: Files without a grammar that the summary page names.
-SHOWN_FILES = 2000
 _FACT = ["kind", "id", "attrs", "source", "origin", "certainty", "pos"]
 
 
@@ -134,7 +132,7 @@ def run(spark: SparkSession, config: Config, chat: M.Chat) -> dict:
 
 
 def summarise(nodes: DataFrame, edges: DataFrame, files: DataFrame, tally: dict[str, int], extractors: dict[str, str], units: dict[str, tuple[int, int]]) -> dict:
-    """Counts and lists for the summary page; long lists of pairs and files end in how many more there are."""
+    """Counts and lists for the summary page; the list of pairs ends in how many more there are."""
     sets = nodes.where("type = 'rule'").select(F.col("id").alias("row"), X.word_set(X.requirement_of(F.col("body"))).alias("words"))
     pairs = cut(joins.similar_sets(sets))
     within = pairs.df.agg(F.count_if(X.rule_domain(F.col("a")) == X.rule_domain(F.col("b")))).collect()[0][0]
@@ -147,7 +145,7 @@ def summarise(nodes: DataFrame, edges: DataFrame, files: DataFrame, tally: dict[
         "tally": tally,
         "units": units,
         "extractors_failed": sorted(n for n, s in extractors.items() if s != "ok"),
-        "no_grammar": ([r[0] for r in bare.orderBy("path").limit(SHOWN_FILES).collect()], bare.count()),
+        "no_grammar": [r[0] for r in bare.orderBy("path").toLocalIterator()],
         "duplicates": (pairs.rows, within, [tuple(r) for r in pairs.df.orderBy(F.desc("similarity"), "a", "b").limit(20).collect()]),
         "domains": [r[0] for r in nodes.where("type = 'domain'").select(F.regexp_replace("id", r"^domain\.", "")).orderBy("id").toLocalIterator()],
         "depends_on": [tuple(r) for r in edges.where("type = 'depends_on'").select("src", "dst").orderBy("src", "dst").toLocalIterator()],
@@ -168,9 +166,8 @@ def summary_page(s: dict) -> str:
         lines.append("  - explicites : {} · implicites : {}".format(*(s["origin"].get(k, 0) for k in X.ORIGINS)))
     lines += ["", "## Couverture", "", f"- Endpoints référencés par au moins une règle : {_share(c['endpoints_referenced'], c['endpoints_total'])}", f"- Entités touchées par au moins une règle : {_share(c['entities_touched'], c['entities_total'])}"]
     lines += [f"- {label} en échec : {s['units'][k][1]}/{s['units'][k][0]}" for label, k in (("Chunks", "chunks"), ("Domaines", "domains"))]
-    bare, n_bare = s["no_grammar"]
-    if bare:
-        lines.append(f"- Fichiers sans grammaire (fallback lignes) : {', '.join(bare)}" + (f", … et {n_bare - len(bare)} autres" if n_bare > len(bare) else ""))
+    if s["no_grammar"]:
+        lines.append(f"- Fichiers sans grammaire (fallback lignes) : {', '.join(s['no_grammar'])}")
     if s["extractors_failed"]:
         lines.append(f"- Extracteurs en échec : {', '.join(s['extractors_failed'])}")
     if v := s["tally"]:

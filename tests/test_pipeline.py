@@ -125,3 +125,12 @@ def test_run_verify_drift(spark, tree, tmp_path):
     status = {r.rule_id: r.status for r in pipeline.drift(spark, config).collect()}
     assert sorted(status.values()) == ["broken", "ok", "ok", "stale"]
     assert {r.check for r in pipeline.verify(spark, config).collect()} == {"unresolvable-citation"}
+
+
+def test_summary_names_all_files_without_a_grammar(spark):
+    nodes = spark.createDataFrame([], "id string, type string, title string, body string, sources array<struct<path:string,lines:string>>, extra map<string,string>")
+    edges = spark.createDataFrame([], "src string, type string, dst string")
+    names = [f"d/f{k:04}.txt" for k in range(2100)]
+    files = spark.createDataFrame([(n, "") for n in reversed(names)] + [("a.go", "go")], "path string, language string")
+    page = pipeline.summary_page(pipeline.summarise(nodes, edges, files, {}, {}, {"chunks": (0, 0), "domains": (0, 0)}))
+    assert f"- Fichiers sans grammaire (fallback lignes) : {', '.join(names)}\n" in page
