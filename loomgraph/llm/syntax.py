@@ -58,7 +58,7 @@ CONFLICT = re.compile(r"(?:<{7}|>{7}|\|{7})(?: [^\n]*)?$|={7}$", re.M)
 
 @dataclass(slots=True)
 class Summary:
-    """What a chunk needs and leaves. state is '' for the ordinary state."""
+    """What a chunk needs and leaves. state is '' for the ordinary state; last is its last operator or word, 'x' for any other token."""
 
     need: str = ""
     left: str = ""
@@ -66,6 +66,7 @@ class Summary:
     error: str = ""
     top: str = ""
     tag: bool = False
+    last: str = ""
 
     def then(self, other: Summary) -> Summary:
         """This chunk followed by `other`, which must have been read from this one's state."""
@@ -79,7 +80,7 @@ class Summary:
             else:
                 error = error or f"{left[-1]} closed by {c}"
                 break
-        return Summary(need, left + other.left, other.state, error, top, self.tag or other.tag)
+        return Summary(need, left + other.left, other.state, error, top, self.tag or other.tag, other.last or self.last)
 
 
 def _words(language: str) -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
@@ -107,6 +108,16 @@ _TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*")
 _CALL_BEFORE = frozenset(")]}")
 _NO_OPERAND = frozenset("= + * / % | ^ & , ( [ && || ?? == === != !== <= >= := => ...".split())
 
+#: What no file ends with.
+_PENDING = frozenset("= + % | ^ & , . && || ?? == === != !== <= >= := => -> ?-> :: ...".split())
+#: Words that no file ends with.
+DECLARES = {
+    "javascript": "class const export extends function import let new throw typeof var",
+    "go": "chan const defer func go goto if import interface map package range struct switch type var",
+    "rust": "as const enum extern fn for if impl in let match mod mut pub static struct trait type unsafe use where while",
+    "php": "abstract class const extends function implements insteadof interface namespace new private protected public trait use",
+}
+
 
 def lex(language: str, text: str, state: str = "", path: str = "") -> Summary:
     """The summary of a chunk of code, read from the lexer state `state`."""
@@ -394,6 +405,7 @@ class _Lexer:
             out.state = "nested"
         out.left = "".join(x for x in stack if x in "([{")
         out.error = error
+        out.last = value if prev in (PUNCT, KEYWORD) else "x" if prev else ""
         return out
 
     def template(self, at: int, stack: list[str]) -> int:
@@ -480,13 +492,15 @@ def verdict(language: str, whole: Summary) -> str:
         return f"{whole.need[0]} closes nothing"
     if whole.left:
         return f"{whole.left[-1]} isn't closed"
+    if not whole.state and (whole.last in _PENDING or whole.last in DECLARES[FAMILY[language]].split()):
+        return f"it ends after {whole.last}"
     return "no opening tag" if language == "php" and not whole.tag else ""
 
 
 #: Lines of a file that are composed in one task before the file is.
 STRIDE = 50_000
-_FIELDS = ("need", "left", "state", "error", "top", "tag")
-_PART = "struct<start:int,id:string,need:string,`left`:string,state:string,error:string,`top`:string,tag:boolean>"
+_FIELDS = ("need", "left", "state", "error", "top", "tag", "last")
+_PART = "struct<start:int,id:string,need:string,`left`:string,state:string,error:string,`top`:string,tag:boolean,`last`:string>"
 
 
 def _distinct(parts: list[dict]) -> list[dict]:
@@ -518,7 +532,7 @@ def invalid_files(chunks: DataFrame, languages: DataFrame) -> DataFrame:
             columns = [pa.array([getattr(x, f) for x in found], pa.bool_() if f == "tag" else pa.string()) for f in _FIELDS]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(5)), *columns], ["file_id", "id", "repo", "language", "start", *_FIELDS])
 
-    parts = known.mapInArrow(summarise, "file_id bigint, id string, repo string, language string, start int, need string, `left` string, state string, error string, `top` string, tag boolean")
+    parts = known.mapInArrow(summarise, "file_id bigint, id string, repo string, language string, start int, need string, `left` string, state string, error string, `top` string, tag boolean, `last` string")
     stride = F.coalesce((F.col("start") / STRIDE).cast("int"), F.lit(0)).alias("__s")
     grouped = parts.groupBy("file_id", stride).agg(F.max("repo").alias("repo"), F.max("language").alias("language"), F.collect_set(F.struct("start", "id", *_FIELDS)).alias("parts"))
 

@@ -305,6 +305,16 @@ def test_invalid_files(spark):
     assert syntax.invalid_files(df.limit(0), languages).count() == 0
 
 
+def test_truncated_outside_brackets():
+    """A file that ends after an operator or a declaring word, also where a chunk without tokens follows."""
+    for language, texts in {"javascript": ["const x =", "let a = b +", "f();\nclass"], "go": ["package p\n\nvar x =", "package p\nfunc"], "rust": ["use a::", "fn f() {}\npub fn"], "php": ["<?php\n$a =", "<?php\nfunction"]}.items():
+        for text in texts:
+            assert syntax.verdict(language, syntax.lex(language, text)), text
+            assert syntax.verdict(language, syntax.compose([syntax.lex(language, text), syntax.lex(language, "\n// end\n")])), text
+    parts = [syntax.lex("javascript", "const x ="), syntax.lex("javascript", "3;\n")]
+    assert not syntax.verdict("javascript", syntax.compose(parts))
+
+
 # ------------------------------------------------------------------ 8, 9
 
 
