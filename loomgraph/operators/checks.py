@@ -2,26 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 
+#: What the violations say.
+DETAILS = {
+    "duplicate-id": "node id appears more than once",
+    "dangling-edge": "edge {type} points to missing node {dst}",
+    "rule-without-citation": "rule node has no source citation",
+    "escapes": 'path "{path}" escapes the source root',
+    "range": 'invalid line range "{lines}"',
+    "missing": 'path "{path}" not found under source root',
+    "beyond": "lines {lines} exceed file {path} ({n_lines} lines)",
+}
+
+
+def _detail(key: str) -> Column:
+    """A detail with the row's columns in the places of their names."""
+    parts = re.split(r"\{(\w+)\}", DETAILS[key])
+    return F.concat(*(F.coalesce(F.col(x).cast("string"), F.lit("")) if k % 2 else F.lit(x) for k, x in enumerate(parts)))
+
 
 def duplicate_ids(nodes: DataFrame, key: str = "id") -> DataFrame:
     """One violation for each repeat of an id beyond the first; counted, not windowed."""
     repeated = nodes.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
-    return repeated.select(F.col(key).alias("node_id"), F.explode(F.sequence(F.lit(2), F.col("n").cast("int"))).alias("k")).select("node_id", F.lit("duplicate-id").alias("check"), F.lit("node id appears more than once").alias("detail"))
+    return repeated.select(F.col(key).alias("node_id"), F.explode(F.sequence(F.lit(2), F.col("n").cast("int"))).alias("k")).select("node_id", F.lit("duplicate-id").alias("check"), F.lit(DETAILS["duplicate-id"]).alias("detail"))
 
 
 def dangling_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     lost = edges.join(nodes.select(F.col("id").alias("__id")), F.col("dst") == F.col("__id"), "left_anti")
-    return lost.select(F.col("src").alias("node_id"), F.lit("dangling-edge").alias("check"), F.concat(F.lit("edge "), F.col("type"), F.lit(" points to missing node "), F.col("dst")).alias("detail"))
+    return lost.select(F.col("src").alias("node_id"), F.lit("dangling-edge").alias("check"), _detail("dangling-edge").alias("detail"))
 
 
 def uncited_rules(nodes: DataFrame) -> DataFrame:
     bare = nodes.where((F.col("type") == "rule") & (F.coalesce(F.size("sources"), F.lit(0)) == 0))
-    return bare.select(F.col("id").alias("node_id"), F.lit("rule-without-citation").alias("check"), F.lit("rule node has no source citation").alias("detail"))
+    return bare.select(F.col("id").alias("node_id"), F.lit("rule-without-citation").alias("check"), F.lit(DETAILS["rule-without-citation"]).alias("detail"))
 
 
 def resolve_citations(citations: DataFrame, line_counts: DataFrame) -> DataFrame:
@@ -34,13 +53,7 @@ def resolve_citations(citations: DataFrame, line_counts: DataFrame) -> DataFrame
     counts = line_counts.select(F.col("path").alias("__p"), "n_lines")
     j = citations.join(counts, F.col("path") == F.col("__p"), "left").drop("__p")
     end = X.range_end(F.col("lines"))
-    quoted = F.concat(F.lit('path "'), F.coalesce("path", F.lit("")), F.lit('" '))
-    problem = (
-        F.when(escapes, F.concat(quoted, F.lit("escapes the source root")))
-        .when(end.isNull(), F.concat(F.lit('invalid line range "'), F.coalesce("lines", F.lit("")), F.lit('"')))
-        .when(F.col("n_lines").isNull(), F.concat(quoted, F.lit("not found under source root")))
-        .when(end > F.col("n_lines"), F.concat(F.lit("lines "), F.col("lines"), F.lit(" exceed file "), F.col("path"), F.lit(" ("), F.col("n_lines").cast("string"), F.lit(" lines)")))
-    )
+    problem = F.when(escapes, _detail("escapes")).when(end.isNull(), _detail("range")).when(F.col("n_lines").isNull(), _detail("missing")).when(end > F.col("n_lines"), _detail("beyond"))
     return j.withColumn("problem", problem)
 
 

@@ -73,10 +73,10 @@ class PageError(ValueError):
 def parse_page(page: str) -> dict:
     """A node of a page; the body is what follows its head."""
     if not page.startswith("---\n"):
-        raise PageError("missing frontmatter opening")
+        raise PageError("the page has no head")
     head, mark, body = page[4:].partition("\n---\n")
     if not mark:
-        raise PageError("missing frontmatter closing")
+        raise PageError("the page's head has no end")
     node: dict = {"id": "", "type": "", "status": "", "sources": [], "edges": [], "extra": {}}
     section = ""
     for line in head.split("\n"):

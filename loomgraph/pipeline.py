@@ -156,30 +156,53 @@ def _share(part: int, total: int) -> str:
     return f"{part}/{total} ({part * 100 // total}%)" if total else f"{part}/0 (n/a)"
 
 
+#: The wording of the summary page, in the order in which it appears.
+PAGE = {
+    "title": "# Spécification générée",
+    "domain": "- Domaines : {}",
+    "entity": "- Entités : {}",
+    "endpoint": "- Endpoints : {}",
+    "rule": "- Règles : {}",
+    "nature": "  - métier : {} · présentation : {} · technique : {}",
+    "origin": "  - explicites : {} · implicites : {}",
+    "coverage": "## Couverture",
+    "endpoints": "- Endpoints référencés par au moins une règle : {}",
+    "entities": "- Entités touchées par au moins une règle : {}",
+    "chunks": "- Chunks en échec : {}/{}",
+    "domains": "- Domaines en échec : {}/{}",
+    "no_grammar": "- Fichiers sans grammaire (fallback lignes) : {}",
+    "extractors": "- Extracteurs en échec : {}",
+    "review": "- Contre-vérification adversariale : {} supported, {} partial, {} unsupported",
+    "repaired": ", {} réparés",
+    "failed": ", {} en échec",
+    "duplicates": "## Doublons candidats",
+    "pairs": "{} paires de règles à l'exigence quasi identique (à réconcilier) — {} intra-domaine, {} cross-domaine :",
+    "pair": "- `{}` ↔ `{}` ({:.0f}%)",
+    "more": "- … et {} autres",
+    "graph": "## Domaines",
+}
+
+
 def summary_page(s: dict) -> str:
     """The summary as a page, with the domains' diagram."""
-    t, c = s["types"], s["coverage"]
-    lines = ["# Spécification générée", "", *(f"- {label} : {t.get(k, 0)}" for label, k in (("Domaines", "domain"), ("Entités", "entity"), ("Endpoints", "endpoint"), ("Règles", "rule")))]
-    if s["nature"]:
-        lines.append("  - métier : {} · présentation : {} · technique : {}".format(*(s["nature"].get(k, 0) for k in X.NATURES)))
-    if s["origin"]:
-        lines.append("  - explicites : {} · implicites : {}".format(*(s["origin"].get(k, 0) for k in X.ORIGINS)))
-    lines += ["", "## Couverture", "", f"- Endpoints référencés par au moins une règle : {_share(c['endpoints_referenced'], c['endpoints_total'])}", f"- Entités touchées par au moins une règle : {_share(c['entities_touched'], c['entities_total'])}"]
-    lines += [f"- {label} en échec : {s['units'][k][1]}/{s['units'][k][0]}" for label, k in (("Chunks", "chunks"), ("Domaines", "domains"))]
-    if s["no_grammar"]:
-        lines.append(f"- Fichiers sans grammaire (fallback lignes) : {', '.join(s['no_grammar'])}")
-    if s["extractors_failed"]:
-        lines.append(f"- Extracteurs en échec : {', '.join(s['extractors_failed'])}")
-    if v := s["tally"]:
-        more = "".join(f", {v[k]} {label}" for k, label in (("repaired", "réparés"), ("failed", "en échec")) if v.get(k))
-        lines.append(f"- Contre-vérification adversariale : {v['supported']} supported, {v['partial']} partial, {v['unsupported']} unsupported{more}")
+    say = lambda key, *values: PAGE[key].format(*values)
+    types, covered, units = s["types"], s["coverage"], s["units"]
+    lines = [say("title"), "", *(say(k, types.get(k, 0)) for k in ("domain", "entity", "endpoint", "rule"))]
+    for key, order in (("nature", X.NATURES), ("origin", X.ORIGINS)):
+        if s[key]:
+            lines.append(say(key, *(s[key].get(k, 0) for k in order)))
+    lines += ["", say("coverage"), "", say("endpoints", _share(covered["endpoints_referenced"], covered["endpoints_total"])), say("entities", _share(covered["entities_touched"], covered["entities_total"]))]
+    lines += [say(k, units[k][1], units[k][0]) for k in ("chunks", "domains")]
+    lines += [say(k, ", ".join(names)) for k, names in (("no_grammar", s["no_grammar"]), ("extractors", s["extractors_failed"])) if names]
+    if tally := s["tally"]:
+        lines.append(say("review", *(tally[k] for k in ("supported", "partial", "unsupported"))) + "".join(say(k, tally[k]) for k in ("repaired", "failed") if tally.get(k)))
     n, within, shown = s["duplicates"]
     if n:
-        lines += ["", "## Doublons candidats", "", f"{n} paires de règles à l'exigence quasi identique (à réconcilier) — {within} intra-domaine, {n - within} cross-domaine :", "", *(f"- `{a}` ↔ `{b}` ({x * 100:.0f}%)" for a, b, x in shown)]
+        lines += ["", say("duplicates"), "", say("pairs", n, within, n - within), "", *(say("pair", a, b, x * 100) for a, b, x in shown)]
         if n > len(shown):
-            lines.append(f"- … et {n - len(shown)} autres")
-    name = lambda x: x.removeprefix("domain.").replace("-", "_")
-    lines += ["", "## Domaines", "", "```mermaid", "graph TD", *(f'  {name(d)}["{d}"]' for d in s["domains"]), *(f"  {name(a)} --> {name(b)}" for a, b in s["depends_on"]), "```", ""]
+            lines.append(say("more", n - len(shown)))
+    name = lambda d: d.removeprefix("domain.").replace("-", "_")
+    lines += ["", say("graph"), "", "```mermaid", "graph TD", *(f'  {name(d)}["{d}"]' for d in s["domains"]), *(f"  {name(a)} --> {name(b)}" for a, b in s["depends_on"]), "```", ""]
     return "\n".join(lines)
 
 

@@ -10,6 +10,7 @@ Defined results: content that isn't UTF-8 is read with replacement; an unknown l
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -39,18 +40,26 @@ class Source:
     def __init__(self, language: str, text: str):
         self.language, self.text, self.code = language, text, mask(language, text)
         self.close: dict[int, int] = {}
-        self.parent: list[tuple[int, int]] = []
+        #: Where the innermost open brace changes, and to which (-1 outside of all).
+        self._turns: list[int] = []
+        self._inner: list[int] = []
         stack: list[int] = []
+        braces: list[int] = []
         for m in re.finditer(r"[{}()]", self.code):
             if m[0] in "{(":
                 stack.append(m.start())
+                if m[0] == "{":
+                    braces.append(m.start())
             elif stack:
-                self.close[stack.pop()] = m.start()
+                opened = stack.pop()
+                self.close[opened] = m.start()
+                if braces and braces[-1] == opened:
+                    braces.pop()
+            self._turns.append(m.start())
+            self._inner.append(braces[-1] if braces else -1)
         self.ends = [m.start() for m in re.finditer("\n", text)]
 
     def line(self, at: int) -> int:
-        from bisect import bisect_left
-
         return bisect_left(self.ends, at) + 1
 
     def body(self, at: int, stop: str = ";") -> tuple[int, bool]:
@@ -69,8 +78,12 @@ class Source:
 
     def within(self, at: int, spans: list[tuple[int, int]]) -> bool:
         """Whether the innermost brace around `at` is one of the spans' own."""
-        inner = max((s for s in self.close if self.code[s] == "{" and s < at < self.close[s]), default=-1)
-        return any(s <= inner <= e and self.code.find("{", s) == inner for s, e in spans)
+        k = bisect_left(self._turns, at) - 1
+        inner = self._inner[k] if k >= 0 else -1
+        while inner >= 0 and inner not in self.close:  # one that nothing closes holds nothing
+            k = bisect_left(self._turns, inner) - 1
+            inner = self._inner[k] if k >= 0 else -1
+        return inner >= 0 and inner in {self.code.find("{", s) for s, _ in spans}
 
 
 Found = dict[str, list[dict]]
@@ -239,34 +252,73 @@ def parse_files(files: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- DDL
 
 #: What a table element that is no column begins with.
-_NO_COLUMN = re.compile(r"(?i)^(?:primary|foreign|unique|constraint|check|key|index|exclude|like)\b")
-_CREATE = re.compile(r"(?is)create\s+(?:temp(?:orary)?\s+|unlogged\s+)?table\s+(?:if\s+not\s+exists\s+)?([\w.\"`']+)\s*\(")
+_NO_COLUMN = frozenset("primary foreign unique constraint check key index exclude like".split())
+_SQL = re.compile(r"(?P<note>--[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<gap>\s+)|(?P<mark>[(),;])|(?P<text>\"[^\"]*\"|`[^`]*`|'[^']*'|\[[^\]]*\]|[^\s(),;\"`']+|.)")
+_QUOTES = "\"'`"
+
+
+def _sql_tokens(sql: str) -> list[tuple[str, str, int, bool]]:
+    """(kind, text, offset, whether a gap or comment stands before) of a script, gaps and comments left out."""
+    out, gap = [], True
+    for m in _SQL.finditer(sql):
+        if m.lastgroup in ("note", "gap"):
+            gap = True
+        else:
+            out.append((m.lastgroup, m[0], m.start(), gap))
+            gap = False
+    return out
+
+
+def _after_create(tokens: list[tuple[str, str, int, bool]], k: int) -> int | None:
+    """Index of the name token of a CREATE TABLE statement that begins at token k."""
+    words = [t[1].lower() for t in tokens[k : k + 7]]
+    n = 1
+    while n < len(words) and words[n] in ("temp", "temporary", "unlogged"):
+        n += 1
+    if words[:1] != ["create"] or words[n : n + 1] != ["table"]:
+        return None
+    n += 4 if words[n + 1 : n + 4] == ["if", "not", "exists"] else 1
+    return k + n
 
 
 def parse_tables(sql: str) -> list[dict]:
-    """Tables created by a script: name, columns as name:type, the statement's line."""
-    out = []
-    for m in _CREATE.finditer(sql):
-        depth, parts, begin, end = 0, [], m.end(), None
-        for x in re.compile(r"[(),]").finditer(sql, m.end() - 1):
-            if x[0] == "(":
-                depth += 1
-            elif x[0] == ")":
-                depth -= 1
-                if not depth:
-                    end = x.start()
-                    parts.append(sql[begin:end])
-                    break
-            elif depth == 1:
-                parts.append(sql[begin : x.start()])
-                begin = x.end()
-        if end is None:
+    """Tables created by a script: name, columns as name:type, the statement's line.
+
+    A column's type is what follows its name up to the next gap, so `numeric(10, 2)` gives `numeric(10`. Comments are
+    gaps. A statement whose brackets don't close gives no table.
+    """
+    tokens, out, k = _sql_tokens(sql), [], 0
+    while k < len(tokens):
+        at = _after_create(tokens, k)
+        if at is None:
+            k += 1
+            continue
+        line, name, k = sql.count("\n", 0, tokens[k][2]) + 1, "", at
+        while k < len(tokens) and tokens[k][0] == "text" and (not name or not tokens[k][3]):
+            name, k = name + tokens[k][1], k + 1
+        if not name or k >= len(tokens) or tokens[k][1] != "(":
+            continue
+        elements: list[list[str]] = [[]]
+        depth, k = 1, k + 1
+        while k < len(tokens) and depth:
+            _, text, _, gap = tokens[k]
+            depth += {"(": 1, ")": -1}.get(text, 0)
+            if text == "," and depth == 1:
+                elements.append([])
+            elif depth:
+                if gap or not elements[-1]:
+                    elements[-1].append("")
+                elements[-1][-1] += text
+            k += 1
+        if depth:
             continue
         columns = []
-        for words in (p.split() for p in map(str.strip, parts) if p and not _NO_COLUMN.match(p)):
-            name, kind = words[0].strip("`\"'"), words[1].strip("`\"',").lower() if len(words) > 1 else ""
-            columns.append(f"{name}:{kind}" if kind else name)
-        out.append({"name": m[1].strip("`\"'"), "columns": columns, "line": sql.count("\n", 0, m.start()) + 1})
+        for fields in elements:
+            if not fields or re.match(r"\w*", fields[0])[0].lower() in _NO_COLUMN:
+                continue
+            kind = fields[1].strip(_QUOTES + ",").lower() if len(fields) > 1 else ""
+            columns.append(":".join(filter(None, (fields[0].strip(_QUOTES), kind))))
+        out.append({"name": name.strip(_QUOTES), "columns": columns, "line": line})
     return out
 
 

@@ -10,47 +10,49 @@ from loomgraph import pipeline
 from loomgraph.config import Config
 from loomgraph.operators import checks
 
-PHP = """<?php
+ALLOCATOR = """<?php
 
-namespace App\\Services\\Billing;
+namespace Depot\\Lockers\\Placement;
 
-use App\\Models\\Invoice;
+use Depot\\Goods\\Weights\\Parcel;
 
-class Prorata
+final class Allocator
 {
-    private int $days = 30;
-
-    public function share(Invoice $invoice): int
+    public function choose(array $free, Parcel $parcel): ?string
     {
-        if ($invoice->total < 0) {
-            throw new \\RuntimeException("negative } total");
+        foreach ($free as $door => $grams) {
+            if ($grams >= $parcel->grams()) {
+                return $door; // the first that bears it }
+            }
         }
-        return intdiv($invoice->total, $this->days);
+        return null;
     }
 }
 """
-MODEL = """<?php
+PARCEL = """<?php
 
-namespace App\\Models\\Store;
+namespace Depot\\Goods\\Weights;
 
-use App\\Services\\Billing\\Prorata;
+use Depot\\Lockers\\Placement\\Allocator;
 
-class Invoice
+final class Parcel
 {
-    public int $total = 0;
+    public function grams(): int { return $this->kilos * 1000; }
 }
 """
-ROUTES = """<?php
+DOORS = """<?php
 
-use App\\Services\\Billing\\Prorata;
+use Depot\\Lockers\\Placement\\Allocator;
 
-Route::get('/invoices', [Prorata::class, 'share']);
-Route::post('invoices/{id}', 'Prorata@share');
+Route::put('lockers/{door}/parcel', 'Allocator@choose');
+Route::delete('/lockers/{door}', [Allocator::class, 'choose']);
 """
-MIGRATION = """CREATE TABLE invoices (
-  id BIGSERIAL PRIMARY KEY,
-  total BIGINT,
-  CONSTRAINT one UNIQUE (id)
+SCHEMA = """-- doors of one wall
+create table parcel_doors
+(
+  door varchar(8) not null,
+  grams_borne int default 5000, -- as tested
+  check (grams_borne > 0)
 );
 """
 
@@ -58,7 +60,7 @@ MIGRATION = """CREATE TABLE invoices (
 @pytest.fixture
 def tree(tmp_path):
     root = tmp_path / "src"
-    for name, text in (("app/Services/Prorata.php", PHP), ("app/Models/Invoice.php", MODEL), ("routes/web.php", ROUTES), ("db/schema.sql", MIGRATION), ("vendor/skip.php", PHP), (".git/x.php", PHP), ("notes/_keep.txt", ""), ("bin/blob.dat", "\0\1")):
+    for name, text in (("lib/Allocator.php", ALLOCATOR), ("lib/Parcel.php", PARCEL), ("http/doors.php", DOORS), ("sql/doors.sql", SCHEMA), ("skipped/twin.php", ALLOCATOR), (".cache/x.php", ALLOCATOR), ("notes/_empty.txt", ""), ("bin/raw.dat", "\0\1")):
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(text)
     return str(root)
@@ -73,7 +75,7 @@ def chat(messages):
         rules = json.loads(user.split("\n")[1])
         return "```json\n" + json.dumps({"domain_summary": "What " + user.split("\n")[0], "rules": rules}) + "\n```", (5, 2)
     path, a, b = re.match(r"File (.*), lines (\d+)-(\d+)", user).groups()
-    rule = {"title": f"Rule of {path}", "ears_kind": "ubiquitous", "requirement": f"The system shall keep {path} lines {a} to {b}.", "citations": [{"path": path, "lines": f"{a}-{b}"}], "nature": "business", "origin": "explicit", "confidence": 0.125, "entities": ["entity.invoices"]}
+    rule = {"title": f"Rule of {path}", "ears_kind": "ubiquitous", "requirement": f"The system shall keep {path} lines {a} to {b}.", "citations": [{"path": path, "lines": f"{a}-{b}"}], "nature": "business", "origin": "explicit", "confidence": 0.125, "entities": ["entity.parcel-doors"]}
     return json.dumps({"chunk_summary": "s", "rules": [rule]}), (10, 4)
 
 
@@ -90,22 +92,24 @@ def everything(folder):
 
 def test_run_verify_drift(spark, tree, tmp_path):
     out = str(tmp_path / "spec")
-    config = Config(src=tree, out=out, exclude=["vendor"], crosscheck=True).checked()
-    calls = []
-
+    config = Config(src=tree, out=out, exclude=["skipped"], crosscheck=True).checked()
     def counted(messages):
+        with open(tmp_path / "calls", "a") as f:
+            f.write("x")
         return chat(messages)
 
     summary = pipeline.run(spark, config, counted)
     assert summary["types"]["entity"] == 1 and summary["types"]["endpoint"] == 2
     assert summary["types"]["rule"] == 4 and summary["tally"]["supported"] == 4
     assert summary["coverage"]["entities_touched"] == 1
+    n_calls = len((tmp_path / "calls").read_text())
+    assert n_calls == 4 + summary["types"]["domain"] + 4
     first = everything(out)
-    page = first["nodes/entities/invoices.md"].decode()
-    assert "- `id:bigserial`\n- `total:bigint`" in page
-    rule = next(v.decode() for k, v in first.items() if k.startswith("nodes/rules/") and "Prorata.php" in v.decode())
+    page = first["nodes/entities/parcel-doors.md"].decode()
+    assert "- `door:varchar(8)`\n- `grams_borne:int`" in page and "check" not in page
+    rule = next(v.decode() for k, v in first.items() if k.startswith("nodes/rules/") and "Allocator.php" in v.decode())
     assert "confidence: 0.12\n" in rule and "crosscheck: supported\n" in rule and re.search(r"digest: [0-9a-f]{16}\n", rule)
-    assert json.loads(first["graph.json"])["nodes"]["entity.invoices"]["file"] == "nodes/entities/invoices.md"
+    assert json.loads(first["graph.json"])["nodes"]["entity.parcel-doors"]["file"] == "nodes/entities/parcel-doors.md"
     assert pipeline.verify(spark, config).count() == 0
 
     def refuse(messages):
@@ -113,15 +117,15 @@ def test_run_verify_drift(spark, tree, tmp_path):
 
     pipeline.run(spark, config, refuse)
     assert everything(out) == first
-    assert calls == []
+    assert (tmp_path / "calls").read_text() == "x" * n_calls
 
     assert checks.drift_report(pipeline.drift(spark, config)).collect()[0]["drifted"] is False
-    path = os.path.join(tree, "app/Services/Prorata.php")
+    path = os.path.join(tree, "lib/Allocator.php")
     with open(path) as f:
         text = f.read()
     with open(path, "w") as f:
-        f.write(text.replace("< 0", "<= 0"))
-    os.remove(os.path.join(tree, "db/schema.sql"))
+        f.write(text.replace("$grams >= $parcel", "$grams > $parcel"))
+    os.remove(os.path.join(tree, "sql/doors.sql"))
     status = {r.rule_id: r.status for r in pipeline.drift(spark, config).collect()}
     assert sorted(status.values()) == ["broken", "ok", "ok", "stale"]
     assert {r.check for r in pipeline.verify(spark, config).collect()} == {"unresolvable-citation"}

@@ -35,16 +35,53 @@ def test_scanners_by_language():
         assert scanners.parse(g, "")["definitions"] == [] and scanners.parse(g, b"\xff{{{((")
 
 
-def test_tables_and_routes():
-    sql = 'CREATE TABLE IF NOT EXISTS shops (\n id BIGSERIAL PRIMARY KEY,\n owner BIGINT REFERENCES users(id),\n PRIMARY KEY (id)\n);\n\ncreate table "points" (amount numeric(10,2), n int);create table open (a int'
-    t = scanners.parse_tables(sql)
-    assert [(x["name"], x["columns"], x["line"]) for x in t] == [("shops", ["id:bigserial", "owner:bigint"], 1), ("points", ["amount:numeric(10,2)", "n:int"], 7)]
-    go = 'package server\nfunc setup(r *Engine, a Adapter) {\n r.GET("/version", func(c *C) {})\n r.GET("/version", other)\n r.GET("/r/:t", handle())\n r.POST("/hook", a.Hook)\n api := r.Group("/api/")\n v1 := api.Group("/v1")\n v1.GET("/shops", func() {})\n r.Handle("PUT", "/t/:id", x)\n mux.HandleFunc("DELETE /d", y)\n}\n'
-    got = {f"{r['method']} {r['path']}": "closure" if r["closure"] else r["handler"] for r in scanners.go_routes(go)}
-    assert got == {"GET /version": "closure", "GET /r/:t": "server.handle", "POST /hook": "server.Adapter.Hook", "GET /api/v1/shops": "closure", "PUT /t/:id": "server.x", "DELETE /d": "server.y"}
-    php = "<?php\nRoute::get('a', [C::class, 'm']);\nRoute::post('/b', 'D@n');\nSchema::create('t', function ($x) {\n  $x->string('name');\n});\n"
-    assert [(r["method"], r["path"], r["controller"], r["action"]) for r in scanners.php_routes(php)] == [("get", "/a", "C", "m"), ("post", "/b", "D", "n")]
-    assert scanners.php_tables(php)[0]["columns"] == ["name:string"]
+def test_tables():
+    script = """/* create table not_this (x int); */
+CREATE UNLOGGED TABLE harbour.`tide log`(station char(3),level DOUBLE PRECISION, -- metres (above datum)
+  at timestamptz default (now() at time zone 'utc'), depth decimal(6, 3), unique (station, at), "key" text, KEY by_station (station)
+);
+drop table berth;
+create temporary table if not exists "berth" ( number smallint,
+  quay text check (quay in ('n', 's')), CONSTRAINT numbered primary key (number) ) with (fillfactor = 70);
+CREATE TABLE broken (a int, b varchar(9
+"""
+    assert [(t["name"], t["columns"], t["line"]) for t in scanners.parse_tables(script)] == [
+        ("harbour.`tide log", ["station:char(3)", "level:double", "at:timestamptz", "depth:decimal(6", "key:text"], 2),
+        ("berth", ["number:smallint", "quay:text"], 6),
+    ]
+    assert scanners.parse_tables("") == scanners.parse_tables("create table x") == scanners.parse_tables("create (a int)") == []
+    assert scanners.parse_tables("create table e ()") == [{"name": "e", "columns": [], "line": 1}]
+
+
+def test_go_routes():
+    text = """package quay
+
+func (d *Desk) mount(mux *Mux, tides Almanac) {
+    coast := mux.Group("/coast/")
+    north := coast.Group("/north")
+    north.Patch("/tides/:day", tides.Correct)
+    coast.DELETE("", d.forget)
+    mux.Handle("OPTIONS", "/any", preflight())
+    mux.HandleFunc("PUT /moorings/{n}", func(w W, r *R) { north.GET("/inner", moor) })
+    north.Patch("/tides/:day", later)
+    log.Get("no path here", d)
+}
+
+func other(north *Mux) {
+    north.GET("/plain", moor)
+}
+"""
+    got = [(r["method"], r["path"], r["handler"], r["closure"], r["start_line"]) for r in scanners.go_routes(text)]
+    assert sorted(got) == [
+        ("DELETE", "/coast", "quay.Desk.forget", False, 7), ("GET", "/coast/north/inner", "quay.moor", False, 9), ("GET", "/plain", "quay.moor", False, 15), ("OPTIONS", "/any", "quay.preflight", False, 8),
+        ("PATCH", "/coast/north/tides/:day", "quay.Almanac.Correct", False, 6), ("PUT", "/moorings/{n}", "", True, 9),
+    ]
+
+
+def test_php_routes_and_tables():
+    text = "<?php\n// Route::get('/never', 'X@y');\nRoute::patch('buoys/{id}', [\\Sea\\Buoys::class, 'drift']);\nRoute::any('/bells', 'Bells@toll');\nRoute::get($computed, 'X@y');\nSchema::create('buoys', function ($row) {\n  $row->decimal('lat', 9, 6);\n  $row->text('mark')->nullable();\n});\n"
+    assert [(r["method"], r["path"], r["controller"], r["action"], r["start_line"]) for r in scanners.php_routes(text)] == [("patch", "/buoys/{id}", "Sea\\Buoys", "drift", 3), ("any", "/bells", "Bells", "toll", 4)]
+    assert [(t["name"], t["columns"], t["start_line"], t["end_line"]) for t in scanners.php_tables(text)] == [("buoys", ["lat:decimal", "mark:text"], 6, 9)]
 
 
 def test_chunks(spark):
