@@ -1,24 +1,36 @@
-"""Finding generated, minified, vendored source files and data blobs kept as code.
+"""Finding generated, minified, vendored source files and data blobs kept as code, by grammars.
 
-Each file becomes a sequence of structural tokens (names, numbers and literals collapsed to one token each, comments and
-blanks dropped), over which a Re-Pair grammar is inferred: round after round the most frequent adjacent pairs of each
-file become rules, in one vectorised step for a batch of files. Evidence:
+A file becomes sequences over which grammars are inferred, in vectorised steps for a batch of files:
 
-* generated - one long rule, reused again and again, covers most of the file; or a notice of generation at its head;
-* blob - literals make up most of the file, by tokens or by characters, and zlib hardly compresses them;
+* its structural tokens (names, numbers and literals collapsed to one token each, comments and blanks dropped) and the
+  characters of its literals, by Re-Pair: round after round the most frequent adjacent pairs become rules, until no pair
+  occurs twice;
+* its tokens with their names, and again with names told by where they stood last, by a grammar whose rules equal texts
+  share whatever stands around them: runs become one symbol, then the pair whose hash is the least of its neighbours',
+  and a rule's name is the hash of its expansion;
+* the words of the comment at its head, as phrases.
+
+Evidence:
+
+* generated - one long rule, reused again and again, covers most of the file; or its folder or name says so;
+* blob - literals make up most of the file, by tokens or by characters, and their grammar is hardly smaller than they;
 * minified - many characters a line and hardly a blank;
-* vendored - half of the file's stretches of tokens recur in another repository, whatever its names are; or a path of
-  third-party folders, or a notice of provenance at its head.
+* vendored - half of the file's rules recur in another repository, whatever its names are; or a folder of third-party code;
+* notices - a phrase at the heads of files in several repositories, if a good part of the files with it are generated
+  (or vendored) by the evidence above, makes the other files with it so, too. What notices say is learned from the
+  corpus. A short list of usual wordings is asked as well, for corpora too small to learn from (`notices`).
 
-A file's text is put together from its chunks by file; stretches shared across repositories are counted by a hash of the
-stretch and its repository, combined before the shuffle, so a stretch that every file has is one counter.
+A file's text is put together from its chunks by file; rules and phrases are counted by their hash and repository,
+combined before the shuffle, so a rule that every file has is one counter. A file of more than SEGMENT lines is seen in
+segments, so that no file is too large for a task; its sums are those of its segments.
 
-Defined results: null content is empty; empty files are hand-written; a chunk delivered twice counts once; null lines
-sort first; a null path gives no path evidence.
+Defined results: null content is empty; empty files are hand-written; a chunk delivered twice counts once, at the first
+line that any delivery gives; null lines sort first; a null path gives no path evidence; a null repository is one.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -41,7 +53,6 @@ _TOKEN = re.compile(rf"(?:{_COMMENT.pattern})|({_STRING.pattern}|{_NAME.pattern}
 _LONG = r"<<<[ \t]*(?P<q>[\"']?)(?P<end>\w+)(?P=q)\r?\n[\s\S]*?(?m:^)[ \t]*(?P=end)\b|\bb?r(?P<h>#*)\"[\s\S]*?\"(?P=h)"
 _DUMP = r"(?:[A-Za-z0-9+/=]{40,}|(?:[0-9A-Fa-f]{2,16}[ ,]+){8,}[^\n]*)[\\,;\"'` \t\r]*$"
 _LITERAL = re.compile(rf"(?:{_COMMENT.pattern})|(?P<literal>{_LONG}|{_STRING.pattern}|(?m:^[ \t]*{_DUMP})|{_NUMBER.pattern})|{_NAME.pattern}")
-_LONGS, _DUMPS = re.compile(_LONG), re.compile(rf"\n[ \t]*(?m:{_DUMP})")
 _WORD = re.compile(r"\b[^\W\d]{3,24}\b")
 #: How notices of generation and of provenance are worded.
 GENERATED_NOTICE = re.compile(r"code generated by|do not (?:edit|modify)|@generated\b|auto-?generated\b|(?:produced|generated|created) automatically|automatically (?:produced|generated|created)|(?:généré|produit|créé)e? automatiquement|ne pas (?:modifier|éditer)|automatisch (?:generiert|erzeugt|erstellt)|nicht (?:bearbeiten|ändern|editieren)|generad[oa] automáticamente|no (?:editar|modificar)|gerad[oa] automaticamente|não (?:editar|modificar|edite)|changes? (?:\w+ )*(?:will be|is|are) (?:lost|overwritten)", re.I)
@@ -54,93 +65,104 @@ _HEAD = re.compile(r"\s*(?:<\?php\b)?\s*((?:(?://|#(?!\[))[^\n]*\s*|/\*[\s\S]*?\
 GENERATED_PATH = re.compile(r"(?:^|[/\\\\])(?:generated|__generated__)[/\\\\]|\.(?:gen|generated|pb|min|bundle)\.\w+\s*$", re.I)
 
 RULE_TOKENS, RULE_USES = 6, 5
-ROUNDS = 24
 #: Shares and bounds of the evidence; see the module.
 REUSE = 0.65
 DATA, DATA_TOKENS = 0.75, 40
-#: Literals of so many characters make a blob, whatever the tokens; less than so much of them may be words; and zlib must
-#: leave so much of what coding the characters one by one would take (at UNIFORM bits a character at least).
-DATA_CHARS, WORDED, INFORMATION, UNIFORM = 200, 0.4, 0.4, 2.0
+#: A blob's literals have so many characters, and less than so much of them are words; coded with their grammar they take
+#: so much of what coding the characters one by one would take (at UNIFORM bits a character at least).
+DATA_CHARS, WORDED, INFORMATION, UNIFORM = 200, 0.4, 0.5, 2.0
 LINE, BLANKS = 150, 0.1
-#: A stretch is so many code tokens, or so many if names don't count; of each WINNOW in a row the least is kept.
-STRETCH, RENAMED, WINNOW = 32, 96, 32
-#: So many repositories must share it, or so many if names don't count; and so many of a file's stretches.
+#: Shared rules expand to so many tokens, or to so many if names don't count.
+STRETCH, RENAMED = 32, 96
+#: So many repositories must share one, or so many if names don't count; and so many of a file's rules.
 REPOSITORIES, REPOSITORIES_RENAMED, SHARED = 2, 3, 0.5
 #: Shorter texts are alike by chance.
 LEAST_TOKENS = 16
-#: Lines of a file that one task looks at together; longer files are judged from the sums over their segments.
-SEGMENT = 20_000
-
-
-def structure(text: str) -> tuple[bytes, int]:
-    """(structural tokens, characters of literals) of a source text."""
-    literals = 0
-    bare = _STRING.sub('"', text)
-    literals = len(text) - len(bare)
-    bare = _COMMENT.sub(" ", bare)
-    bare = _NUMBER.sub("0", _NAME.sub("a", bare))
-    return _BLANK.sub("", bare).encode("latin-1", "replace"), literals
-
-
-def re_pair(sequences: list[bytes], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """For each sequence: (size of its grammar by its length, largest share that one long rule's uses cover).
-
-    A round replaces, in every sequence, the pairs that are at least half as frequent as its most frequent pair, where
-    they don't overlap a more frequent one; runs are paired from the left. Rules count from RULE_TOKENS tokens and RULE_USES uses on.
+#: A notice is so many words in a row, at heads in so many repositories, of which so many files and such a share have a kind.
+PHRASE, NOTICE_REPOSITORIES, NOTICE_FILES, NOTICE = 3, 3, 2, 0.3
+#: Lines of a file that one task looks at together.
+SEGMENT = 50_000
+
+
+def structure(text: str) -> bytes:
+    """The structural tokens of a source text, a byte each."""
+    bare = _COMMENT.sub(" ", _STRING.sub('"', text))
+    return _BLANK.sub("", _NUMBER.sub("0", _NAME.sub("a", bare))).encode("latin-1", "replace")
+
+
+def _pairs_taken(rank: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the pairs that begin at `at` are replaced: no two overlap, the better goes first, runs from the left."""
+    here, left, right = rank[at], np.where(at > 0, rank[at - 1], -1), rank[at + 1]
+    run = here == left
+    start = np.maximum.accumulate(np.where(~run, np.arange(len(at)), -1))
+    odd = (np.arange(len(at)) - start) % 2 == 1
+    begins = at[start]
+    beaten = np.where(begins > 0, rank[begins - 1], -1) > here  # the pair before its run is better
+    take = (here >= right) & ~odd & ((here > left) | run & ~beaten)
+    chosen = np.flatnonzero(take)
+    clash = np.zeros(len(chosen), dtype=bool)
+    clash[1:] = at[chosen[1:]] == at[chosen[:-1]] + 1
+    take[chosen[clash]] = False
+    return take
+
+
+def re_pair(sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each sequence: (bits of its grammar, largest share that one long rule's uses cover).
+
+    A round replaces, in every sequence, its most frequent pair and all pairs at least half as frequent that don't
+    overlap a more frequent one; it ends for a sequence when no pair occurs twice. The bits are those of the last
+    sequence's symbols by their entropy and two bytes for each rule. Rules count from RULE_TOKENS tokens and RULE_USES uses on.
     """
     k = len(sequences)
     sizes = np.array([len(s) for s in sequences], dtype=np.int64)
-    size, share = np.ones(k), np.zeros(k)
+    bits, share, rules = np.zeros(k), np.zeros(k), np.zeros(k, dtype=np.int64)
     symbols = np.frombuffer(b"".join(sequences), dtype=np.uint8).astype(np.int64)
     owner = np.repeat(np.arange(k), sizes)
     spans = np.ones(len(symbols), dtype=np.int64)
-    next_symbol, rules = 256, np.zeros(k, dtype=np.int64)
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        inside = owner[1:] == owner[:-1]
-        at = np.flatnonzero(inside)
-        if not len(at):
-            break
-        base = np.int64(next_symbol)
-        key = (owner[at] * base + symbols[at]) * base + symbols[at + 1]
-        uniq, back, count = np.unique(key, return_inverse=True, return_counts=True)
+    next_symbol = 256
+
+    def settle(done: np.ndarray) -> None:
+        """Account for the sequences of which no pair occurs twice any more."""
+        own, name = owner[done], symbols[done]
+        if len(own):
+            _, first, times = np.unique(own * np.int64(next_symbol) + name, return_index=True, return_counts=True)
+            of = own[first]
+            rest = np.bincount(own, minlength=k)
+            np.add.at(bits, of, times * np.log2(rest[of] / times))
+
+    while len(symbols):
+        at = np.flatnonzero(owner[1:] == owner[:-1])
+        key = (owner[at] * np.int64(next_symbol) + symbols[at]) * np.int64(next_symbol) + symbols[at + 1]
+        _, back, count = np.unique(key, return_inverse=True, return_counts=True)
         often = count[back]
         most = np.zeros(k, dtype=np.int64)
         np.maximum.at(most, owner[at], often)
         good = (often >= 2) & (often * 2 >= most[owner[at]])
-        if not good.any():
-            break
-        at, back, often = at[good], back[good], often[good]
+        g, back_g = at[good], back[good]
         rank = np.full(len(symbols) + 1, -1, dtype=np.int64)
-        rank[at] = often * np.int64(len(uniq) + 1) + back
-        here, left, right = rank[at], np.where(at > 0, rank[at - 1], -1), rank[at + 1]
-        first = here > left  # the start of a run of the same pair, or better than the pair before
-        run = (here == left)
-        start = np.maximum.accumulate(np.where(~run, np.arange(len(at)), -1))
-        odd = (np.arange(len(at)) - start) % 2 == 1
-        take = ((first | run) & (here >= right) & ~odd) & ~(run & ~first & (np.take(here, start) < np.where(at[start] > 0, rank[at[start] - 1], -1)))
-        at, back = at[take], back[take]
-        clash = np.zeros(len(at), dtype=bool)
-        clash[1:] = at[1:] == at[:-1] + 1
-        at, back = at[~clash], back[~clash]
-        if not len(at):
+        rank[g] = often[good] * np.int64(len(count) + 1) + back_g
+        taken = _pairs_taken(rank, g) if len(g) else np.zeros(0, dtype=bool)
+        g, back_g = g[taken], back_g[taken]
+        lone = np.bincount(back_g, minlength=len(count))[back_g] < 2 if len(g) else taken[:0]
+        g, back_g = g[~lone], back_g[~lone]  # a pair of which overlaps left one use saves nothing
+        going = np.zeros(k, dtype=bool)
+        going[owner[g]] = True
+        done = ~going[owner]
+        settle(done)
+        if not len(g):
             break
-        used, name, times = np.unique(back, return_inverse=True, return_counts=True)
-        width = spans[at] + spans[at + 1]
-        rules += np.bincount(owner[at][np.unique(name, return_index=True)[1]], minlength=k)
-        covered = times[name] * width / sizes[owner[at]]
+        used, name, times = np.unique(back_g, return_inverse=True, return_counts=True)
+        width = spans[g] + spans[g + 1]
+        rules += np.bincount(owner[g][np.unique(name, return_index=True)[1]], minlength=k)
         long = (width >= RULE_TOKENS) & (times[name] >= RULE_USES)
-        np.maximum.at(share, owner[at][long], covered[long])
-        symbols[at] = next_symbol + name
-        spans[at] = width
-        keep = np.ones(len(symbols), dtype=bool)
-        keep[at + 1] = False
+        np.maximum.at(share, owner[g][long], (times[name] * width / sizes[owner[g]])[long])
+        symbols[g] = next_symbol + name
+        spans[g] = width
+        keep = ~done
+        keep[g + 1] = False
         symbols, owner, spans = symbols[keep], owner[keep], spans[keep]
         next_symbol += len(used)
-    rest = np.bincount(owner, minlength=k)
-    size = (rest + 2 * rules) / np.maximum(1, sizes)
-    return size, share
+    return bits + 16 * rules, share
 
 
 class _Codes(dict):
@@ -159,9 +181,6 @@ class _Codes(dict):
 _CODES = _Codes()
 _KEYWORDS = frozenset(w for words in WORDS.values() for w in words.split())
 NAMED = 1 << 33
-#: Odd, so that it has an inverse: hashes of stretches are differences of prefix sums, shifted to the stretch's start.
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -170,121 +189,196 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _chosen(codes: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of the stretches of `width` codes that are the least of WINNOW in a row; at least one."""
-    powers, inverses = (np.cumprod(np.full(len(codes), x, dtype=np.uint64)) for x in (_BASE, _INVERSE))
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_mixed(codes.astype(np.uint64)) * powers, dtype=np.uint64)])
-    least = _mixed((sums[width:] - sums[:-width]) * inverses[: len(codes) - width + 1])
-    step = 1
-    while step < WINNOW:
-        if len(least) > step:
-            least = np.minimum(least[:-step], least[step:])
-        step *= 2
-    return np.unique(least)
+_LEFT, _RUN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def stretches(text: str) -> list[int]:
-    """Hashes of stretches of code tokens, chosen by content, so that a text has one of each sort at least.
+def common_rules(codes: np.ndarray, owner: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, hash of the expansion) of the rules of at least `least` symbols, or of an owner's whole sequence.
 
-    Even hashes keep the names. Odd ones tell a name by how far back it stood last, so a copy with other names has them
-    too; they are longer. A text too short for a stretch is one as a whole, names kept; under LEAST_TOKENS it has none.
+    A step makes each run of one symbol a symbol, then each pair whose hash is less than those of the pairs beside it.
+    What is made depends on the symbols around alone, so equal stretches of two sequences get equal rules but for their
+    ends. A symbol that expands to `least` symbols takes part no more.
     """
-    codes = np.fromiter(map(_CODES.__getitem__, filter(None, _TOKEN.findall(text))), dtype=np.int64)
-    if len(codes) < LEAST_TOKENS:
-        return []
-    found = _chosen(codes, min(STRETCH, len(codes))) & ~np.uint64(1)
-    if len(codes) >= RENAMED:
+    symbols, spans = _mixed(codes.astype(np.uint64)), np.ones(len(codes), dtype=np.int64)
+    owner = owner.copy()
+    with np.errstate(over="ignore"):
+        while True:
+            free = spans < least
+            joins = (owner[1:] == owner[:-1]) & free[1:] & free[:-1]
+            if not joins.any():
+                break
+            new = np.ones(len(symbols), dtype=bool)
+            new[1:] = ~(joins & (symbols[1:] == symbols[:-1]))
+            if not new.all():
+                first = np.flatnonzero(new)
+                length = np.diff(first, append=len(symbols))
+                spans = np.add.reduceat(spans, first)
+                symbols, owner = symbols[first], owner[first]
+                symbols = np.where(length > 1, _mixed(symbols + _RUN * length.astype(np.uint64)), symbols)
+                free = spans < least
+                joins = (owner[1:] == owner[:-1]) & free[1:] & free[:-1]
+            made = np.where(joins, _mixed(symbols[:-1] * _LEFT + symbols[1:]) >> np.uint64(1), _NONE)
+            beside = np.concatenate(([_NONE], made, [_NONE]))
+            take = np.flatnonzero((made < beside[:-2]) & (made <= beside[2:]) & joins)
+            symbols[take] = made[take]
+            spans[take] += spans[take + 1]
+            keep = np.ones(len(symbols), dtype=bool)
+            keep[take + 1] = False
+            symbols, owner, spans = symbols[keep], owner[keep], spans[keep]
+    alone = np.bincount(owner, minlength=1)[owner] == 1
+    kept = (spans >= least) | alone
+    return owner[kept], symbols[kept]
+
+
+def stretches(texts: list[str]) -> list[list[int]]:
+    """For each text the hashes of its shared rules; see common_rules().
+
+    Even hashes are of tokens with their names. Odd ones tell a name by how far back it stood last, so a copy with other
+    names has them too; they are longer. A text under LEAST_TOKENS tokens has none.
+    """
+    lists = [np.fromiter(map(_CODES.__getitem__, filter(None, _TOKEN.findall(t))), dtype=np.int64) for t in texts]
+    lists = [c if len(c) >= LEAST_TOKENS else c[:0] for c in lists]
+    codes = np.concatenate(lists) if lists else np.zeros(0, dtype=np.int64)
+    owner = np.repeat(np.arange(len(lists)), [len(c) for c in lists])
+    if not len(codes):
+        return [[] for _ in texts]
+    whose, found = common_rules(codes, owner, STRETCH)
+    found &= ~np.uint64(1)
+    many = np.bincount(owner, minlength=len(lists))[owner] >= RENAMED
+    codes, owner = codes[many], owner[many]
+    if len(codes):
         named = np.flatnonzero(codes & NAMED)
-        by = named[np.argsort(codes[named], kind="stable")]
+        key = owner[named] * np.int64(1 << 34) + codes[named]
+        order = np.argsort(key, kind="stable")
+        by, key = named[order], key[order]
         back = np.zeros(len(by), dtype=np.int64)
-        back[1:] = np.where(codes[by[1:]] == codes[by[:-1]], np.diff(by), 0)
+        back[1:] = np.where(key[1:] == key[:-1], np.diff(by), 0)
         codes[by] = NAMED + np.where(back <= STRETCH, back, 0)
-        found = np.concatenate([found, _chosen(codes, RENAMED) | np.uint64(1)])
-    return found.view(np.int64).tolist()
+        w, f = common_rules(codes, owner, RENAMED)
+        whose, found = np.concatenate([whose, w]), np.concatenate([found, f | np.uint64(1)])
+    out: list[list[int]] = [[] for _ in texts]
+    for k, h in zip(whose.tolist(), found.view(np.int64).tolist()):
+        out[k].append(h)
+    return [list(dict.fromkeys(x)) for x in out]
+
+
+def head(text: str) -> str:
+    """The comment at the head of a text."""
+    m = _HEAD.match(text)
+    return m[1] if m else ""
 
 
-def literals(text: str) -> tuple[int, int, int, int]:
-    """Of all literals, blanks dropped: (characters, bytes that zlib leaves, bytes by entropy of characters, characters in words)."""
+_PROSE = re.compile(r"[^\W\d_]+|\d+")
+
+
+def phrases(comment: str) -> list[int]:
+    """Hashes of the distinct phrases of PHRASE words of a comment; all numbers are one word, and alone no phrase."""
+    words = ["0" if w[0].isdigit() else w.lower() for w in _PROSE.findall(comment)]
+    found = {" ".join(words[k : k + PHRASE]) for k in range(len(words) - PHRASE + 1)} - {" ".join("0" * PHRASE)}
+    return sorted(int.from_bytes(hashlib.blake2b(p.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) for p in found)
+
+
+def literals(text: str) -> tuple[bytes, float, int]:
+    """Of all literals, blanks dropped: (their bytes, bits by entropy of characters, characters in words)."""
     found = "\n".join(m["literal"] for m in _LITERAL.finditer(text) if m["literal"])
-    bare = _BLANK.sub("", found)
-    if not bare:
-        return 0, 0, 0, 0
-    raw = bare.encode("utf-8", "replace")
+    raw = _BLANK.sub("", found).encode("utf-8", "replace")
+    if not raw:
+        return b"", 0.0, 0
     n = np.bincount(np.frombuffer(raw, dtype=np.uint8))
     n = n[n > 0]
-    bits = max(UNIFORM, float(-(n / len(raw) * np.log2(n / len(raw))).sum()))
-    return len(bare), len(zlib.compress(raw, 1)), int(bits * len(raw) / 8), sum(map(len, _WORD.findall(found)))
-
-
-def _wide(text: str) -> bool:
-    """Whether literals that structure() doesn't know may make up most of the text."""
-    if ("<<<" in text or 'r"' in text or 'r#' in text) and 2 * sum(len(m[0]) for m in _LONGS.finditer(text)) > len(text):
-        return True
-    return _DUMPS.search(text) is not None
+    return raw, max(UNIFORM, float(-(n / len(raw) * np.log2(n / len(raw))).sum())) * len(raw), sum(map(len, _WORD.findall(found)))
 
 
-def evidence(texts: list[str]) -> dict[str, list]:
+def evidence(texts: list[str], notices: bool = True) -> dict[str, list]:
     """What each text (a file or a segment of one) shows, as sums that add up over segments."""
-    found = [structure(t) for t in texts]
-    tokens = [s for s, _ in found]
-    _, share = re_pair(tokens)
-    heads = [m[1] if (m := _HEAD.match(t)) else "" for t in texts]
-    data = [sum(map(s.count, (b"0", b'"', b",", b"-"))) for s in tokens]
-    none = (0, 0, 0, 0)
-    literal, packed, entropy, words = zip(*[literals(t) if d >= DATA * len(s) or n * 2 > len(t) or _wide(t) else none for t, (s, n), d in zip(texts, found, data)]) if texts else ((),) * 4
+    tokens = [structure(t) for t in texts]
+    held = [literals(t) for t in texts]
+    bits, share = re_pair(tokens + [raw for raw, _, _ in held])
+    heads = [head(t) for t in texts]
     return {
         "chars": [len(t) for t in texts],
         "lines": [t.count("\n") + 1 for t in texts],
         "blanks": [sum(map(t.count, " \t\n\r")) for t in texts],
         "tokens": [len(s) for s in tokens],
-        "data": data,
+        "data": [sum(map(s.count, (b"0", b'"', b",", b"-"))) for s in tokens],
         "reused": [float(x) * len(s) for x, s in zip(share, tokens)],
-        "literal": literal,
-        "packed": packed,
-        "entropy": entropy,
-        "words": words,
-        "generated": [bool(GENERATED_NOTICE.search(h)) for h in heads],
-        "vendored": [bool(VENDORED_NOTICE.search(h)) for h in heads],
-        "stretches": [stretches(t) for t in texts],
+        "literal": [len(raw) for raw, _, _ in held],
+        "packed": [float(x) for x in bits[len(texts) :]],
+        "entropy": [x for _, x, _ in held],
+        "words": [x for _, _, x in held],
+        "generated": [notices and bool(GENERATED_NOTICE.search(h)) for h in heads],
+        "vendored": [notices and bool(VENDORED_NOTICE.search(h)) for h in heads],
+        "phrases": [phrases(h) for h in heads],
+        "stretches": stretches(texts),
     }
 
 
 _SUMS = ("chars", "lines", "blanks", "tokens", "data", "reused", "literal", "packed", "entropy", "words")
+_TYPES = {"reused": "double", "packed": "double", "entropy": "double", "generated": "boolean", "vendored": "boolean", "phrases": "array<bigint>", "stretches": "array<bigint>"}
+_ARROW = {"double": pa.float64(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()), "bigint": pa.int64()}
+_COLUMNS = (*_SUMS, "generated", "vendored", "phrases", "stretches")
 
 
-def kinds(chunks: DataFrame) -> DataFrame:
-    """(file_id, kind) of files that aren't hand-written: generated, blob, minified or vendored; the first that holds."""
+def _parts(chunks: DataFrame) -> DataFrame:
+    """(file_id, segment, repo, path, parts) of the distinct chunks; texts are shuffled once."""
     rows = chunks.select("file_id", "id", "repo", F.trim("path").alias("path"), F.col("start_line").alias("start"), F.coalesce("content", F.lit("")).alias("content"))
-    rows = rows.withColumn("segment", F.coalesce((F.col("start") / SEGMENT).cast("int"), F.lit(0))).repartition("file_id", "segment")
-    once = rows.groupBy("file_id", "segment", "id").agg(F.min("start").alias("start"), F.max("repo").alias("repo"), F.max("path").alias("path"), F.min("content").alias("content"))
-    parts = once.groupBy("file_id", "segment").agg(F.max("repo").alias("repo"), F.max("path").alias("path"), F.array_sort(F.collect_list(F.struct(F.coalesce("start", F.lit(-1)).alias("start"), "id", "content"))).alias("parts"))
+    # Only a chunk beyond the first segment can be put wrongly by a delivery without a line: few, and without texts.
+    far = chunks.where(F.col("start_line").isNull() | (F.col("start_line") >= SEGMENT)).groupBy("file_id", "id").agg(F.min("start_line").alias("__first"), F.count_if(F.col("start_line").isNull()).alias("__n")).where("__n > 0 and __first is not null").drop("__n")
+    placed = rows.join(far, ["file_id", "id"], "left").withColumn("start", F.coalesce("start", "__first")).drop("__first")
+    placed = placed.withColumn("segment", F.coalesce((F.col("start") / SEGMENT).cast("int"), F.lit(0))).repartition("file_id", "segment")
+    once = placed.groupBy("file_id", "segment", "id").agg(F.min("start").alias("start"), F.max("repo").alias("repo"), F.max("path").alias("path"), F.min("content").alias("content"))
+    return once.groupBy("file_id", "segment").agg(F.max("repo").alias("repo"), F.max("path").alias("path"), F.array_sort(F.collect_list(F.struct(F.coalesce("start", F.lit(-1)).alias("start"), "id", "content"))).alias("parts"))
+
+
+def _notices(heads: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_id, told_generated, told_vendored): files with a phrase that much of a kind's files share; see the module."""
+    said = heads.select("file_id", "repo", F.explode("phrases").alias("p"))
+    marked = said.join(files.select("file_id", "is_generated", "is_vendored"), "file_id")
+    by_repo = marked.groupBy("p", "repo").agg(F.count("*").alias("n"), F.count_if("is_generated").alias("g"), F.count_if("is_vendored").alias("v"))
+    known = by_repo.groupBy("p").agg(F.count("*").alias("repos"), F.sum("n").alias("n"), F.sum("g").alias("g"), F.sum("v").alias("v"))
+    much = lambda c: (F.col(c) >= NOTICE_FILES) & (F.col(c) >= NOTICE * F.col("n"))
+    told = known.where(F.col("repos") >= NOTICE_REPOSITORIES).select("p", (much("g") & (F.col("g") >= F.col("v"))).alias("g"), (much("v") & (F.col("v") > F.col("g"))).alias("v")).where("g or v")
+    return said.join(told, "p").groupBy("file_id").agg(F.bool_or("g").alias("told_generated"), F.bool_or("v").alias("told_vendored"))
+
+
+def kinds(chunks: DataFrame, notices: bool = True, folders: bool = True) -> DataFrame:
+    """(file_id, kind) of files that aren't hand-written: generated, blob, minified or vendored; the first that holds.
+
+    Without `notices` the list of usual wordings isn't asked, without `folders` no path is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 400):
                 part = b.slice(lo, 400)
-                seen = evidence(["\n".join(p["content"] for p in ps) for ps in part.column(4).to_pylist()])
-                types = {"reused": pa.float64(), "generated": pa.bool_(), "vendored": pa.bool_(), "stretches": pa.list_(pa.int64())}
-                columns = [pa.array(v, types.get(k, pa.int64())) for k, v in seen.items()]
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), *columns], ["file_id", "segment", "repo", "path", *seen])
+                seen = evidence(["\n".join(p["content"] for p in ps) for ps in part.column(4).to_pylist()], notices)
+                columns = [pa.array(seen[c], _ARROW[_TYPES.get(c, "bigint")]) for c in _COLUMNS]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), *columns], ["file_id", "segment", "repo", "path", *_COLUMNS])
 
-    schema = "file_id bigint, segment int, repo string, path string, chars bigint, `lines` bigint, blanks bigint, tokens bigint, data bigint, reused double, literal bigint, packed bigint, entropy bigint, words bigint, generated boolean, vendored boolean, stretches array<bigint>"
-    seen = cut(parts.select("file_id", "segment", "repo", "path", "parts").mapInArrow(run, schema))
+    schema = "file_id bigint, segment int, repo string, path string, " + ", ".join(f"`{c}` {_TYPES.get(c, 'bigint')}" for c in _COLUMNS)
+    seen = cut(_parts(chunks).select("file_id", "segment", "repo", "path", "parts").mapInArrow(run, schema))
     odd = F.col("h").bitwiseAND(1) == 1
     pieces = seen.df.select("file_id", "repo", F.explode("stretches").alias("h"))
     common = pieces.select("h", "repo").distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= F.when(odd, REPOSITORIES_RENAMED).otherwise(REPOSITORIES)).select("h")
     shared = pieces.join(common, "h").groupBy("file_id").agg(F.count_if(~odd).alias("shared"), F.count_if(odd).alias("shared_renamed"))
     files = seen.df.groupBy("file_id").agg(*(F.sum(c).alias(c) for c in _SUMS), F.sum(F.size("stretches")).alias("n_stretches"), F.sum(F.size(F.filter("stretches", lambda h: h.bitwiseAND(1) == 1))).alias("n_renamed"), F.max("path").alias("path"), F.min_by(F.struct("generated", "vendored"), "segment").alias("head"))
-    f = files.join(shared, "file_id", "left")
     path = F.coalesce("path", F.lit(""))
-    matches = lambda rx: F.regexp_like(path, F.lit("(?i)" + rx.pattern))
-    mostly = (F.col("data") >= DATA * F.col("tokens")) & (F.col("tokens") >= DATA_TOKENS) | (F.col("literal") >= DATA * (F.col("chars") - F.col("blanks"))) & (F.col("literal") >= DATA_CHARS) & (F.col("words") < WORDED * F.col("literal"))
-    data = mostly & (F.col("packed") >= INFORMATION * F.col("entropy"))
-    kind = (
-        F.when(data, "blob")
-        .when((F.col("chars") >= LINE * F.col("lines")) & (F.col("blanks") < BLANKS * F.col("chars")) & (F.col("chars") >= 2 * LINE), "minified")
-        .when(F.col("head.vendored") | matches(VENDORED_PATH), "vendored")
-        .when(F.col("head.generated") | matches(GENERATED_PATH) | (F.col("reused") >= REUSE * F.col("tokens")) & (F.col("tokens") >= DATA_TOKENS), "generated")
-        .when((F.col("shared") >= SHARED * (F.col("n_stretches") - F.col("n_renamed"))) | (F.col("n_renamed") > 0) & (F.col("shared_renamed") >= SHARED * F.col("n_renamed")), "vendored")
+    matches = lambda rx: F.regexp_like(path, F.lit("(?i)" + rx.pattern)) if folders else F.lit(False)
+    told_by_rules = F.coalesce((F.col("shared") >= SHARED * (F.col("n_stretches") - F.col("n_renamed"))) | (F.col("n_renamed") > 0) & (F.col("shared_renamed") >= SHARED * F.col("n_renamed")), F.lit(False))
+    reused = (F.col("reused") >= REUSE * F.col("tokens")) & (F.col("tokens") >= DATA_TOKENS)
+    mostly = (F.col("data") >= DATA * F.col("tokens")) & (F.col("tokens") >= DATA_TOKENS) | (F.col("literal") >= DATA * (F.col("chars") - F.col("blanks"))) & (F.col("words") < WORDED * F.col("literal"))
+    judged = files.join(shared, "file_id", "left").select(
+        "file_id",
+        (mostly & (F.col("literal") >= DATA_CHARS) & (F.col("packed") >= INFORMATION * F.col("entropy"))).alias("is_blob"),
+        ((F.col("chars") >= LINE * F.col("lines")) & (F.col("blanks") < BLANKS * F.col("chars")) & (F.col("chars") >= 2 * LINE)).alias("is_minified"),
+        (matches(VENDORED_PATH) | told_by_rules & ~reused).alias("is_vendored"),
+        (matches(GENERATED_PATH) | reused).alias("is_generated"),
+        "head",
     )
+    held = cut(judged)
+    told = _notices(seen.df.where("size(phrases) > 0"), held.df)
+    f = held.df.join(told, "file_id", "left")
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    kind = F.when(F.col("is_blob"), "blob").when(F.col("is_minified"), "minified").when(F.col("head.vendored") | flag("told_vendored") | F.col("is_vendored"), "vendored").when(F.col("head.generated") | flag("told_generated") | F.col("is_generated"), "generated")
     return f.select("file_id", kind.alias("kind")).where("kind is not null")

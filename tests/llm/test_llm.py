@@ -136,10 +136,29 @@ def test_re_pair():
     rng = random.Random(1)
     unit = b'a(a,"){a.a[0];}'
     other = bytes(rng.choice(b'a0"(){}[],.;=+') for _ in range(600))
-    size, share = provenance.re_pair([unit * 40, other, b"", b"a", unit, b"aaaaaaaa" * 30])
-    assert share[0] > 0.9 and share[1] < 0.3 and share[2:5].max() == 0 and size[0] < 0.2 < size[1] and share[5] > 0.9
-    again = provenance.re_pair([other, unit * 40])
-    assert abs(again[1][1] - share[0]) < 1e-9
+    noise = rng.randbytes(3000)
+    texts = [unit * 40, other, b"", b"a", unit, b"aaaaaaaa" * 30, noise]
+    bits, share = provenance.re_pair(texts)
+    assert share[0] > 0.9 and share[1] < 0.3 and share[2:5].max() == 0 and share[5] > 0.9
+    assert bits[0] < 0.2 * 8 * len(texts[0]) and bits[2] == bits[3] == 0 and bits[5] < 150 and bits[6] > 0.9 * 8 * len(noise)
+    for order in ([1, 0], [6, 0, 1], [0]):  # what is beside a sequence doesn't matter
+        again = provenance.re_pair([texts[k] for k in order])
+        assert all(abs(again[0][n] - bits[k]) < 1e-6 and abs(again[1][n] - share[k]) < 1e-9 for n, k in enumerate(order))
+
+
+def test_common_rules():
+    """Equal stretches give equal rules wherever they stand; all of a sequence is in one rule or none."""
+    import numpy as np
+
+    rng = random.Random(5)
+    core = [rng.randrange(40) for _ in range(2000)]
+    a, b, runs = [rng.randrange(40) for _ in range(137)] + core, core + [7] * 500 + [3], [9] * 4000
+    codes = np.array(a + b + runs + [1, 2, 3], dtype=np.int64)
+    owner = np.repeat([0, 1, 2, 3], [len(a), len(b), len(runs), 3])
+    whose, found = provenance.common_rules(codes, owner, 32)
+    x, y = set(found[whose == 0].tolist()), set(found[whose == 1].tolist())
+    assert len(x & y) >= 0.85 * len(core) / 48 and len(x - y) <= 8
+    assert len(found[whose == 2]) == 1 and len(found[whose == 3]) == 1
 
 
 HAND = "package p\n\n// Don't edit the vendor list by hand-waving; the report generated here is checked.\nfunc F(a int) int {\n" + "".join(f"\tif a > {k} && check{k}(a, {'x' * (k % 5 + 1)}) {{\n\t\tlog.Printf(\"step %d\", a{'+1' * (k % 4)})\n\t}}\n" if k % 3 else f"\tv{k} := map[string]int{{\"k\": {k}}}\n\tuse(v{k})\n" for k in range(12)) + "\treturn a\n}\n"
@@ -203,6 +222,32 @@ def test_notices_below_a_long_head():
     assert seen["generated"] == [True, False, False] and seen["vendored"] == [False, True, False]
 
 
+def test_notices_are_learned(spark):
+    """Wordings that no list has: heads of files that the grammar or a folder tells mark others; usual comments don't."""
+    def own(k):
+        return HAND.replace("F(", f"F{k}(").replace("check", f"c{k}x").replace("step", f"s{k}")
+
+    files = [(f"r{k % 4}", f"src/a{k}.js", f"// Spun out of the {w} sheet by weaver {k}.1\n" + (STUB.replace("S {", f"S{k} {{") if k % 2 else own(k))) for k, w in enumerate(["tide", "quay", "mast", "keel", "oar", "jib"])]
+    files += [(f"r{k % 4}", f"{'node_modules/z' if k % 2 else 'src'}/b{k}.js", f"/* weaver {k}.2 as its makers left it */\n" + own(10 + k)) for k in range(6)]
+    files += [(f"r{k % 4}", f"src/c{k}.js", f"// Written out with care on day {k} of many\n" + own(20 + k)) for k in range(6)]
+    df = spark.createDataFrame([(f"c{k}", k, r, p, 1, t) for k, (r, p, t) in enumerate(files)], "id string, file_id bigint, repo string, path string, start_line int, content string")
+    for notices in (True, False):
+        got = {r.file_id: r.kind for r in provenance.kinds(df, notices).collect()}
+        assert got == {k: "generated" for k in range(6)} | {k: "vendored" for k in range(6, 12)}
+
+
+def test_long_files_are_seen_in_segments(spark, monkeypatch):
+    """A delivery without a line doesn't put a chunk into another segment a second time."""
+    monkeypatch.setattr(provenance, "SEGMENT", 20)
+    lines = STUB.split("\n")
+    rows = [(f"c{k}", 1, "r", "a.js", 1 + 10 * k, "\n".join(lines[10 * k : 10 * k + 10])) for k in range(5)]
+    rows += [(i, f, r, p, None, t) for i, f, r, p, _, t in rows[1:]]
+    df = spark.createDataFrame(rows, "id string, file_id bigint, repo string, path string, start_line int, content string")
+    parts = provenance._parts(df).collect()
+    assert sorted((r.segment, [p.id for p in r.parts]) for r in parts) == [(0, ["c0", "c1"]), (1, ["c2", "c3"]), (2, ["c4"])]
+    assert [r.kind for r in provenance.kinds(df).collect()] == ["generated"]
+
+
 # ------------------------------------------------------------------ 6
 
 
