@@ -48,11 +48,13 @@ _COMMENT = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|(?m:^\s*#(?![\[!])[^\n]*)")
 _NAME = re.compile(r"[A-Za-z_$\u0080-￿][\w$]*")
 _NUMBER = re.compile(r"\d[\w.]*")
 _BLANK = re.compile(r"\s+")
-_TOKEN = re.compile(rf"(?:{_COMMENT.pattern})|({_STRING.pattern}|{_NAME.pattern}|{_NUMBER.pattern}|\S)")
-#: Literals: heredocs and Rust's raw strings too, and lines of a dump whose quotes lie elsewhere.
-_LONG = r"<<<[ \t]*(?P<q>[\"']?)(?P<end>\w+)(?P=q)\r?\n[\s\S]*?(?m:^)[ \t]*(?P=end)\b|\bb?r(?P<h>#*)\"[\s\S]*?\"(?P=h)"
-_DUMP = r"(?:[A-Za-z0-9+/=]{40,}|(?:[0-9A-Fa-f]{2,16}[ ,]+){8,}[^\n]*)[\\,;\"'` \t\r]*$"
-_LITERAL = re.compile(rf"(?:{_COMMENT.pattern})|(?P<literal>{_LONG}|{_STRING.pattern}|(?m:^[ \t]*{_DUMP})|{_NUMBER.pattern})|{_NAME.pattern}")
+#: Lines of a dump whose quotes lie elsewhere; heredocs and Rust's raw strings.
+_DUMP = r"\n[ \t]*(?:[A-Za-z0-9+/=]{40,}|(?:[0-9A-Fa-f]{2,16}[ ,]+){8,}[^\n]*)[\\,;\"'` \t\r]*(?=\n|\Z)"
+_LONG = r"<<<[ \t]*([\"']?)(\w+)\1\r?\n[\s\S]*?(?m:^)[ \t]*\2\b|\bb?r(#*)\"[\s\S]*?\"\3"
+_REST = rf"{_NAME.pattern}|{_NUMBER.pattern}|[(){{}}\[\].,;:=<>+*&|!?-]|{_COMMENT.pattern}|{_DUMP}|{_STRING.pattern}|\S"
+_TOKEN = re.compile(_REST)
+_TOKEN_OR_LONG = re.compile(rf"{_LONG}|{_REST}")
+_LONG_BEGINS = re.compile(r"<<<|\bb?r#*\"")
 _WORD = re.compile(r"\b[^\W\d]{3,24}\b")
 #: How notices of generation and of provenance are worded.
 GENERATED_NOTICE = re.compile(r"code generated by|do not (?:edit|modify)|@generated\b|auto-?generated\b|(?:produced|generated|created) automatically|automatically (?:produced|generated|created)|(?:généré|produit|créé)e? automatiquement|ne pas (?:modifier|éditer)|automatisch (?:generiert|erzeugt|erstellt)|nicht (?:bearbeiten|ändern|editieren)|generad[oa] automáticamente|no (?:editar|modificar)|gerad[oa] automaticamente|não (?:editar|modificar|edite)|changes? (?:\w+ )*(?:will be|is|are) (?:lost|overwritten)", re.I)
@@ -84,10 +86,36 @@ PHRASE, NOTICE_REPOSITORIES, NOTICE_FILES, NOTICE = 3, 3, 2, 0.3
 SEGMENT = 50_000
 
 
-def structure(text: str) -> bytes:
-    """The structural tokens of a source text, a byte each."""
-    bare = _COMMENT.sub(" ", _STRING.sub('"', text))
-    return _BLANK.sub("", _NUMBER.sub("0", _NAME.sub("a", bare))).encode("latin-1", "replace")
+class _Classes(dict):
+    """The structural token of a token by its first character: a name, a literal, a number or the character itself."""
+
+    def __missing__(self, c: str) -> str:
+        self[c] = got = "0" if c.isdigit() else "a" if c.isalpha() or c in "_$" or c > "\x7f" else '"' if c in "\"'`\n" else c
+        return got
+
+
+_CLASSES = _Classes()
+_MAYBE_COMMENT = frozenset("/# \t\r\f\v\n")
+_LITERAL_BEGINS = frozenset("\"'`\n0123456789")
+
+
+def _is_comment(t: str) -> bool:
+    return len(t) > 1 and (t[0] == "/" and t[1] in "/*" or t[0] == "#") or t.lstrip()[:1] == "#" and t[:1] != "#"
+
+
+def tokens_of(text: str) -> list[str]:
+    """The tokens of a source text, comments and blanks left out. A dump's line begins with its newline."""
+    if _LONG_BEGINS.search(text):
+        found = [m[0] for m in _TOKEN_OR_LONG.finditer("\n" + text)]
+        found = ['"' + t + '"' if len(t) > 4 and (t[:3] == "<<<" or t[-1] in '"#' and t[0] in "br") else t for t in found]
+    else:
+        found = _TOKEN.findall("\n" + text)
+    return [t for t in found if t[0] not in _MAYBE_COMMENT or not _is_comment(t)]
+
+
+def structure(tokens: list[str]) -> bytes:
+    """The structural tokens, a byte each."""
+    return "".join([_CLASSES[t[0]] for t in tokens]).encode("latin-1", "replace")
 
 
 def _pairs_taken(rank: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -231,13 +259,13 @@ def common_rules(codes: np.ndarray, owner: np.ndarray, least: int) -> tuple[np.n
     return owner[kept], symbols[kept]
 
 
-def stretches(texts: list[str]) -> list[list[int]]:
-    """For each text the hashes of its shared rules; see common_rules().
+def stretches(texts: list[list[str]]) -> list[list[int]]:
+    """For each list of tokens the hashes of its shared rules; see common_rules().
 
     Even hashes are of tokens with their names. Odd ones tell a name by how far back it stood last, so a copy with other
     names has them too; they are longer. A text under LEAST_TOKENS tokens has none.
     """
-    lists = [np.fromiter(map(_CODES.__getitem__, filter(None, _TOKEN.findall(t))), dtype=np.int64) for t in texts]
+    lists = [np.fromiter(map(_CODES.__getitem__, t), dtype=np.int64, count=len(t)) for t in texts]
     lists = [c if len(c) >= LEAST_TOKENS else c[:0] for c in lists]
     codes = np.concatenate(lists) if lists else np.zeros(0, dtype=np.int64)
     owner = np.repeat(np.arange(len(lists)), [len(c) for c in lists])
@@ -279,9 +307,9 @@ def phrases(comment: str) -> list[int]:
     return sorted(int.from_bytes(hashlib.blake2b(p.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) for p in found)
 
 
-def literals(text: str) -> tuple[bytes, float, int]:
+def literals(tokens: list[str]) -> tuple[bytes, float, int]:
     """Of all literals, blanks dropped: (their bytes, bits by entropy of characters, characters in words)."""
-    found = "\n".join(m["literal"] for m in _LITERAL.finditer(text) if m["literal"])
+    found = "\n".join([t for t in tokens if t[0] in _LITERAL_BEGINS])
     raw = _BLANK.sub("", found).encode("utf-8", "replace")
     if not raw:
         return b"", 0.0, 0
@@ -292,8 +320,9 @@ def literals(text: str) -> tuple[bytes, float, int]:
 
 def evidence(texts: list[str], notices: bool = True) -> dict[str, list]:
     """What each text (a file or a segment of one) shows, as sums that add up over segments."""
-    tokens = [structure(t) for t in texts]
-    held = [literals(t) for t in texts]
+    found = [tokens_of(t) for t in texts]
+    tokens = [structure(t) for t in found]
+    held = [literals(t) for t in found]
     bits, share = re_pair(tokens + [raw for raw, _, _ in held])
     heads = [head(t) for t in texts]
     return {
@@ -310,7 +339,7 @@ def evidence(texts: list[str], notices: bool = True) -> dict[str, list]:
         "generated": [notices and bool(GENERATED_NOTICE.search(h)) for h in heads],
         "vendored": [notices and bool(VENDORED_NOTICE.search(h)) for h in heads],
         "phrases": [phrases(h) for h in heads],
-        "stretches": stretches(texts),
+        "stretches": stretches(found),
     }
 
 
