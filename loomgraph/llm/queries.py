@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import durable
 from ..tables import load
 from . import bpe, components, garbled, packing, provenance, similarity, splitting, survivors, syntax
 
@@ -126,15 +127,56 @@ SELECT min(a.rule_id) AS group_id, max(CASE WHEN by_cit = 1 THEN a.rule_id END)
 FROM ranked a LEFT JOIN conf c ON c.k = a.k AND c.n = 1
 GROUP BY a.k HAVING count(DISTINCT a.rule_id) >= 2""")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per group the rules that its fields come from; the fields' orders are total, so one round is the fixed point."""
+    """Per group the rules that its fields come from, by truth discovery with the fields' orders as tiers."""
     return survivors.best_by_order(survivors.groups(load(spark, sf_dir, "rules")))
 
 
-@query()
+def _truth_sql(rounds: int = survivors.ROUNDS, tolerance: float = survivors.TOLERANCE) -> str:
+    """Truth discovery with its rounds written out; once nothing moves, a round repeats the one before."""
+    step = """
+x{k} AS (SELECT g, f, v, sum(ln(w * rivals / (1 - w))) AS x FROM contested JOIN t{k} USING (s) GROUP BY ALL),
+m{k} AS (SELECT g, f, v, exp(x - max(x) OVER (PARTITION BY g, f)) AS e FROM x{k}),
+p{k} AS (SELECT g, f, v, e / sum(e) OVER (PARTITION BY g, f) AS support FROM m{k}),
+n{k} AS (SELECT s, w, (sum(support) + 4.0) / (count(*) + 5.0) AS new FROM contested JOIN p{k} USING (g, f, v) JOIN t{k} USING (s) GROUP BY s, w),
+t{l} AS (SELECT s, CASE WHEN (SELECT max(abs(new - w)) FROM n{k}) > {tolerance} THEN new ELSE w END AS w FROM n{k}),"""
+    return (
+        r"""
+WITH r AS (SELECT *, trim(regexp_replace(lower(requirement), '[ \t\r\n]+', ' ', 'g')) AS txt FROM rules),
+d AS (
+  SELECT DISTINCT rule_id AS key, coalesce(CAST(output_id AS VARCHAR), '') AS s, coalesce(repo, '') || '|' || (repo IS NULL) || '|' || coalesce(domain, '') || '|' || (domain IS NULL) || '|' || txt AS g,
+    list_sort(list_distinct(list_transform(list_filter(coalesce(citations, []), lambda c: coalesce(c.path, '') <> '' AND regexp_full_match(coalesce(c.lines, ''), '[0-9]+-[0-9]+')
+      AND try_cast(split_part(c.lines, '-', 1) AS HUGEINT) >= 1
+      AND try_cast(split_part(c.lines, '-', 1) AS HUGEINT) <= try_cast(split_part(c.lines, '-', 2) AS HUGEINT)), lambda c: c.path || ':' || c.lines))) AS cit,
+    list_sort(list_distinct(list_filter(list_transform(coalesce(acceptance_criteria, []), lambda x: trim(x)), lambda x: coalesce(x, '') <> ''))) AS crit,
+    CASE WHEN crosscheck = 'supported' AND confidence >= 0 AND confidence <= 1 AND NOT isnan(confidence) THEN confidence END AS conf
+  FROM r WHERE txt <> ''),
+two AS (SELECT g, min(key) AS group_id FROM d GROUP BY g HAVING count(DISTINCT key) > 1),
+c AS (
+  SELECT g, key, s, 'citations' AS f, array_to_string(cit, chr(10)) AS v, len(cit) AS t FROM d JOIN two USING (g) WHERE len(cit) > 0
+  UNION ALL SELECT g, key, s, 'criteria', array_to_string(crit, chr(10)), len(crit) FROM d JOIN two USING (g) WHERE len(crit) > 0
+  UNION ALL SELECT g, key, s, 'confidence', CAST(conf AS VARCHAR), 1 FROM d JOIN two USING (g) WHERE conf IS NOT NULL),
+top AS (SELECT g, f, max(t) AS t FROM c GROUP BY ALL),
+votes AS (SELECT g, f, v, s, count(DISTINCT key) AS n FROM c JOIN top USING (g, f, t) GROUP BY ALL),
+vals AS (SELECT g, f, v, sum(n) AS votes FROM votes GROUP BY ALL),
+riv AS (SELECT g, f, count(*) - 1 AS rivals FROM vals GROUP BY ALL),
+contested AS (SELECT g, f, v, s, rivals FROM votes JOIN riv USING (g, f) WHERE rivals > 0),
+t0 AS (SELECT DISTINCT s, 0.8::DOUBLE AS w FROM contested),"""
+        + "".join(step.format(k=k, l=k + 1, tolerance=tolerance) for k in range(rounds))
+        + f"""
+best AS (
+  SELECT g, f, v, support FROM p{rounds - 1} QUALIFY row_number() OVER (PARTITION BY g, f ORDER BY round(support, 9) DESC, v) = 1
+  UNION ALL SELECT g, f, v, 1.0 FROM vals JOIN riv USING (g, f) WHERE rivals = 0)
+SELECT group_id, f AS field, v AS value, round(support, 4) AS support, CAST(votes AS BIGINT) AS votes FROM best JOIN vals USING (g, f, v) JOIN two USING (g)"""
+    )
+
+
+@query(_truth_sql())
 def p6_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per group and field the value with the highest support once the sources' reliabilities have settled."""
-    choices, _ = survivors.discover(survivors.field_claims(load(spark, sf_dir, "rules")))
-    return choices.select(F.hex("group").alias("group_key"), "field", "value", F.round("support", 4).alias("support"), "votes")
+    claims = durable.cut(survivors.field_claims(load(spark, sf_dir, "rules"))).df
+    choices, _ = survivors.discover(claims)
+    named = claims.select(F.col("g").alias("group"), "group_id").distinct()
+    return choices.join(named, "group").select("group_id", "field", "value", F.round("support", 4).alias("support"), "votes")
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:

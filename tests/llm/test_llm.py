@@ -282,14 +282,24 @@ def test_truth_discovery_finds_reliable_sources(spark):
     for g in range(120):
         for s, p in (("good", 0.95), ("fair", 0.8), ("bad1", 0.3), ("bad2", 0.3)):
             v = "true" if rng.random() < p else rng.choice(["f1", "f2"])
-            rows.append((f"g{g}", "x", v, s, 1))
-    df = spark.createDataFrame(rows, "g string, field string, value string, source string, tier int")
+            rows.append((f"g{g}", "x", v, s, 1, f"{g}{s}"))
+    df = spark.createDataFrame(rows, "g string, field string, value string, source string, tier int, key string")
     choices, trust = survivors.discover(df)
     w = {r.source: r.reliability for r in trust.collect()}
     assert w["good"] > w["fair"] > max(w["bad1"], w["bad2"])
     right = choices.where("value = 'true'").count() / 120
     majority = sum(max((vs := [r[2] for r in rows if r[0] == f"g{g}"]), key=lambda v: (vs.count(v), v)) == "true" for g in range(120)) / 120
     assert right >= 0.9 and right >= majority
+    with pytest.warns(UserWarning, match="still move"):
+        survivors.discover(df, rounds=1)
+
+
+def test_orders_go_before_votes(spark):
+    """Claims of a lower tier don't vote; what the tiers leave equal is decided by votes, else by the smaller value."""
+    rows = [("g", "x", "b", f"s{k}", 1, k) for k in range(5)] + [("g", "x", "a", "s9", 2, 9), ("h", "x", "b", "s1", 1, 1), ("h", "x", "b", "s2", 1, 2), ("h", "x", "a", "s9", 1, 9), ("h", "x", "a", "s9", 1, 9), ("i", "x", "d", "s1", 1, 1), ("i", "x", "c", "s1", 1, 2)]
+    df = spark.createDataFrame(rows, "g string, field string, value string, source string, tier int, key int")
+    got = {r.group: (r.value, r.votes) for r in survivors.discover(df)[0].collect()}
+    assert got == {"g": ("a", 1), "h": ("b", 2), "i": ("c", 1)}
 
 
 # ------------------------------------------------------------------ 7
