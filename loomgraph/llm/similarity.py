@@ -9,7 +9,8 @@ m words is a distance of at most (n + m) (1 - t) / (1 + t).
   the skip budget), and each near pair meets in the region of its first common word.
 * A region whose expected size is above a bound is divided by the next pivots in the same way, its sets replicated to
   the windows that the misses so far leave, until regions are small. Whether a region is divided depends on its words'
-  frequencies alone, so both sets of a pair decide alike and no pair is lost whatever the estimate is worth.
+  frequencies alone, so both sets of a pair decide alike and no pair is lost whatever the estimate is worth. Words that
+  occur together make regions larger than expected; those that are counted to be above another bound are divided as well.
 * Within a region sets are joined under their windows and under the distances to 128 more pivots (disjoint word
   groups, one bit each): by the triangle inequality the bits that differ can't outnumber the distance.
 * What is left is checked exactly on the full word sets.
@@ -38,6 +39,8 @@ from ..durable import Cut, cut
 THRESHOLD = (4, 5)
 #: Regions expected to hold more sets than this are divided.
 REGION = 128
+#: Regions measured to hold more than this are divided whatever was expected.
+LARGE = 1024
 #: Classes of equal sets with more rows than this are linked through their representative instead of pair by pair.
 EXPANDED = 5000
 #: Words on more than one of so many sets are listed with their frequency (at most so many times the mean set size).
@@ -58,10 +61,11 @@ def classes(rows: DataFrame, key: str, text: Column) -> tuple[Cut, Cut]:
     return held, cut(reps.select("id", "h1", "h2", (F.col("id") < F.col("__last")).alias("many"), "rows", "words"))
 
 
-def regions(batch_ids: np.ndarray, sizes: np.ndarray, flat: np.ndarray, listed: np.ndarray, frequency: np.ndarray, total: int, depth: int, region: int = REGION) -> tuple[np.ndarray, ...]:
+def regions(batch_ids: np.ndarray, sizes: np.ndarray, flat: np.ndarray, listed: np.ndarray, frequency: np.ndarray, total: int, depth: int, region: int = REGION, large: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(index of the set, region, misses) for every region that a batch of sets goes to; see the module.
 
-    `flat` holds the sets' words one after the other, `sizes` their numbers of words; `listed` is sorted.
+    `flat` holds the sets' words one after the other, `sizes` their numbers of words; `listed` is sorted. `large`, sorted,
+    has the regions that are divided whatever their expected size and depth.
     """
     p, q = THRESHOLD
     n = len(sizes)
@@ -82,6 +86,8 @@ def regions(batch_ids: np.ndarray, sizes: np.ndarray, flat: np.ndarray, listed:
     with np.errstate(over="ignore"):
         while len(who):
             done = (expected <= region) | (level >= depth) if level else np.zeros(len(who), dtype=bool)
+            if large is not None and len(large) and level:
+                done &= large[np.minimum(np.searchsorted(large, name), len(large) - 1)] != name
             out.append((who[done], name[done], miss[done]))
             go = ~done
             who, last, miss, name, expected = who[go], last[go], miss[go], name[go], expected[go]
@@ -116,27 +122,53 @@ def near_pairs(reps: Cut) -> DataFrame:
     while total > REGION * 32**depth:
         depth += 1
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = reps.df.schema["id"].dataType.simpleString()
+
+    def regions_of(batches: Iterator[pa.RecordBatch], large: np.ndarray, rows: int) -> Iterator[tuple]:
         heavy, frequency = table.value
         for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                part = b.slice(lo, 2000)
-                ids, lists = part.column(0), part.column(1)
-                flat = lists.flatten().to_numpy()
-                sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo in range(0, b.num_rows, rows):
+                ids, lists = b.slice(lo, rows).columns
+                flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                yield ids, flat, sizes, *regions(ids.to_numpy(), sizes, flat, heavy, frequency, total, depth, REGION, large)
+
+    def counted(large: np.ndarray) -> DataFrame:
+        names = spark.sparkContext.broadcast(large)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for *_, name, _ in regions_of(batches, names.value, 10_000):
+                each, times = np.unique(name, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(times)], ["region", "n"])
+
+        return reps.df.select("id", "words").mapInArrow(run, "region bigint, n bigint").groupBy("region").agg(F.sum("n").alias("n"))
+
+    def placed(large: np.ndarray) -> DataFrame:
+        names = spark.sparkContext.broadcast(large)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, flat, sizes, who, name, miss in regions_of(batches, names.value, 2000):
                 bit = (flat.view(np.uint64) >> np.uint64(57)).astype(np.int64)  # one of 128 pivots
                 seen = np.zeros((len(sizes), 128), dtype=bool)
                 seen[np.repeat(np.arange(len(sizes)), sizes), bit] = True
                 bits = np.packbits(seen, axis=1).view(np.int64)
-                who, name, miss = regions(ids.to_numpy(), sizes, flat, heavy, frequency, total, depth)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(name.view(np.int64)), ids.take(pa.array(who)), pa.array(sizes[who].astype(np.int32)), pa.array(miss.astype(np.int32)), pa.array(bits[who, 0]), pa.array(bits[who, 1])],
                     ["region", "id", "n", "miss", "bits0", "bits1"],
                 )
 
-    kind = reps.df.schema["id"].dataType.simpleString()
-    placed = reps.df.select("id", "words").mapInArrow(place, f"region bigint, id {kind}, n int, miss int, bits0 bigint, bits1 bigint").repartition("region")
-    x, y = placed.alias("x"), placed.alias("y")  # the same exchange, read twice
+        return reps.df.select("id", "words").mapInArrow(run, f"region bigint, id {kind}, n int, miss int, bits0 bigint, bits1 bigint")
+
+    # Words that occur together make regions larger than expected: those measured to be are divided, until none is left
+    # or none divides further. There are at most 1 / LARGE as many as replicas.
+    large = np.zeros(0, dtype=np.uint64)
+    while True:
+        found = counted(large).where(F.col("n") > LARGE).select("region").toArrow().column(0).to_numpy().view(np.uint64)
+        found = np.setdiff1d(found, large)
+        if not len(found):
+            break
+        large = np.union1d(large, found)
+    met_in = placed(large)
+    x, y = met_in.alias("x"), met_in.alias("y")  # the same exchange, read twice; adaptive execution may split a region
     need = f"cast(ceil((x.n + y.n) * {p}L / {p + q}D - 1e-9) as int)"
     met = x.join(
         y,

@@ -17,10 +17,11 @@ def word_set(text):
     return frozenset(w for w in re.findall(r"[^\W_]+", text.lower()) if len(w) >= 3)
 
 
-@pytest.mark.parametrize("region", [0.5, 128])
-def test_similar_pairs_equal_brute_force(spark, monkeypatch, region):
-    """Also with regions so small that they are divided to the last word."""
+@pytest.mark.parametrize("region, large", [(0.5, 1024), (128, 1024), (128, 3), (8, 12)])
+def test_similar_pairs_equal_brute_force(spark, monkeypatch, region, large):
+    """Also with regions so small that they are divided to the last word, as expected or as counted."""
     monkeypatch.setattr(similarity, "REGION", region)
+    monkeypatch.setattr(similarity, "LARGE", large)
     rng = random.Random(11)
     vocabulary = [f"word{k}" for k in range(90)]
     texts = []
