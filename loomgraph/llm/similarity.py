@@ -41,6 +41,8 @@ THRESHOLD = (4, 5)
 REGION = 128
 #: Regions measured to hold more than this are divided whatever was expected.
 LARGE = 1024
+#: Replicas that one task joins, some 40 bytes each.
+REPLICAS = 150_000
 #: Classes of equal sets with more rows than this are linked through their representative instead of pair by pair.
 EXPANDED = 5000
 #: Words on more than one of so many sets are listed with their frequency (at most so many times the mean set size).
@@ -138,7 +140,7 @@ def near_pairs(reps: Cut) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for *_, name, _ in regions_of(batches, names.value, 10_000):
                 each, times = np.unique(name, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(times)], ["region", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([None, *each.view(np.int64).tolist()], pa.int64()), pa.array([len(name), *times.tolist()])], ["region", "n"])
 
         return reps.df.select("id", "words").mapInArrow(run, "region bigint, n bigint").groupBy("region").agg(F.sum("n").alias("n"))
 
@@ -162,13 +164,16 @@ def near_pairs(reps: Cut) -> DataFrame:
     # or none divides further. There are at most 1 / LARGE as many as replicas.
     large = np.zeros(0, dtype=np.uint64)
     while True:
-        found = counted(large).where(F.col("n") > LARGE).select("region").toArrow().column(0).to_numpy().view(np.uint64)
-        found = np.setdiff1d(found, large)
+        got = counted(large).where(F.col("region").isNull() | (F.col("n") > LARGE)).collect()
+        replicas = sum(r.n for r in got if r.region is None)
+        found = np.setdiff1d(np.array([r.region for r in got if r.region is not None], dtype=np.int64).view(np.uint64), large)
         if not len(found):
             break
         large = np.union1d(large, found)
-    met_in = placed(large)
-    x, y = met_in.alias("x"), met_in.alias("y")  # the same exchange, read twice; adaptive execution may split a region
+    # No region is large now, so partitions of equal numbers of replicas are even, however many there are.
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-replicas // REPLICAS))
+    met_in = placed(large).repartition(partitions, "region")
+    x, y = met_in.alias("x"), met_in.alias("y")  # the same exchange, read twice
     need = f"cast(ceil((x.n + y.n) * {p}L / {p + q}D - 1e-9) as int)"
     met = x.join(
         y,
