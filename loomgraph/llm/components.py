@@ -13,6 +13,8 @@ are one link; every vertex of a link comes out once.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,33 +27,31 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     # Round 1 sees both directions of each distinct link.
     links = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     graph = cut(links)
-    forest: list[Cut] = []
-    spare: list[Cut] = [graph]
+    forest: list[Cut] = []  # of each round, what every vertex was told
     while graph.rows:
         both = graph.df.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # (w, m): w was told m, by a neighbour or by itself.
-        told = both.join(least, "u").select(F.col("v").alias("w"), "m").union(least.select(F.col("u").alias("w"), "m")).distinct()
-        told_cut = cut(told)
-        chosen = told_cut.df.groupBy("w").agg(F.min("m").alias("low"), F.max(F.col("m") == F.col("w")).alias("stays"))
-        chosen_cut = cut(chosen)
-        forest.append(cut(chosen_cut.df.where("not stays").select(F.col("w").alias("child"), F.col("low").alias("parent"))))
-        onward = told_cut.df.join(chosen_cut.df.select("w", "low"), "w").where("m <> low").select(F.least("m", "low").alias("u"), F.greatest("m", "low").alias("v")).distinct()
-        graph = cut(onward)
-        for c in (told_cut, chosen_cut, *spare):
+        told = cut(both.join(least, "u").select(F.col("v").alias("w"), "m").union(least.select(F.col("u").alias("w"), "m")).distinct())
+        chosen = cut(told.df.groupBy("w").agg(F.min("m").alias("low"), F.max(F.col("m") == F.col("w")).alias("stays")))
+        forest.append(chosen)
+        onward = cut(told.df.join(chosen.df.select("w", "low"), "w").where("m <> low").select(F.least("m", "low").alias("u"), F.greatest("m", "low").alias("v")).distinct())
+        for c in (told, graph):
             c.drop()
-        spare = [graph]
+        graph = onward
     if not forest:
         return edges.select(F.col("u").alias("id"), F.col("u").alias("group_id")).limit(0)
-    # A parent drops out in a later round than its child, or never: then it is a seed.
-    last = forest[-1].df
-    known = cut(last.select(F.col("child").alias("id"), F.col("parent").alias("group_id")).union(last.select("parent", "parent").distinct()))
-    for level in reversed(forest[:-1]):
-        found = level.df.join(known.df.select(F.col("id").alias("parent"), "group_id"), "parent", "left").select("child", "parent", "group_id")
-        found_cut = cut(found.select("child", "parent", F.coalesce("group_id", "parent").alias("group_id"), F.col("group_id").isNull().alias("new")))
-        seeds = found_cut.df.where("new").select("parent", "parent").distinct()
-        grown = cut(known.df.union(found_cut.df.select("child", "group_id")).union(seeds))
-        for c in (known, found_cut, level):
-            c.drop()
-        known = grown
-    return known.df
+    # A parent drops out in a later round than its child, or never: then it is a seed. Each level writes its own rows only.
+    known: list[DataFrame] = []
+    for chosen in reversed(forest):
+        level = chosen.df.where("not stays").select(F.col("w").alias("id"), F.col("low").alias("parent"))
+        if known:
+            above = reduce(DataFrame.union, known).select(F.col("id").alias("parent"), "group_id")
+            level = level.join(above, "parent", "left").select("id", "parent", "group_id")
+        else:
+            level = level.withColumn("group_id", F.lit(None).cast(level.schema["parent"].dataType))
+        found = cut(level).df
+        known.append(found.select("id", F.coalesce("group_id", "parent").alias("group_id")))
+        known.append(found.where("group_id is null").select(F.col("parent").alias("id"), F.col("parent").alias("group_id")).distinct())
+        chosen.drop()
+    return reduce(DataFrame.union, known)
