@@ -6,6 +6,7 @@ import argparse
 import json
 import sys
 
+from . import durable
 from .config import Config, ConfigError, read_file, resolve
 from .operators import checks
 from .operators.model import HttpChat
@@ -34,6 +35,7 @@ def main(argv: list[str] | None = None) -> int:
     """0 if all is well, 1 on violations, drift or failure, 130 if interrupted."""
     from . import pipeline
 
+    spark = None
     try:
         command, config = parse(sys.argv[1:] if argv is None else argv)
         if command == "stats":
@@ -64,6 +66,9 @@ def main(argv: list[str] | None = None) -> int:
     except (ConfigError, pipeline.IntegrityError, OSError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
+    finally:
+        if spark is not None:
+            durable.sweep(spark)
 
 
 if __name__ == "__main__":

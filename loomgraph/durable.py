@@ -8,6 +8,7 @@ RDD checkpoint it is columnar and compressed and has statistics.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,10 +18,13 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one if none is set."""
+    """The session's shared folder; in local mode a temporary one if none is set. On a cluster it must be set: a folder
+    of one machine would hold only what that machine's executors wrote."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _OWN:
         holder = tempfile.TemporaryDirectory(prefix="loomgraph-")
         atexit.register(holder.cleanup)

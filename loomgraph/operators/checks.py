@@ -97,9 +97,10 @@ def excerpt(citations: DataFrame, files: DataFrame, key: str = "rule_id", contex
     last = F.least(F.col("b") + context, F.size("ls").cast("bigint"))
     first = F.greatest(F.lit(1), F.col("a") - context)
     # No source can add more lines than the budget.
-    rows = j.where(first <= last).select(key, "src", "a", "b", "ls", F.explode(F.sequence(first, F.least(last, first + budget - 1))).alias("line_no"))
+    shown = j.where(first <= last).select(key, "src", "a", "b", first.alias("first"), F.slice("ls", first.cast("int"), F.greatest(F.lit(0), F.least(last - first + 1, F.lit(budget))).cast("int")).alias("shown"))
+    rows = shown.select(key, "src", "a", "b", "first", F.posexplode("shown").alias("k", "text")).withColumn("line_no", F.col("first") + F.col("k"))
     mark = F.when(F.col("line_no").between(F.col("a"), F.col("b")), ">").otherwise("·")
-    text = F.concat(F.format_string("%5d", "line_no"), F.lit(" "), mark, F.lit(" "), F.element_at("ls", F.col("line_no").cast("int")))
+    text = F.concat(F.format_string("%5d", "line_no"), F.lit(" "), mark, F.lit(" "), F.col("text"))
     n = F.row_number().over(Window.partitionBy(key).orderBy("src", "line_no"))
     return rows.select(key, "src", "line_no", text.alias("line")).withColumn("__n", n).where(F.col("__n") <= budget).drop("__n")
 

@@ -1,4 +1,4 @@
-"""Joins over spans, names and sets, each as an equi-join with a residual condition.
+"""Joins over spans and names, each as an equi-join with a residual condition.
 
 Spans are (key, start, end) with inclusive ends; nothing joins across keys, so every plan hashes on the key. Texts
 never travel through these joins: join spans, attach content last.
@@ -8,21 +8,37 @@ Defined results: rows with a null key or bound match nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import cut
+
+#: Lots that rows are dealt into where all of them share one key.
+LOTS = 64
+
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, start: str, value: str) -> DataFrame:
     """`left` (with a unique column `row`) and, as `value`, the right row's last at or before `at`, else its first, else null.
 
-    One hash join and one aggregation; of equal starts the greater value is the later.
+    Rows of both sides are put in one order of key and place and each left row looks back to the last right row: linear,
+    where a join on the key would pair all rows of a hot one. No key is sorted by one task: the order is cut into ranges,
+    and what a range begins with comes from the ranges before it. Of equal starts the greater value is the later.
     """
-    r = right.select(F.col(key).alias("__k"), F.col(start).alias("__s"), F.col(value).alias("__v"))
-    pairs = left.select("row", F.col(key), F.col(at)).join(r, F.col(key) == F.col("__k"), "left")
-    best = pairs.groupBy("row").agg(
-        F.max_by("__v", F.when(F.col("__s") <= F.col(at), F.struct("__s", "__v"))).alias("__last"), F.min_by("__v", F.struct("__s", "__v")).alias("__first")
-    )
-    return left.join(best.select("row", F.coalesce("__last", "__first").alias(value)), "row")
+    marks = right.select(F.col(key).alias("__k"), F.col(start).alias("__at"), F.lit(0).alias("__side"), F.col(value).alias("__v"), F.lit(None).cast(left.schema["row"].dataType).alias("row")).where("__k is not null and __at is not null")
+    asks = left.select(F.col(key).alias("__k"), F.col(at).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema[value].dataType).alias("__v"), "row").where("__k is not null and __at is not null")
+    line = ["__k", "__at", "__side", "__v", "row"]
+    both = cut(marks.unionByName(asks).repartitionByRange(*line).withColumn("__p", F.spark_partition_id()))
+    mark = F.when(F.col("__side") == 0, F.struct("__v"))
+    back = Window.partitionBy("__k", "__p").orderBy(*line[1:]).rowsBetween(Window.unboundedPreceding, 0)
+    own = both.df.withColumn("__seen", F.last(mark, ignorenulls=True).over(back)).where("__side = 1")
+    ends = both.df.where("__side = 0").groupBy("__k", "__p").agg(F.max(F.struct("__at", "__v")).alias("__end"))
+    before = Window.partitionBy("__k").orderBy("__p")
+    ranges = both.df.select("__k", "__p").distinct().join(ends, ["__k", "__p"], "left")
+    carried = ranges.select("__k", "__p", F.last("__end", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))
+    first = marks.groupBy("__k").agg(F.min_by("__v", F.struct("__at", "__v")).alias("__first"))
+    found = own.join(carried, ["__k", "__p"]).select("__k", "row", F.coalesce("__seen", F.when(F.col("__carried").isNotNull(), F.struct(F.col("__carried.__v").alias("__v")))).alias("__x"))
+    named = found.join(first, "__k", "left").select("row", F.when(F.col("__x").isNotNull(), F.col("__x.__v")).otherwise(F.col("__first")).alias(value))
+    return left.join(named, "row", "left")
 
 
 def containers(spans: DataFrame, key: str = "key", row: str = "row", start: str = "start", end: str = "end") -> DataFrame:
@@ -57,22 +73,29 @@ def overlap(left: DataFrame, right: DataFrame, key: str, l_start: str, l_end: st
     return joined.drop("__k")
 
 
-def contains_link(targets: DataFrame, names: DataFrame, target: str, name: str, most: int = 200_000) -> DataFrame:
-    """Pairs in which the target text contains the name, broadcasting the names; an empty name is in every target.
+def contains_link(targets: DataFrame, names: DataFrame, target: str, name: str) -> DataFrame:
+    """Pairs in which the target text contains the name; an empty name is in every target.
 
-    The names are broadcast up to `most` distinct ones, which is checked. Beyond that the names' first word carries an
-    equi-join: a target that contains a name contains the name's longest word as part of one of its words, so both are
-    joined on that word's prefixes of three characters at any place.
+    A target that contains a name contains each three characters in a row of it, so both are joined on that of the name's
+    which the fewest targets have: an equi-join, then an exact look. A name of one or two characters is looked up among
+    the targets' ones and twos in the same way. An empty name's pairs are all targets: an output, not a search.
     """
-    distinct = names.dropDuplicates()
-    if distinct.limit(most + 1).count() <= most:
-        return targets.join(F.broadcast(distinct), F.contains(F.col(target), F.col(name)))
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(c, i, F.lit(3))))
-    short = distinct.where(F.length(name) < 3)
-    keyed = distinct.where(F.length(name) >= 3).withColumn("__g", F.substring(name, 1, 3))
-    wide = targets.withColumn("__g", F.explode(grams(F.col(target))))
-    far = wide.join(keyed, "__g").where(F.contains(F.col(target), F.col(name))).drop("__g")
-    return far.unionByName(targets.join(F.broadcast(short), F.contains(F.col(target), F.col(name))))
+    n = F.length(name)
+    grams = lambda c, k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substring(c, i, F.lit(k))))
+    texts = targets.select(F.col(target).alias("__t")).distinct().where("__t is not null")
+    spelled = texts.select("__t", F.explode(F.flatten(F.array(*(F.when(F.length("__t") >= k, grams(F.col("__t"), k)).otherwise(F.array().cast("array<string>")) for k in (1, 2, 3))))).alias("__g"))
+    held = cut(spelled)
+    often = held.df.groupBy("__g").agg(F.count("*").alias("__n"))
+    wanted = names.select(F.col(name).alias("__name")).distinct().where("__name <> ''")
+    size = F.length("__name")
+    own = F.when(size >= 3, grams(F.col("__name"), 3)).otherwise(F.array("__name"))
+    rarest = wanted.select("__name", F.explode(own).alias("__g")).join(often, "__g", "left").groupBy("__name").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__g")).alias("x")).where("x.n > 0").select("__name", F.col("x.__g").alias("__g"))
+    pairs = rarest.join(held.df, "__g").where(F.contains("__t", "__name")).select("__t", "__name")
+    far = targets.join(pairs, F.col(target) == F.col("__t")).drop("__t").join(names, F.col("__name") == F.col(name)).drop("__name")
+    # What is in every target meets the targets by lots, so no lot is one task's all.
+    lots = F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1)))
+    blank = targets.where(F.col(target).isNotNull()).withColumn("__lot", F.pmod(F.xxhash64(*targets.columns), F.lit(LOTS)).cast("int")).join(names.where(n == 0).withColumn("__lot", lots), "__lot").drop("__lot")
+    return far.unionByName(blank.select(*far.columns))
 
 
 def longest_prefix(left: DataFrame, table: DataFrame, row: str, parts: str, prefix: str, value: str, joined: str = "/") -> DataFrame:
@@ -94,43 +117,3 @@ def unique_suffix(left: DataFrame, table: DataFrame, row: str, parts: str, suffi
     wide = left.where(n > 0).select(row, F.explode(suffixes).alias("p"))
     hits = wide.join(table.select(F.col(suffix).alias("p"), F.col(value)), "p")
     return hits.groupBy(row).agg(F.min(value).alias(value), F.max(value).alias("__m")).where(F.col(value) == F.col("__m")).drop("__m")
-
-
-def similar_sets(sets: DataFrame, row: str = "row", words: str = "words", threshold: float = 0.8) -> DataFrame:
-    """(a, b, similarity), a < b: pairs of word sets with a Jaccard similarity of at least `threshold` (<= 0 means 0.8).
-
-    Exact prefix filter: words are ordered by how rare they are. A pair that is similar enough and needs k words in
-    common shares k of the first |A| - ceil(t |A|) + k words of each. For t above one half two distinct sets need two
-    words, so sets are joined on pairs of their first words, which are far rarer than single words; below, on single
-    words. Only longer sets meet shorter ones within the length bound; candidates are then counted exactly. Equal sets
-    are joined once, as one set, and expanded after.
-    """
-    t = threshold if threshold > 0 else 0.8
-    own = sets.select(F.col(row).alias("__row"), F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))).alias("w")).where(F.size("w") > 0)
-    keyed = own.select("__row", "w", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), F.col("w")).alias("h2"))
-    reps = keyed.groupBy("h1", "h2").agg(F.min("__row").alias("id"), F.first("w").alias("w"))
-    freq = reps.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("f"))
-    ranked = reps.select("id", F.explode("w").alias("word")).join(freq, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "word"))).alias("fw"))
-    k = 2 if t > 0.5 else 1
-    size = F.size("fw")
-    cut_off = size - F.ceil(size * F.lit(t) - 1e-9).cast("int") + k
-    head = ranked.select("id", size.alias("n"), F.transform(F.slice("fw", F.lit(1), cut_off), lambda x: x["word"]).alias("head"))
-    # A key's words are the first ones that a pair shares: `miss` of the words before its last one are not shared.
-    if k == 2:
-        rest = lambda i: F.slice("head", i + 2, F.greatest(F.size("head") - i - 1, F.lit(0)))
-        keys = F.flatten(F.transform("head", lambda x, i: F.transform(rest(i), lambda y, j: F.struct(F.xxhash64(x, y).alias("key"), (i + j).alias("miss")))))
-    else:
-        keys = F.transform("head", lambda x, i: F.struct(F.xxhash64(x).alias("key"), i.alias("miss")))
-    placed = head.select("id", "n", F.explode(keys).alias("x")).select("id", "n", "x.key", "x.miss")
-    l, r = placed.alias("l"), placed.alias("r")
-    need = F.ceil((F.col("l.n") + F.col("r.n")) * F.lit(t / (1 + t)) - 1e-6)
-    fits = F.expr("l.key = r.key and (l.n < r.n or l.n = r.n and l.id < r.id)") & (F.col("l.n") >= F.col("r.n") * t - 1e-9) & (F.col("l.n") - F.col("l.miss") >= need) & (F.col("r.n") - F.col("r.miss") >= need)
-    near = l.join(r, fits).select(F.col("l.id").alias("ia"), F.col("r.id").alias("ib")).distinct()
-    wa, wb = reps.select(F.col("id").alias("ia"), F.col("w").alias("wa")), reps.select(F.col("id").alias("ib"), F.col("w").alias("wb"))
-    both = F.size(F.array_intersect("wa", "wb"))
-    sized = near.join(wa, "ia").join(wb, "ib").select("ia", "ib", (both / (F.size("wa") + F.size("wb") - both)).alias("similarity")).where(F.col("similarity") >= t)
-    member = keyed.select("__row", "h1", "h2").join(reps.select("h1", "h2", "id"), ["h1", "h2"]).select("id", "__row")
-    ra, rb = member.select(F.col("id").alias("ia"), F.col("__row").alias("ra")), member.select(F.col("id").alias("ib"), F.col("__row").alias("rb"))
-    across = sized.join(ra, "ia").join(rb, "ib").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "similarity")
-    same = ra.join(rb, F.col("ia") == F.col("ib")).where("ra < rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"), F.lit(1.0).alias("similarity"))
-    return across.unionByName(same)

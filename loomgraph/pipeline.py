@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .config import Config
 from .durable import cut
 from .functions import exprs as X
-from .operators import checks, chunks, graph, joins, merge, phases, render
+from .operators import checks, chunks, graph, joins, merge, phases, render, similar
 from .operators import model as M
 from .sources import facts as fact_sources
 from .sources import scanners, tree
@@ -134,8 +134,8 @@ def run(spark: SparkSession, config: Config, chat: M.Chat) -> dict:
 def summarise(nodes: DataFrame, edges: DataFrame, files: DataFrame, tally: dict[str, int], extractors: dict[str, str], units: dict[str, tuple[int, int]]) -> dict:
     """Counts and lists for the summary page; the list of pairs ends in how many more there are."""
     sets = nodes.where("type = 'rule'").select(F.col("id").alias("row"), X.word_set(X.requirement_of(F.col("body"))).alias("words"))
-    pairs = cut(joins.similar_sets(sets))
-    within = pairs.df.agg(F.count_if(X.rule_domain(F.col("a")) == X.rule_domain(F.col("b")))).collect()[0][0]
+    near = similar.near_classes(sets)
+    counts = similar.count_pairs(near, sets.select("row", X.rule_domain(F.col("row")).alias("label"))).collect()[0]
     bare = files.where("language = ''").select("path").distinct()
     return {
         "types": {r["type"]: r["n"] for r in nodes.groupBy("type").agg(F.count("*").alias("n")).collect()},
@@ -146,7 +146,7 @@ def summarise(nodes: DataFrame, edges: DataFrame, files: DataFrame, tally: dict[
         "units": units,
         "extractors_failed": sorted(n for n, s in extractors.items() if s != "ok"),
         "no_grammar": [r[0] for r in bare.orderBy("path").toLocalIterator()],
-        "duplicates": (pairs.rows, within, [tuple(r) for r in pairs.df.orderBy(F.desc("similarity"), "a", "b").limit(20).collect()]),
+        "duplicates": (counts.same + counts.different, counts.same, [tuple(r) for r in similar.closest(near, 20).collect()]),
         "domains": [r[0] for r in nodes.where("type = 'domain'").select(F.regexp_replace("id", r"^domain\.", "")).orderBy("id").toLocalIterator()],
         "depends_on": [tuple(r) for r in edges.where("type = 'depends_on'").select("src", "dst").orderBy("src", "dst").toLocalIterator()],
     }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import checks, graph, joins, merge, windows
+from ..operators import checks, graph, joins, merge, similar, windows
 from ..tables import load
 from .catalog import query
 from .texts import _LANG, SLUG, citations, texts
@@ -471,8 +471,8 @@ i AS (SELECT a.rule_id AS a, b.rule_id AS b, a.domain AS da, b.domain AS db, a.n
 SELECT a, b, round(c / (na + nb - c), 6) AS similarity FROM i WHERE c / (na + nb - c) >= 0.8 ORDER BY c / (na + nb - c) DESC, a, b LIMIT 20""")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty closest pairs of near-duplicate requirements (a top-k report)."""
-    pairs = joins.similar_sets(_requirement_sets(spark, sf_dir))
-    return pairs.orderBy(F.desc("similarity"), "a", "b").limit(20).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    pairs = similar.closest(similar.near_classes(_requirement_sets(spark, sf_dir)), 20)
+    return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 def _requirement_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -487,10 +487,8 @@ i AS (SELECT a.rule_id AS a, b.rule_id AS b, a.domain AS da, b.domain AS db, a.n
 SELECT count(*) FILTER (WHERE da = db) AS intra, count(*) FILTER (WHERE da <> db) AS across FROM i WHERE c / (na + nb - c) >= 0.8""")
 def duplicates_intra_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate pairs within a domain and across domains."""
-    pairs = joins.similar_sets(_requirement_sets(spark, sf_dir))
-    d = load(spark, sf_dir, "rules").groupBy("rule_id").agg(F.min("domain").alias("domain"))
-    j = pairs.join(d.select(F.col("rule_id").alias("a"), F.col("domain").alias("da")), "a").join(d.select(F.col("rule_id").alias("b"), F.col("domain").alias("db")), "b")
-    return j.agg(F.count_if(F.col("da") == F.col("db")).alias("intra"), F.count_if(F.col("da") != F.col("db")).alias("across"))
+    domains = load(spark, sf_dir, "rules").groupBy(F.col("rule_id").alias("row")).agg(F.min("domain").alias("label"))
+    return similar.count_pairs(similar.near_classes(_requirement_sets(spark, sf_dir)), domains).select(F.col("same").alias("intra"), F.col("different").alias("across"))
 
 
 @query("""

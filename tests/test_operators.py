@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import checks, graph, joins, merge, skew
+from loomgraph.operators import checks, graph, joins, merge, similar, skew
 from loomgraph.operators import model as M
 
 
@@ -52,7 +52,27 @@ def test_prefix_suffix_and_substring(spark):
     names = spark.createDataFrame([("App\\Foo",), ("",), ("Bar",), ("zz",)], "name string")
     few = {tuple(r) for r in joins.contains_link(targets, names, "target", "name").collect()}
     assert few == {("App\\FooBar@x", "App\\Foo"), ("App\\FooBar@x", "Bar"), ("App\\FooBar@x", ""), ("", "")}
-    assert {tuple(r) for r in joins.contains_link(targets, names, "target", "name", most=1).select("target", "name").collect()} == few
+
+
+def test_contains_link_equals_brute_force(spark):
+    rng = random.Random(3)
+    word = lambda least, most: "".join(rng.choice("abé\\") for _ in range(rng.randint(least, most)))
+    texts, names = [(word(0, 12), k) for k in range(80)] + [(None, 99)], [(word(0, 5), k) for k in range(60)] + [(None, 99), ("", 98)]
+    got = joins.contains_link(spark.createDataFrame(texts, "t string, k int"), spark.createDataFrame(names, "n string, j int"), "t", "n")
+    assert sorted(map(tuple, got.select("k", "j").collect())) == sorted((k, j) for t, k in texts for n, j in names if t is not None and n is not None and n in t)
+
+
+def test_as_of_equals_brute_force(spark):
+    """Also over keys that range over several partitions, with ties, nulls and rows before the first."""
+    rng = random.Random(8)
+    right = [(rng.choice("aaaab"), rng.randint(0, 60), rng.choice("wxyz")) for _ in range(300)] + [(None, 1, "n"), ("a", None, "n"), ("c", 50, None)]
+    left = [(k, rng.choice("aaaabcd"), rng.randint(-5, 70)) for k in range(300)] + [(900, None, 3), (901, "a", None)]
+    l, r = spark.createDataFrame(left, "row int, key string, at int"), spark.createDataFrame(right, "key string, s int, v string")
+    got = {x.row: x.v for x in joins.as_of(l, r, "key", "at", "s", "v").collect()}
+    for row, key, at in left:
+        own = [(s, v or "") for k, s, v in right if k == key and k is not None and s is not None] if at is not None else []
+        before = [x for x in own if x[0] <= at]
+        assert got[row] == ((max(before) if before else min(own))[1] or None if own else None), (row, key, at)
 
 
 def test_similar_sets_equal_brute_force(spark):
@@ -61,7 +81,7 @@ def test_similar_sets_equal_brute_force(spark):
     sets = {k: sorted(set(w)) for k, w in enumerate(base + [w[:-1] + ["zz"] for w in base] + base[:10] + [[]])}
     df = spark.createDataFrame(list(sets.items()), "row int, words array<string>")
     for t in (0.8, 0.4):
-        got = {(r.a, r.b): r.similarity for r in joins.similar_sets(df, threshold=t).collect()}
+        got = {(r.a, r.b): r.similarity for r in similar.similar_sets(df, threshold=t).collect()}
         want = {}
         for a in sets:
             for b in sets:
@@ -70,7 +90,18 @@ def test_similar_sets_equal_brute_force(spark):
                     if len(x & y) / len(x | y) >= t:
                         want[a, b] = len(x & y) / len(x | y)
         assert got == want
-    assert joins.similar_sets(df.limit(0)).count() == 0
+        near = similar.near_classes(df, threshold=t)
+        for k in (1, 7, 30, 500):
+            assert [tuple(r) for r in similar.closest(near, k).collect()] == sorted(((a, b, x) for (a, b), x in want.items()), key=lambda p: (-p[2], p[:2]))[:k]
+        labels = {k: [None, "x", "y", "z"][k % 4] for k in sets}
+        both = [(labels[a], labels[b]) for a, b in want if labels[a] and labels[b]]
+        assert tuple(similar.count_pairs(near, spark.createDataFrame(list(labels.items()), "row int, label string")).collect()[0]) == (sum(a == b for a, b in both), sum(a != b for a, b in both))
+    assert similar.similar_sets(df.limit(0)).count() == 0
+
+
+def test_frequent_words_are_keys_in_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similar, "RARE", 3)
+    test_similar_sets_equal_brute_force(spark)
 
 
 def test_merges(spark):
