@@ -188,7 +188,7 @@ def columns_of(columns: Column) -> Column:
 
 def requirement_of(body: Column) -> Column:
     """The requirement a rule's body states, or its first line."""
-    stated = F.regexp_extract(body, r"(?m)^\*\*Exigence \(EARS\)\*\* : (.*)$", 1)
+    stated = F.regexp_extract(body, r"(?md)^\*\*Exigence \(EARS\)\*\* : (.*)$", 1)
     return F.when(stated != "", stated).otherwise(F.substring_index(body, "\n", 1))
 
 

@@ -73,6 +73,23 @@ def strip_fences(reply: str) -> str:
     return (rest[: rest.rfind("```")] if "```" in rest else rest).strip() if found else ""
 
 
+class Rejected(ValueError):
+    """A reply that a validator refuses; `code` names the check that failed first."""
+
+    def __init__(self, code: str, text: str):
+        super().__init__(text)
+        self.code = code
+
+
+def first_error(validate: Callable[[], Any]) -> str:
+    """The code of the check that fails first; 'ok' if none does."""
+    try:
+        validate()
+        return "ok"
+    except Rejected as e:
+        return e.code
+
+
 def chat_json(chat: Chat, messages: list[Message], validate: Callable[[Any], Any], corrections: int) -> tuple[Any, Usage]:
     """The first valid reply, decoded; after an invalid one the model sees it again with its error. Raises ModelError."""
     messages, prompt, completion = list(messages), 0, 0
@@ -91,7 +108,7 @@ def chat_json(chat: Chat, messages: list[Message], validate: Callable[[Any], Any
 def parse_lines(lines: str) -> tuple[int, int]:
     m = re.fullmatch(r"(\d+)-(\d+)", lines or "")
     if not m or not 1 <= int(m[1]) <= int(m[2]):
-        raise ValueError(f"invalid line range {lines!r}")
+        raise Rejected("lines", f"invalid line range {lines!r}")
     return int(m[1]), int(m[2])
 
 
@@ -103,13 +120,13 @@ def _common(k: int, rule: dict, entities: set[str], endpoints: set[str]) -> None
     for name, known in (("entities", entities), ("endpoints", endpoints)):
         for x in _listed(rule, name):
             if x not in known:
-                raise ValueError(f"rule {k}: {x!r} is not among the allowed {name}")
+                raise Rejected(name, f"rule {k}: {x!r} is not among the allowed {name}")
     if rule.get("nature") not in X.NATURES:
-        raise ValueError(f"rule {k}: nature {rule.get('nature')!r}")
+        raise Rejected("nature", f"rule {k}: nature {rule.get('nature')!r}")
     if rule.get("origin") not in X.ORIGINS:
-        raise ValueError(f"rule {k}: origin {rule.get('origin')!r}")
+        raise Rejected("origin", f"rule {k}: origin {rule.get('origin')!r}")
     if not 0 <= float(rule.get("confidence") or 0) <= 1:
-        raise ValueError(f"rule {k}: confidence {rule['confidence']} is outside [0, 1]")
+        raise Rejected("confidence", f"rule {k}: confidence {rule['confidence']} is outside [0, 1]")
 
 
 def validate_map(reply: dict, path: str, start: int, end: int, entities: Iterable[str], endpoints: Iterable[str]) -> dict:
@@ -117,15 +134,16 @@ def validate_map(reply: dict, path: str, start: int, end: int, entities: Iterabl
     entities, endpoints = set(entities), set(endpoints)
     for k, rule in enumerate(reply.get("rules") or []):
         if rule.get("ears_kind") not in X.EARS_KINDS:
-            raise ValueError(f"rule {k}: EARS kind {rule.get('ears_kind')!r}")
+            raise Rejected("ears", f"rule {k}: EARS kind {rule.get('ears_kind')!r}")
         if not _listed(rule, "citations"):
-            raise ValueError(f"rule {k}: no citation")
+            raise Rejected("citations", f"rule {k}: no citation")
         for c in rule["citations"]:
+            c = c or {}
             if c.get("path") != path:
-                raise ValueError(f"rule {k}: citation of {c.get('path')!r}, not {path!r}")
-            a, b = parse_lines(c.get("lines", ""))
+                raise Rejected("path", f"rule {k}: citation of {c.get('path')!r}, not {path!r}")
+            a, b = parse_lines(c.get("lines") or "")
             if a < start or b > end:
-                raise ValueError(f"rule {k}: lines {a}-{b} are outside the chunk {start}-{end}")
+                raise Rejected("span", f"rule {k}: lines {a}-{b} are outside the chunk {start}-{end}")
         _common(k, rule, entities, endpoints)
     return reply
 
@@ -149,24 +167,25 @@ def validate_reduce(reply: dict, citations: set[tuple[str, str]], entities: Iter
     for k, rule in enumerate(reply.get("rules") or []):
         slug = slug_of(rule.get("slug") or "") or slug_of(rule.get("title") or "")
         if not slug:
-            raise ValueError(f"rule {k}: no slug and no title")
+            raise Rejected("slug", f"rule {k}: no slug and no title")
         rule["slug"] = unique(slug, taken)
         if rule.get("ears_kind") not in X.EARS_KINDS:
-            raise ValueError(f"rule {k}: EARS kind {rule.get('ears_kind')!r}")
+            raise Rejected("ears", f"rule {k}: EARS kind {rule.get('ears_kind')!r}")
         if not _listed(rule, "citations"):
-            raise ValueError(f"rule {k}: no citation")
+            raise Rejected("citations", f"rule {k}: no citation")
         for c in rule["citations"]:
+            c = c or {}
             if (c.get("path"), c.get("lines")) not in citations:
-                raise ValueError(f"rule {k}: citation {c.get('path')}:{c.get('lines')} is no candidate's")
+                raise Rejected("citation", f"rule {k}: citation {c.get('path')}:{c.get('lines')} is no candidate's")
         _common(k, rule, entities, endpoints)
     return reply
 
 
 def validate_verdict(reply: dict) -> dict:
     if reply.get("verdict") not in X.VERDICTS:
-        raise ValueError(f"verdict {reply.get('verdict')!r}")
+        raise Rejected("verdict", f"verdict {reply.get('verdict')!r}")
     if not (reply.get("reason") or "").strip():
-        raise ValueError("no reason")
+        raise Rejected("reason", "no reason")
     return reply
 
 
@@ -174,8 +193,9 @@ def grounded(citations: Iterable[dict], cited_paths: set[str], symbols: dict[str
     """Proposed citations of already cited paths that overlap a precise symbol there, each once."""
     out: dict[tuple[str, str], dict] = {}
     for c in citations:
+        c = c or {}
         try:
-            a, b = parse_lines(c.get("lines", ""))
+            a, b = parse_lines(c.get("lines") or "")
         except ValueError:
             continue
         if c.get("path") in cited_paths and any(s <= b and e >= a for s, e in symbols.get(c["path"], [])):

@@ -10,7 +10,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -101,18 +101,33 @@ def _columns(schema: str) -> list[str]:
     return out
 
 
+def usable(mapped: DataFrame) -> DataFrame:
+    """Outputs that did not fail and have rules."""
+    return mapped.where(~F.coalesce("failed", F.lit(False)) & (F.coalesce(F.size("rules"), F.lit(0)) > 0))
+
+
+def candidates_hash(rules: Column) -> Column:
+    """Content hash of an array of candidate rules, with the prompt's version; by requirement and title, so their order doesn't count."""
+    line = lambda r: F.concat(F.coalesce(r["requirement"], F.lit("")), F.lit("\t"), F.coalesce(r["title"], F.lit("")), F.lit("\t"), F.to_json(r))
+    return X.short_hash(F.concat(F.lit(PROMPT_VERSION + "\n"), F.array_join(F.array_sort(F.transform(rules, line)), "\n")))
+
+
+def usage(rows: DataFrame, *by: str) -> DataFrame:
+    """(.., prompt, completion): tokens summed."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
+    return rows.groupBy(*by).agg(total("prompt"), total("completion"))
+
+
 def reduce_domains(mapped: DataFrame, entities: list[str], endpoints: list[str], chat: Chat, memo: Memo, lang: str = "fr", size: int = BATCH, workers: int = 4, retry_failed: bool = False) -> DataFrame:
     """(domain, domain_summary, rules, failed): the candidates of each domain consolidated.
 
     Batches of `size` candidates, by path and line, are the units of work and of the memo, so a domain that holds most
     candidates is no one task's. Rules of one requirement are merged over batches, slugs made unique after.
     """
-    usable = mapped.where(~F.col("failed") & (F.size("rules") > 0))
-    candidates = usable.select("domain", "path", "start_line", F.posexplode("rules").alias("pos", "rule"))
+    candidates = usable(mapped).select("domain", "path", "start_line", F.posexplode("rules").alias("pos", "rule"))
     numbered = windows.batches(candidates, ["domain"], ["path", "start_line", "pos"], size)
     rows = numbered.groupBy("domain", "batch").agg(F.array_sort(F.collect_list(F.struct("path", "start_line", "pos", "rule"))).alias("xs"))
-    sorted_json = F.array_join(F.array_sort(F.transform("xs", lambda x: F.concat(x["rule"]["requirement"], F.lit("\t"), x["rule"]["title"], F.lit("\t"), F.to_json(x["rule"])))), "\n")
-    units = rows.select("domain", "batch", X.short_hash(F.concat(F.lit(PROMPT_VERSION + "\n"), sorted_json)).alias("candidates_hash"), F.to_json(F.transform("xs", lambda x: x["rule"])).alias("candidates"))
+    units = rows.select("domain", "batch", candidates_hash(F.transform("xs", lambda x: x["rule"])).alias("candidates_hash"), F.to_json(F.transform("xs", lambda x: x["rule"])).alias("candidates"))
     language = "English" if lang == "en" else "French"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,6 +202,15 @@ def crosscheck(rules: DataFrame, excerpts: DataFrame, symbols: DataFrame, chat:
     return memo.latest(keys).join(units.select(*keys), keys, "left_semi")
 
 
+#: The counters of a review.
+TALLY = ("supported", "partial", "unsupported", "repaired", "failed")
+
+
+def tally(verdicts: DataFrame) -> DataFrame:
+    """One row: how many reviews ended with each verdict; a failed one counts as failed alone."""
+    return verdicts.agg(*(F.count_if(~F.col("failed") & (F.col("verdict") == k)).alias(k) for k in TALLY[:-1]), F.count_if("failed").alias("failed"))
+
+
 def annotate(nodes: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Nodes with their verdicts; a failed or missing one leaves a node as it is, a repaired one has new sources."""
     v = verdicts.where(~F.col("failed")).select(F.col("rule_id").alias("id"), "verdict", "new_citations")

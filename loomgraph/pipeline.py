@@ -111,9 +111,9 @@ def run(spark: SparkSession, config: Config, chat: M.Chat) -> dict:
         lines = checks.excerpt(cited, files.select("path", F.col("text").alias("content")))
         shown = checks.excerpt_texts(lines, cited)
         verdicts = cut(phases.crosscheck(nodes, shown, precise_symbols(facts), chat, memo("crosscheck", phases.VERDICT), config.repair, config.workers, config.retry_failed)).df
-        v = verdicts.agg(F.count("*"), F.count_if("failed"), F.coalesce(F.sum("prompt"), F.lit(0)), F.coalesce(F.sum("completion"), F.lit(0)), *(F.count_if(~F.col("failed") & (F.col("verdict") == n)) for n in ("supported", "partial", "unsupported", "repaired"))).collect()[0]
-        state.phase("crosscheck", *v[:4])
-        tally = dict(zip(("supported", "partial", "unsupported", "repaired"), v[4:])) | {"failed": v[1]}
+        tally = phases.tally(verdicts).collect()[0].asDict()
+        used = phases.usage(verdicts).collect()[0]
+        state.phase("crosscheck", verdicts.count(), tally["failed"], *used)
         nodes = phases.annotate(nodes, verdicts)
     nodes = cut(stamp(nodes, files)).df
 

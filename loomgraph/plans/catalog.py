@@ -32,4 +32,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 from . import skewed  # noqa: E402, F401  (registers its queries)
-from . import relations, sources, texts  # noqa: E402, F401
+from . import gates, relations, sources, texts  # noqa: E402, F401

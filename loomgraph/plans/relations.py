@@ -258,29 +258,12 @@ def nodes_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.distinct().groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {RULES}
-SELECT count(*) FILTER (WHERE crosscheck = 'supported') AS supported, count(*) FILTER (WHERE crosscheck = 'partial') AS partial, count(*) FILTER (WHERE crosscheck = 'unsupported') AS unsupported,
-  count(*) FILTER (WHERE crosscheck = 'repaired') AS repaired, count(*) FILTER (WHERE crosscheck IS NULL) AS failed FROM r""")
-def verdict_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts in five counters; a missing one counts as failed."""
-    v = lambda name: F.count_if(F.col("crosscheck") == name).alias(name)
-    return first_delivery(spark, sf_dir, "crosscheck").agg(v("supported"), v("partial"), v("unsupported"), v("repaired"), F.count_if(F.col("crosscheck").isNull()).alias("failed"))
-
-
 @query("SELECT repo, count(*) AS total, count(*) FILTER (WHERE failed) AS n_failed, count(*) FILTER (WHERE NOT failed) AS done FROM reduce_out GROUP BY repo")
 def failure_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outputs done and failed by repository."""
     return load(spark, sf_dir, "reduce_out").groupBy("repo").agg(F.count("*").alias("total"), F.count_if("failed").alias("n_failed"), F.count_if(~F.col("failed")).alias("done"))
 
 
-@query(f"""WITH {RULES}, u AS (SELECT o.output_id, o.domain FROM reduce_out o WHERE NOT coalesce(failed, false))
-SELECT u.output_id, u.domain, count(*) AS n_rules FROM u JOIN r ON r.output_id = u.output_id GROUP BY u.output_id, u.domain""")
-def usable_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outputs that did not fail and have rules."""
-    o = load(spark, sf_dir, "reduce_out").where(~F.coalesce("failed", F.lit(False))).select("output_id", "domain")
-    return o.join(first_delivery(spark, sf_dir, "output_id").select("output_id"), "output_id").groupBy("output_id", "domain").agg(F.count("*").alias("n_rules"))
-
-
 @query(f"""WITH {RULES}, n AS (SELECT repo, domain, rule_id, (row_number() OVER (PARTITION BY repo, domain ORDER BY rule_id) - 1) // 30 AS batch FROM r)
 SELECT repo, domain, batch, count(*) AS n, min(rule_id) AS first_rule FROM n GROUP BY ALL""")
 def candidates_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,21 +272,6 @@ def candidates_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.batches(r, ["repo", "domain"], ["rule_id"], 30).groupBy("repo", "domain", "batch").agg(F.count("*").alias("n"), F.min("rule_id").alias("first_rule"))
 
 
-@query(f"""WITH {RULES}, c AS (SELECT repo, domain, ('0x' || left(sha256(coalesce(requirement, '') || chr(9) || coalesce(title, '')), 15))::BIGINT AS h FROM r)
-SELECT repo, domain, left(sha256('2' || chr(10) || count(*) || ':' || sum(h)), 16) AS candidates_hash FROM c GROUP BY repo, domain""")
-def candidates_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content hash of each domain's candidates, with the prompt's version; the key of a reduction's memo.
-
-    The hash of a multiset: the number of candidates and the sum of their hashes, which combine before the shuffle, so
-    no domain's candidates are brought together or sorted.
-    """
-    r = first_delivery(spark, sf_dir, "repo", "domain", "requirement", "title")
-    line = F.concat(F.coalesce("requirement", F.lit("")), F.lit("\t"), F.coalesce("title", F.lit("")))
-    h = F.conv(F.substring(F.sha2(line, 256), 1, 15), 16, 10).cast("decimal(20,0)")
-    g = r.groupBy("repo", "domain").agg(F.count("*").alias("n"), F.sum(h).alias("h"))
-    return g.select("repo", "domain", X.short_hash(F.concat(F.lit("2\n"), F.col("n").cast("string"), F.lit(":"), F.col("h").cast("string"))).alias("candidates_hash"))
-
-
 @query(f"WITH {RULES}, e AS (SELECT repo, unnest(list_concat(coalesce(entities, []), coalesce(endpoints, []))) AS id FROM r) SELECT repo, count(DISTINCT id) AS n, string_agg(DISTINCT id, ' ' ORDER BY id) AS ids FROM e GROUP BY repo")
 def distinct_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sorted distinct entity and endpoint ids of each repository."""
@@ -396,7 +364,7 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DRIFT = """
-WITH f AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(13))),
+WITH f AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
 m AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN upper(text) ELSE text END AS text FROM f WHERE doc_id % 10 <> 0),
 d AS (SELECT doc_id, CASE WHEN len(string_split(text, chr(10))) >= 3 THEN left(sha256('d' || doc_id || '|1-3' || chr(10) || array_to_string(string_split(text, chr(10))[1:3], chr(10)) || chr(10)), 16) END AS digest FROM f),
 e AS (SELECT doc_id, CASE WHEN len(string_split(text, chr(10))) >= 3 THEN left(sha256('d' || doc_id || '|1-3' || chr(10) || array_to_string(string_split(text, chr(10))[1:3], chr(10)) || chr(10)), 16) END AS digest FROM m)
@@ -414,14 +382,8 @@ def _drifted(d: DataFrame) -> DataFrame:
 
 @query(_DRIFT)
 def digest_and_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every document's first three lines, and their drift against a changed copy; the documents without CR,
-    as the SQL has them."""
-    return _drifted(texts(spark, sf_dir, False))
-
-
-@query()
-def digest_and_drift_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """digest_and_drift of all documents. Lines end at a newline; a CR before it is text, as in the cited file."""
+    """Digests of every document's first three lines, and their drift against a changed copy. Lines end at a newline;
+    a CR before it is text, as in the cited file."""
     return _drifted(texts(spark, sf_dir))
 
 
@@ -432,27 +394,14 @@ def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.drift_report(digest_and_drift(spark, sf_dir))
 
 
-@query()
-def drift_report_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """drift_report of all documents."""
-    return checks.drift_report(digest_and_drift_whole(spark, sf_dir))
-
-
 @query("""
-WITH f AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(13))),
+WITH f AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc_id, ls, src, a, b FROM f, (VALUES (0, 3, 5), (1, 20, 22), (2, 60, 61)) AS v(src, a, b)),
 l AS (SELECT doc_id, src, unnest(range(greatest(1, a - 10), least(b + 10, len(ls)) + 1)) AS line_no, a, b, ls FROM w WHERE greatest(1, a - 10) <= least(b + 10, len(ls))),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY src, line_no) AS k FROM l)
 SELECT doc_id, src, line_no, lpad(line_no::VARCHAR, 5, ' ') || ' ' || CASE WHEN line_no BETWEEN a AND b THEN '>' ELSE '·' END || ' ' || ls[line_no] AS line FROM n WHERE k <= 40""")
 def excerpt_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Excerpts of three spans of each document, with context, within 40 lines; the documents without CR, as the SQL has
-    them."""
-    return _excerpts(texts(spark, sf_dir, False))
-
-
-@query()
-def excerpt_budget_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """excerpt_budget of all documents; a CR before a newline stays."""
+    """Excerpts of three spans of each document, with context, within 40 lines; a CR before a newline stays."""
     return _excerpts(texts(spark, sf_dir))
 
 
@@ -491,17 +440,6 @@ def duplicates_intra_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.count_pairs(similar.near_classes(_requirement_sets(spark, sf_dir)), domains).select(F.col("same").alias("intra"), F.col("different").alias("across"))
 
 
-@query("""
-SELECT event_id, CASE WHEN NOT json_valid(props) THEN 'not JSON' WHEN json_extract_string(props, '$.device') IS NULL THEN 'device is missing'
-  WHEN json_extract_string(props, '$.device') NOT IN ('web', 'ios', 'android') THEN 'device is unknown' WHEN event_type NOT IN ('view', 'click', 'purchase') THEN 'type not allowed' ELSE 'ok' END AS first_error FROM events""")
-def reply_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first error of each JSON reply."""
-    e = load(spark, sf_dir, "events").select("event_id", "event_type", "props")
-    device = F.get_json_object("props", "$.device")
-    error = F.when(F.expr("try_parse_json(props)").isNull(), "not JSON").when(device.isNull(), "device is missing").when(~device.isin("web", "ios", "android"), "device is unknown").when(~F.col("event_type").isin("view", "click", "purchase"), "type not allowed").otherwise("ok")
-    return e.select("event_id", error.alias("first_error"))
-
-
 @query(f"""WITH {RULES}, k AS (SELECT rule_id, repo, {SLUG.format("coalesce(repo, '')")} AS rs, entities, endpoints FROM r)
 SELECT DISTINCT e AS id, 'nodes/entities/' || regexp_replace(e, '^entity\\.', '') || '.md' AS file, replace(regexp_replace(e, '^entity\\.', ''), '-', '_') AS mermaid FROM (SELECT unnest(entities) AS e FROM k)""")
 def node_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,30 +48,6 @@ def source_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VALID = "regexp_full_match(coalesce(c.lines, ''), '[0-9]+-[0-9]+') AND try_cast(split_part(c.lines, '-', 1) AS BIGINT) BETWEEN 1 AND try_cast(split_part(c.lines, '-', 2) AS BIGINT)"
 
 
-@query(f"""WITH {RULES}
-SELECT rule_id, CASE
-  WHEN coalesce(ears_kind, '') NOT IN ('ubiquitous', 'event', 'state', 'optional', 'unwanted') THEN 'EARS kind'
-  WHEN len(coalesce(citations, [])) = 0 THEN 'no citation'
-  WHEN len(list_filter(citations, lambda c: NOT coalesce({_VALID}, false))) > 0 THEN 'line range'
-  WHEN coalesce(nature, '') NOT IN ('business', 'presentation', 'technical') THEN 'nature'
-  WHEN coalesce(origin, '') NOT IN ('explicit', 'implicit') THEN 'origin'
-  WHEN confidence IS NULL OR isnan(confidence) OR confidence < 0 OR confidence > 1 THEN 'confidence' ELSE 'ok' END AS first_error FROM r""")
-def rule_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first error of each rule, checked as a reply would be."""
-    missing = lambda c, known: ~F.coalesce(F.col(c).isin(*known), F.lit(False))
-    sure = F.coalesce(F.col("confidence").between(0, 1) & ~F.isnan("confidence"), F.lit(False))
-    error = (
-        F.when(missing("ears_kind", X.EARS_KINDS), "EARS kind")
-        .when(F.coalesce(F.size("citations"), F.lit(0)) <= 0, "no citation")
-        .when(F.exists("citations", lambda c: X.range_start(c["lines"]).isNull()), "line range")
-        .when(missing("nature", X.NATURES), "nature")
-        .when(missing("origin", X.ORIGINS), "origin")
-        .when(~sure, "confidence")
-        .otherwise("ok")
-    )
-    return first_delivery(spark, sf_dir, "ears_kind", "citations", "nature", "origin").select("rule_id", error.alias("first_error"))
-
-
 @query(f"""WITH {RULES},
 k AS (SELECT *, 'rule.' || rule_id || '.' || slug AS id FROM r WHERE domain IS NOT NULL AND slug IS NOT NULL AND len(list_filter(coalesce(citations, []), lambda c: c.path IS NULL OR c.lines IS NULL OR NOT regexp_full_match(c.path, '[A-Za-z0-9._/-]+'))) = 0
   AND len(list_filter(list_concat(coalesce(entities, []), coalesce(endpoints, [])), lambda e: e IS NULL)) = 0),

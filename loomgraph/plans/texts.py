@@ -183,27 +183,9 @@ def import_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.groupBy("id", X.import_target(F.col("raw")).alias("target")).agg(F.count("*").alias("n"))
 
 
-@query(r"SELECT doc_id, split_part(text, chr(10), 1) AS first_line, regexp_extract(text, '(?m)^\*\*Exigence \(EARS\)\*\* : (.*)$', 1) AS stated FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(13))")
-def requirement_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines and stated requirements of documents; those without CR, as the SQL has them."""
-    return _stated(texts(spark, sf_dir, False))
-
-
-@query()
-def requirement_extract_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """requirement_extract of all documents. Lines end at a newline, and a CR before it belongs to the end."""
-    return _stated(texts(spark, sf_dir))
-
-
-def texts(spark: SparkSession, sf_dir: str, returns: bool = True) -> DataFrame:
-    """Documents that aren't null; `returns`: with those that contain a CR, which the SQL of some queries leaves out."""
-    d = load(spark, sf_dir, "documents").where("text is not null")
-    return d if returns else d.where(~F.contains("text", F.lit("\r")))
-
-
-def _stated(d: DataFrame) -> DataFrame:
-    plain = lambda c: F.regexp_replace(c, r"\r\z", "")
-    return d.select("doc_id", plain(F.substring_index("text", "\n", 1)).alias("first_line"), plain(F.regexp_extract("text", r"(?md)^\*\*Exigence \(EARS\)\*\* : (.*)$", 1)).alias("stated"))
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that aren't null."""
+    return load(spark, sf_dir, "documents").where("text is not null")
 
 
 @query("""
@@ -223,10 +205,3 @@ def token_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes by type in short form."""
     d = load(spark, sf_dir, "documents").groupBy("doc_type").agg(F.count("*").alias("n"), F.sum("n_chars").alias("s"))
     return d.select("doc_type", "n", X.token_display(F.col("s")).alias("shown"))
-
-
-@query("SELECT doc_type, sum(CASE WHEN lang = 'en' THEN n_chars ELSE 0 END)::BIGINT AS prompt, sum(CASE WHEN lang = 'en' THEN 0 ELSE n_chars END)::BIGINT AS completion FROM documents GROUP BY doc_type")
-def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two usage sums for each phase (a document type stands for a phase, its language for the side)."""
-    en = F.coalesce(F.col("lang") == "en", F.lit(False))
-    return load(spark, sf_dir, "documents").groupBy("doc_type").agg(F.sum(F.when(en, F.col("n_chars")).otherwise(0)).alias("prompt"), F.sum(F.when(en, 0).otherwise(F.col("n_chars"))).alias("completion"))
