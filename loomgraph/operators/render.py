@@ -6,12 +6,13 @@ import json
 import os
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import plain_yaml
 from ..functions import exprs as X
 from .graph import LABELS, edge_rank
 
@@ -77,12 +78,37 @@ def parse_page(page: str) -> dict:
     head, mark, body = page[4:].partition("\n---\n")
     if not mark:
         raise PageError("the page's head has no end")
+    node = _written(head) or _edited(head)
+    node["title"] = next((x[2:] for x in body.split("\n") if x.startswith("# ")), "")
+    node["body"] = body
+    return node
+
+
+def _edited(head: str) -> dict:
+    """A head that a hand has changed, read as YAML."""
+    try:
+        found = plain_yaml.load(head, typed=False)
+    except ValueError as e:
+        raise PageError(str(e)) from e
+    if not isinstance(found, dict) or set(found) - {"id", "type", "status", "sources", "edges", *EXTRAS}:
+        raise PageError("the page's head isn't a node's")
+    text = lambda x: "" if x is None else str(x)
+    listed = lambda k, names: [{n: text(x.get(n)) for n in names} for x in found.get(k) or []]
+    try:
+        node = {k: text(found.get(k)) for k in ("id", "type", "status")} | {"sources": listed("sources", ("path", "lines")), "edges": listed("edges", ("type", "to"))}
+        return node | {"extra": {k: "%.2f" % float(found[k]) if k == "confidence" else text(found[k]) for k in EXTRAS if k in found}}
+    except (AttributeError, TypeError, ValueError) as e:
+        raise PageError(f"unreadable entry: {e}") from e
+
+
+def _written(head: str) -> dict | None:
+    """A head in the very form that frontmatter() gives it; None if it has any other line."""
     node: dict = {"id": "", "type": "", "status": "", "sources": [], "edges": [], "extra": {}}
     section = ""
     for line in head.split("\n"):
         if m := re.fullmatch(r"  - path: (.*)", line):
             node["sources"].append({"path": _scalar(m[1]), "lines": ""})
-        elif m := re.fullmatch(r"    lines: (.*)", line):
+        elif (m := re.fullmatch(r"    lines: (.*)", line)) and node["sources"]:
             node["sources"][-1]["lines"] = _scalar(m[1])
         elif m := re.fullmatch(r"  - \{type: (.*?), to: (.*)\}", line):
             node["edges"].append({"type": _scalar(m[1]), "to": _scalar(m[2])})
@@ -94,16 +120,17 @@ def parse_page(page: str) -> dict:
                 value = _scalar(m[2])
                 node["extra"][section] = "%.2f" % float(value) if section == "confidence" else value
             elif section not in ("sources", "edges") or m[2] not in ("", "[]"):
-                raise PageError(f"unknown entry {line!r}")
+                return None
         elif line.strip():
-            raise PageError(f"unreadable line {line!r}")
-    node["title"] = next((x[2:] for x in body.split("\n") if x.startswith("# ")), "")
-    node["body"] = body
+            return None
     return node
 
 
 def _scalar(text: str) -> str:
-    return json.loads(text) if text.startswith('"') else text
+    try:
+        return json.loads(text) if text.startswith('"') else text
+    except ValueError as e:
+        raise PageError(f"unreadable text {text}") from e
 
 
 NODE = "id string, type string, status string, title string, body string, sources array<struct<path:string,lines:string>>, edges array<struct<type:string,to:string>>, extra map<string,string>"
@@ -148,12 +175,12 @@ def round_trip(nodes: DataFrame, lang: str = "fr") -> DataFrame:
     return rendered.mapInPandas(run, "node_id string, check string, detail string")
 
 
-def write_atomic(path: str, data: str) -> None:
-    """Write a file by a temporary one in its folder and a rename."""
+def write_atomic(path: str, data: str | Iterable[str]) -> None:
+    """Write a file, given whole or in pieces, by a temporary one in its folder and a rename."""
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     fd, temp = tempfile.mkstemp(dir=os.path.dirname(path) or ".")
     with os.fdopen(fd, "w", encoding="utf-8", newline="") as f:
-        f.write(data)
+        f.writelines([data] if isinstance(data, str) else data)
     os.chmod(temp, 0o644)
     os.replace(temp, path)
 

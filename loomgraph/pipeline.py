@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import events
 from .config import Config
 from .durable import cut
 from .functions import exprs as X
@@ -32,10 +34,20 @@ def _ordered(df: DataFrame) -> DataFrame:
 
 def all_facts(spark: SparkSession, files: DataFrame, parsed: DataFrame, config: Config) -> tuple[DataFrame, dict[str, str]]:
     """Facts of the parser, extractors in order and files, merged; and the extractors' statuses."""
-    external, status = fact_sources.run_extractors(spark, config.extractors, config.src, config.extractor_timeout)
+    external, status = fact_sources.run_extractors(spark, config.extractors, config.src, config.extractor_timeout, config.timeouts)
     given = [fact_sources.load_facts_file(spark, p) for p in config.facts]
-    layers = [chunks.universal_facts(parsed), fact_sources.script_facts(files), *external, *given]
-    return merge.merge_facts([_ordered(f) for f in layers]), status
+    scripts = fact_sources.script_facts(files)
+    if config.routes:  # a framework's own listing stands for the routes that were read off its files
+        scripts = _ordered(scripts)
+        try:
+            with open(config.routes, encoding="utf-8") as f:
+                scripts = merge.replace_kind(scripts, "route", _ordered(fact_sources.runtime_routes(spark, f.read())))
+            status["routes"] = "ok"
+        except (OSError, ValueError, AttributeError) as e:
+            status["routes"] = f"failed: {e}"
+    index = [fact_sources.index_facts(spark.read.text(p, wholetext=True).select(F.explode(F.from_json("value", "struct<documents:array<string>>")["documents"]).alias("document"))) for p in config.index]
+    layers = [_ordered(chunks.universal_facts(parsed)), scripts if config.routes else _ordered(scripts), *map(_ordered, (*index, *external, *given))]
+    return merge.merge_facts(layers), status
 
 
 def allowed_endpoints(facts: DataFrame, separator: str = "\\") -> DataFrame:
@@ -51,7 +63,7 @@ def allowed_endpoints(facts: DataFrame, separator: str = "\\") -> DataFrame:
 
 def precise_symbols(facts: DataFrame) -> DataFrame:
     a, b = X.range_start(F.col("source.lines")), X.range_end(F.col("source.lines"))
-    return facts.where("kind = 'symbol' and try_element_at(attrs, 'precise') = 'true'").select(F.col("source.path").alias("path"), a.alias("start_line"), b.alias("end_line")).where("start_line is not null")
+    return facts.where("kind = 'symbol' and try_element_at(attrs, 'precise') = 'true'").select(F.col("source.path").alias("path"), a.alias("start_line"), b.alias("end_line"), *(F.coalesce(F.try_element_at("attrs", F.lit(k)), F.lit("")).alias(k) for k in ("name", "kind", "signature"))).where("start_line is not null")
 
 
 def dependencies(facts: DataFrame, domains: DataFrame, config: Config) -> DataFrame:
@@ -77,28 +89,66 @@ def stamp(nodes: DataFrame, files: DataFrame) -> DataFrame:
     return j.withColumn("extra", F.when(F.col("digest").isNull(), F.col("extra")).otherwise(F.map_concat(kept, F.create_map(F.lit("digest"), F.col("digest"))))).drop("digest")
 
 
-def run(spark: SparkSession, config: Config, chat: M.Chat) -> dict:
-    """Build, verify and render the graph of config.src in config.out; the counts of the summary page."""
+def run(spark: SparkSession, config: Config, chat: M.Chat, sink: events.Sink = events.silent) -> dict:
+    """Build, verify and render the graph of config.src in config.out; the counts of the summary page.
+
+    What goes on is told to `sink` and kept in the state file: after every few units of a phase, not at its end only.
+    """
+    tell = lambda kind, **values: sink(events.Event(kind, values))
+    tell("started", src=config.src, out=config.out)
+    ok = False
+    try:
+        summary = _run(spark, config, chat, tell)
+        ok = True
+        return summary
+    finally:
+        tell("finished", ok=ok)
+
+
+def _run(spark: SparkSession, config: Config, chat: M.Chat, tell: Callable[..., None]) -> dict:
     out = config.out
     os.makedirs(out, exist_ok=True)
     state = State(os.path.join(out, "state.json"))
     memo = lambda name, schema: phases.Memo(spark, os.path.join(os.path.abspath(out), "cache", name), schema)
 
-    files = cut(tree.read_tree(spark, config.src, config.exclude)).df
+    scanned = cut(tree.scan(spark, config.src, config.exclude)).df
+    for r in tree.unreadable(scanned).orderBy("path").toLocalIterator():
+        tell("warning", path=r.path, error=r.error)
+    files = cut(tree.readable(scanned)).df
+    tell("scanned", files=files.count(), unreadable=tree.unreadable(scanned).count())
+
+    def told(phase: str) -> Callable[[int, int], None]:
+        tell("phase", phase=phase)
+        last = [-1]
+
+        def hear(done: int, total: int) -> None:
+            if done != last[0]:
+                last[0] = done
+                tell("unit", phase=phase, done=done, total=total)
+                state.progress(phase, done, total)
+
+        return hear
+
     parsed = cut(scanners.parse_files(files)).df
     merged, extractors = all_facts(spark, files, parsed, config)
+    for name, status in extractors.items():
+        tell("extractor" if status == "ok" else "warning", extractor=name, status=status)
     facts = cut(merged).df
-    render.write_atomic(os.path.join(out, "facts.json"), json.dumps({"schema": fact_sources.SCHEMA_TAG, "facts": [json.loads(r) for (r,) in facts.orderBy("id").select(F.to_json(F.struct("kind", "id", "attrs", "source", "origin", "certainty"))).toLocalIterator()]}, indent=2, ensure_ascii=False) + "\n")
+    tell("facts", **{r["kind"]: r["n"] for r in facts.groupBy("kind").agg(F.count("*").alias("n")).collect()})
+    symbols = precise_symbols(facts)
+    render.write_atomic(os.path.join(out, "facts.json"), fact_sources.facts_json(facts))
     pieces = cut(chunks.chunk_files(files, parsed, config.domain_depth, config.strategy)).df
 
     entities = [r[0] for r in graph.entity_nodes(facts).select("id").distinct().orderBy("id").collect()]
     endpoints = [r[0] for r in graph.endpoint_nodes(facts).select("id").distinct().orderBy("id").collect()]
-    mapped = cut(phases.map_chunks(pieces, allowed_endpoints(facts), entities, chat, memo("map", phases.MAP_OUT), config.lang, config.workers, config.retry_failed)).df
+    mapped = cut(phases.map_chunks(pieces, allowed_endpoints(facts), entities, chat, memo("map", phases.MAP_OUT), config.lang, config.workers, config.retry_failed, symbols, told("map"))).df
     m = mapped.agg(F.count("*"), F.count_if("failed"), F.coalesce(F.sum("prompt"), F.lit(0)), F.coalesce(F.sum("completion"), F.lit(0))).collect()[0]
     state.phase("map", *m)
-    reduced = cut(phases.reduce_domains(mapped, entities, endpoints, chat, memo("reduce", phases.REDUCE_OUT), config.lang, workers=config.workers, retry_failed=config.retry_failed)).df
+    tell("ended", phase="map", total=m[0], failed=m[1])
+    reduced = cut(phases.reduce_domains(mapped, entities, endpoints, chat, memo("reduce", phases.REDUCE_OUT), config.lang, config.reduce_batch, config.workers, config.retry_failed, told("reduce"))).df
     r = reduced.groupBy("domain").agg(F.min("failed").alias("failed"), F.sum("prompt").alias("p"), F.sum("completion").alias("c")).agg(F.count("*"), F.count_if("failed"), F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).collect()[0]
     state.phase("reduce", *r)
+    tell("ended", phase="reduce", total=r[0], failed=r[1])
 
     rules, summaries = phases.consolidated(reduced)
     rules = cut(rules).df
@@ -110,7 +160,7 @@ def run(spark: SparkSession, config: Config, chat: M.Chat) -> dict:
         cited = nodes.where("type = 'rule'").select(F.col("id").alias("rule_id"), F.posexplode("sources").alias("src", "s")).select("rule_id", "src", "s.path", "s.lines")
         lines = checks.excerpt(cited, files.select("path", F.col("text").alias("content")))
         shown = checks.excerpt_texts(lines, cited)
-        verdicts = cut(phases.crosscheck(nodes, shown, precise_symbols(facts), chat, memo("crosscheck", phases.VERDICT), config.repair, config.workers, config.retry_failed)).df
+        verdicts = cut(phases.crosscheck(nodes, shown, symbols, chat, memo("crosscheck", phases.VERDICT), config.repair, config.workers, config.retry_failed, told("crosscheck"))).df
         tally = phases.tally(verdicts).collect()[0].asDict()
         used = phases.usage(verdicts).collect()[0]
         state.phase("crosscheck", verdicts.count(), tally["failed"], *used)
@@ -119,15 +169,17 @@ def run(spark: SparkSession, config: Config, chat: M.Chat) -> dict:
 
     found = violations(nodes, edges, files, config.lang)
     bad = cut(found)
+    tell("violations", n=bad.rows)
     if bad.rows:
         raise IntegrityError("; ".join(f"{x.node_id}: {x.check}: {x.detail}" for x in bad.df.orderBy("node_id", "check", "detail").limit(20).collect()))
     full = cut(render.with_edges(nodes, edges)).df
     render.write_pages(render.pages(full, config.lang), out)
-    render.write_atomic(os.path.join(out, "graph.json"), "".join(render.graph_json(full)))
-    render.write_atomic(os.path.join(out, "llms.txt"), "".join(render.listing(full)))
+    render.write_atomic(os.path.join(out, "graph.json"), render.graph_json(full))
+    render.write_atomic(os.path.join(out, "llms.txt"), render.listing(full))
     summary = summarise(full, edges, files, tally, extractors, {"chunks": (m[0], m[1]), "domains": (r[0], r[1])})
     render.write_atomic(os.path.join(out, "README.md"), summary_page(summary))
     state.save(phase="done", extractors=extractors)
+    tell("nodes", **summary["types"])
     return summary
 
 

@@ -45,33 +45,9 @@ def source_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.chunk_files(f, _parsed(f)).select("path", "id", "start_line", "end_line", "language", "namespace", "domain", F.length("content").alias("n_chars"), "context_start")
 
 
-_VALID = "regexp_full_match(coalesce(c.lines, ''), '[0-9]+-[0-9]+') AND try_cast(split_part(c.lines, '-', 1) AS BIGINT) BETWEEN 1 AND try_cast(split_part(c.lines, '-', 2) AS BIGINT)"
-
-
-@query(f"""WITH {RULES},
-k AS (SELECT *, 'rule.' || rule_id || '.' || slug AS id FROM r WHERE domain IS NOT NULL AND slug IS NOT NULL AND len(list_filter(coalesce(citations, []), lambda c: c.path IS NULL OR c.lines IS NULL OR NOT regexp_full_match(c.path, '[A-Za-z0-9._/-]+'))) = 0
-  AND len(list_filter(list_concat(coalesce(entities, []), coalesce(endpoints, [])), lambda e: e IS NULL)) = 0),
-s AS (SELECT rule_id, string_agg('  - path: ' || p || chr(10) || '    lines: "' || l || '"' || chr(10), '' ORDER BY p, l) AS sources FROM (SELECT rule_id, c.path AS p, c.lines AS l FROM (SELECT rule_id, unnest(citations) AS c FROM k)) GROUP BY rule_id),
-e AS (SELECT rule_id, string_agg('  - {{type: ' || t || ', to: ' || d || '}}' || chr(10), '' ORDER BY o, d) AS edges FROM (
-  SELECT rule_id, 0 AS o, 'belongs_to' AS t, 'domain.' || rule_id AS d FROM k UNION SELECT rule_id, 1, 'touches', unnest(entities) FROM k UNION SELECT rule_id, 2, 'exposed_by', unnest(endpoints) FROM k) GROUP BY rule_id)
-SELECT k.id, '---' || chr(10) || 'id: ' || k.id || chr(10) || 'type: rule' || chr(10) || 'status: generated' || chr(10) || coalesce('sources:' || chr(10) || s.sources, 'sources: []' || chr(10)) || 'edges:' || chr(10) || e.edges
-  || CASE WHEN coalesce(ears_kind, '') <> '' THEN 'ears: ' || ears_kind || chr(10) ELSE '' END || 'acceptance: ' || len(coalesce(acceptance_criteria, [])) || chr(10)
-  || CASE WHEN coalesce(nature, '') <> '' THEN 'nature: ' || nature || chr(10) ELSE '' END || CASE WHEN coalesce(origin, '') <> '' THEN 'origin: ' || origin || chr(10) ELSE '' END || 'confidence: ' || CASE WHEN confidence IS NULL THEN '0.00' ELSE printf('%.2f', confidence) END || chr(10) || '---' || chr(10) AS head
-FROM k JOIN e ON e.rule_id = k.rule_id LEFT JOIN s ON s.rule_id = k.rule_id WHERE confidence IS NULL OR NOT isnan(confidence)""")
-def frontmatter_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Heads of rule pages, with the rule's id for its domain so that ids are unique."""
-    r = first_delivery(spark, sf_dir, "domain", "slug", "title", "ears_kind", "requirement", "rationale", "citations", "entities", "endpoints", "acceptance_criteria", "nature", "origin").where("domain is not null and slug is not null and (confidence is null or not isnan(confidence))").withColumn("domain", F.col("rule_id").cast("string"))
-    plain = ~F.coalesce(F.exists("citations", lambda c: c["path"].isNull() | c["lines"].isNull() | ~F.regexp_like(c["path"], F.lit(r"^[A-Za-z0-9._/-]+\z"))), F.lit(False))
-    none = F.array().cast("array<string>")
-    named = ~F.exists(F.concat(F.coalesce("entities", none), F.coalesce("endpoints", none)), lambda x: x.isNull())
-    kept = r.where(plain & named)
-    full = render.with_edges(graph.rule_nodes(kept), graph.rule_edges(kept))
-    return full.select("id", render.frontmatter().alias("head"))
-
-
 @query()
-def frontmatter_render_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """frontmatter_render of all rules; see _defined()."""
+def frontmatter_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads of all rules' pages, with the rule's id for its domain so that ids are unique; see _defined()."""
     full = _with_edges(spark, sf_dir)
     return full.select("id", render.frontmatter().alias("head"))
 

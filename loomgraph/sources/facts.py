@@ -16,6 +16,8 @@ from ..operators.merge import best_per_key
 from . import scanners
 
 SCHEMA_TAG = "facts/v1"
+#: Tags that are read: ours, with any name before it.
+ACCEPTED = re.compile(r"(?:[\w.-]+/)?facts/v1")
 FACT = "kind string, id string, attrs map<string,string>, source struct<path:string,lines:string>, origin string, certainty string"
 TIMEOUT = 300
 
@@ -30,7 +32,7 @@ def decode_envelope(data: str, origin: str = "", overwrite: bool = False) -> lis
         envelope = json.loads(data)
     except ValueError as e:
         raise FactsError(f"not JSON: {e}") from e
-    if not isinstance(envelope, dict) or envelope.get("schema") != SCHEMA_TAG:
+    if not isinstance(envelope, dict) or not ACCEPTED.fullmatch(str(envelope.get("schema"))):
         raise FactsError(f"unsupported schema {envelope.get('schema') if isinstance(envelope, dict) else None!r}")
     rows = []
     for f in envelope.get("facts") or []:
@@ -64,12 +66,13 @@ def run_extractor(spark: SparkSession, name: str, command: Sequence[str], src: s
     return _frame(spark, decode_envelope(done.stdout, name, overwrite=True))
 
 
-def run_extractors(spark: SparkSession, extractors: dict[str, Sequence[str]], src: str, timeout: float = TIMEOUT) -> tuple[list[DataFrame], dict[str, str]]:
-    """Facts of all extractors that succeed, in order, and each one's status ('ok' or what failed)."""
+def run_extractors(spark: SparkSession, extractors: dict[str, Sequence[str]], src: str, timeout: float = TIMEOUT, timeouts: dict[str, float] | None = None) -> tuple[list[DataFrame], dict[str, str]]:
+    """Facts of all extractors that succeed, in order, and each one's status ('ok' or what failed). `timeouts` has those
+    of single extractors."""
     layers, status = [], {}
     for name, command in extractors.items():
         try:
-            layers.append(run_extractor(spark, name, command, src, timeout))
+            layers.append(run_extractor(spark, name, command, src, (timeouts or {}).get(name, timeout)))
             status[name] = "ok"
         except FactsError as e:
             status[name] = f"failed: {e}"
@@ -109,14 +112,32 @@ def script_facts(files: DataFrame, origin: str = "framework") -> DataFrame:
     return best_per_key(rows, "id", ["pos"]).select("kind", "id", "attrs", "source", "origin", "certainty", "pos")
 
 
+def facts_json(facts: DataFrame) -> Iterator[str]:
+    """An envelope of facts by id, in pieces, streamed to the driver a partition at a time."""
+    yield '{\n  "schema": ' + json.dumps(SCHEMA_TAG) + ',\n  "facts": ['
+    first = True
+    for (row,) in facts.orderBy("id").select(F.to_json(F.struct("kind", "id", "attrs", "source", "origin", "certainty"))).toLocalIterator():
+        yield ("\n" if first else ",\n") + "    " + json.dumps(json.loads(row), indent=2, ensure_ascii=False).replace("\n", "\n    ")
+        first = False
+    yield "]\n}\n" if first else "\n  ]\n}\n"
+
+
+#: Fixed value: the file that a listed route is cited from where the listing names none.
+LISTED_BY = "artisan"
+
+
 def runtime_routes(spark: SparkSession, listing: str, origin: str = "runtime") -> DataFrame:
-    """Routes of a framework's JSON listing (given as text): first verb of A|B, leading slash, certainty 'proved'."""
+    """Routes of a framework's JSON listing (given as text): first verb of A|B, leading slash, certainty 'proved'.
+    An entry without a method or path is left out; a closure has no controller."""
     rows = []
     for r in json.loads(listing):
-        verb = (r.get("method") or "").split("|")[0]
-        path = "/" + (r.get("uri") or "").lstrip("/")
-        controller, _, action = (r.get("action") or "").partition("@")
-        rows.append(("route", f"route.{(verb or 'any').lower()}.{path}", {k: v for k, v in {"method": verb, "path": path, "controller": controller, "action": action}.items() if v}, (r.get("file", ""), r.get("lines", "1-1")), origin, "proved"))
+        if r.get("method") is None or r.get("uri") is None:
+            continue
+        verb, path = r["method"].split("|")[0], "/" + r["uri"].lstrip("/")
+        named = "" if r.get("action") == "Closure" else r.get("action") or ""
+        controller, _, action = named.partition("@")
+        attrs = {"method": verb.upper(), "path": path, "controller": controller, "action": action}
+        rows.append(("route", f"route.{verb.lower()}.{path}", {k: v for k, v in attrs.items() if v}, (r.get("file") or LISTED_BY, r.get("lines") or "1-1"), origin, "proved"))
     return _frame(spark, rows)
 
 

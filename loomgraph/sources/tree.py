@@ -81,13 +81,27 @@ class TreeSource(DataSource):
         return TreeReader(self.options)
 
 
-def read_tree(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:
-    """(path, abs_path, language, content, text) of the readable text files below `root`."""
+def scan(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:
+    """All files below `root`, with binary and unreadable ones; see TreeSource."""
     spark.dataSource.register(TreeSource)
-    raw = spark.read.format("tree").option("exclude", ",".join(exclude or [])).load(root)
-    kept = raw.where("not is_binary and error is null")
+    return spark.read.format("tree").option("exclude", ",".join(exclude or [])).load(root)
+
+
+def readable(scanned: DataFrame) -> DataFrame:
+    """(path, abs_path, language, content, text) of the readable text files of scan()."""
+    kept = scanned.where("not is_binary and error is null")
     return kept.select("path", "abs_path", X.language_of(F.col("path")).alias("language"), "content", F.decode("content", "UTF-8").alias("text"))
 
 
+def unreadable(scanned: DataFrame) -> DataFrame:
+    """(path, error) of the files of scan() that couldn't be read."""
+    return scanned.where("error is not null").select("path", "error")
+
+
+def read_tree(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:
+    """(path, abs_path, language, content, text) of the readable text files below `root`."""
+    return readable(scan(spark, root, exclude))
+
+
 def line_counts(files: DataFrame) -> DataFrame:
     return files.select("path", X.line_count(F.col("text")).alias("n_lines"))

@@ -27,6 +27,11 @@ class State:
         self.data |= changes
         write_atomic(self.path, json.dumps(self.data, indent=2, sort_keys=True) + "\n")
 
+    def progress(self, name: str, done: int, total: int) -> None:
+        """A phase that goes on: units done of those that were to do."""
+        self.data["counters"][name] = {"total": total, "done": done, "failed": 0}
+        self.save(phase=name)
+
     def phase(self, name: str, total: int, failed: int, prompt: int = 0, completion: int = 0) -> None:
         """A finished phase: its counters are replaced, its tokens added to earlier runs'."""
         t = self.data["tokens"].setdefault(name, {"prompt": 0, "completion": 0})

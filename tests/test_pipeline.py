@@ -131,6 +131,78 @@ def test_run_verify_drift(spark, tree, tmp_path):
     assert {r.check for r in pipeline.verify(spark, config).collect()} == {"unresolvable-citation"}
 
 
+def test_a_stopped_phase_goes_on_where_it_was(spark, tree, tmp_path):
+    """A run that is stopped half-way through a phase loses no finished unit; what goes on is told and kept."""
+    from loomgraph.state import State
+
+    out, calls, told = str(tmp_path / "spec"), tmp_path / "calls", []
+    config = Config(src=tree, out=out, exclude=["skipped"], workers=1).checked()
+
+    def counted(limit):
+        def call(messages):
+            if calls.exists() and len(calls.read_text()) >= limit:
+                raise RuntimeError("the power is out")
+            with open(calls, "a") as f:
+                f.write("x")
+            return chat(messages)
+
+        return call
+
+    from loomgraph.operators import phases
+
+    for k in range(10):  # more chunks than are stored at a time
+        with open(os.path.join(tree, f"more{k}.txt"), "w") as f:
+            f.write(f"keep {k}\n")
+    with pytest.raises(Exception, match="power is out"):
+        pipeline.run(spark, config, counted(10), told.append)
+    assert told[0].kind == "started" and told[-1].values == {"ok": False}
+    state = State(os.path.join(out, "state.json")).data
+    assert state["phase"] == "map" and 1 <= state["counters"]["map"]["done"] <= 10
+    stored = state["counters"]["map"]["done"]
+    assert stored >= 10 - phases.FLUSH
+    calls.unlink()
+    told.clear()
+    summary = pipeline.run(spark, config, counted(10_000), told.append)
+    n_chunks, n_domains = summary["units"]["chunks"][0], summary["units"]["domains"][0]
+    assert len(calls.read_text()) == n_chunks - stored + n_domains
+    kinds = [e.kind for e in told]
+    assert {"started", "scanned", "facts", "phase", "unit", "ended", "violations", "nodes", "finished"} <= set(kinds) and told[-1].values == {"ok": True}
+    assert [e.values["done"] for e in told if e.kind == "unit" and e.values["phase"] == "map"][-1] == n_chunks - stored
+
+
+def test_index_routes_and_symbols_reach_the_run(spark, tree, tmp_path):
+    """An index gives precise symbols to prompts and repairs, a listing stands for the routes in files, a citation that can't be read stops the review."""
+    from loomgraph.operators import phases
+
+    symbol = "x . Allocator#choose()."
+    document = {"relative_path": "lib/Allocator.php", "language": "PHP", "symbols": [{"symbol": symbol, "kind": 26, "display_name": "choose"}], "occurrences": [{"symbol": symbol, "symbol_roles": 1, "range": [8, 4, 9], "enclosing_range": [8, 4, 16, 5]}]}
+    (tmp_path / "index.json").write_text(json.dumps({"documents": [document]}))
+    (tmp_path / "routes.json").write_text(json.dumps([{"method": "PATCH|HEAD", "uri": "doors/{d}", "action": "Allocator@choose"}]))
+    with open(os.path.join(tree, "artisan"), "w") as f:
+        f.write("#!/usr/bin/env php\n")
+    prompts = tmp_path / "prompts"
+
+    def seen(messages):
+        with open(prompts, "a") as f:
+            f.write(messages[1]["content"] + "\n")
+        if "support" in messages[0]["content"] and "Propose" not in messages[0]["content"]:
+            return json.dumps({"verdict": "partial", "reason": "half of it"}), (1, 1)
+        if "Propose" in messages[0]["content"]:
+            return json.dumps({"citations": [{"path": "lib/Allocator.php", "lines": "10-12"}, {"path": "lib/Allocator.php", "lines": "1-2"}]}), (1, 1)
+        return chat(messages)
+
+    config = Config(src=tree, out=str(tmp_path / "spec"), exclude=["skipped"], repair=True, index=[str(tmp_path / "index.json")], routes=str(tmp_path / "routes.json")).checked()
+    summary = pipeline.run(spark, config, seen)
+    assert summary["types"]["endpoint"] == 1 and summary["tally"]["repaired"] == 1 and summary["tally"]["partial"] == summary["types"]["rule"] - 1
+    assert "SYMBOLS (exact; cite their lines):\n- choose (method) lines 9-17" in prompts.read_text()
+    pages = [v.decode() for k, v in everything(config.out).items() if "Allocator.php" in v.decode() and k.startswith("nodes/rules/")]
+    assert len(pages) == 1 and 'lines: "10-12"' in pages[0]
+    nodes = spark.createDataFrame([("rule.a.b", "rule", "t", "b", [("gone.php", "1-2")])], "id string, type string, title string, body string, sources array<struct<path:string,lines:string>>")
+    memo = phases.Memo(spark, str(tmp_path / "memo"), phases.VERDICT)
+    with pytest.raises(FileNotFoundError, match=r"rule\.a\.b"):
+        phases.crosscheck(nodes, spark.createDataFrame([], "rule_id string, excerpt string"), spark.createDataFrame([], phases.SYMBOL), seen, memo)
+
+
 def test_summary_names_all_files_without_a_grammar(spark):
     nodes = spark.createDataFrame([], "id string, type string, title string, body string, sources array<struct<path:string,lines:string>>, extra map<string,string>")
     edges = spark.createDataFrame([], "src string, type string, dst string")

@@ -3,6 +3,7 @@ import sys
 
 import pytest
 
+from loomgraph import plain_yaml
 from loomgraph.config import ConfigError, resolve
 from loomgraph.operators import chunks, render
 from loomgraph.sources import facts, scanners, tree
@@ -139,6 +140,45 @@ def test_pages_round_trip(spark):
     assert json.loads("".join(render.graph_json(full)))["nodes"]["domain.d"]["edges"] == []
 
 
+def test_settings_files(tmp_path):
+    from loomgraph import cli
+
+    text = """# settings of a tree
+exclude: [cache, 'old stuff']
+extractors:
+  - name: tides
+    cmd: tidal
+    args: [--from, "{src}"]   # the root
+    timeout: 1m30s
+  - {name: bells, cmd: bell}
+facts_files:
+- a.json
+domain_strategy: directory
+domain_depth: 2
+"""
+    (tmp_path / "loomgraph.yaml").write_text(text)
+    _, c = cli.parse(["run", "--src", str(tmp_path), "--facts", "b.json", "--facts", "a.json"])
+    assert (c.exclude, c.strategy, c.domain_depth, c.facts) == (["cache", "old stuff"], "directory", 2, ["b.json", "a.json"])
+    assert c.extractors == {"tides": ["tidal", "--from", "{src}"], "bells": ["bell"]} and c.timeouts == {"tides": 90}
+    _, c = cli.parse(["run", "--src", str(tmp_path), "--exclude", "x, y", "--strategy", "auto", "--domain-depth", "3", "--reduce-batch", "9", "--format", "json"])
+    assert (c.exclude, c.strategy, c.domain_depth, c.reduce_batch, c.format) == (["x", "y"], "auto", 3, 9, "json")
+    assert "vendor" in resolve({}, env={}).exclude and resolve({}, {"exclude": []}, {}).exclude == resolve({}, env={}).exclude
+    for bad in ({"extractors": [{"name": "a"}]}, {"extractors": [{"name": "a", "cmd": "b", "timeout": "soon"}]}, {"format": "xml"}, {"log_level": "loud"}):
+        with pytest.raises(ConfigError):
+            resolve({}, bad, {})
+    for bad in ("a: 1\n  b: 2\n", "a: [1, 2\n", "a: &x 1\n", "a: 1\na: 2\n", "\ta: 1\n"):
+        with pytest.raises(ValueError):
+            plain_yaml.load(bad)
+    assert plain_yaml.load("a:\n- b: 'it''s'\n  c: |\n    x\n     y\n- - 1\n  - ~\nd: >-\n  e\n  f\n") == {"a": [{"b": "it's", "c": "x\n y\n"}, [1, None]], "d": "e f"} and plain_yaml.load("# none\n") is None
+
+
+def test_hand_edited_pages():
+    page = "---\n# moved\ntype: rule\nid: 'rule.a.b'\nstatus:   kept\nsources: [{path: \"x y.go\", lines: 1-2}]\nedges:\n  - type: belongs_to\n    to: domain.a\nconfidence: .5\n---\n\n# T\n"
+    node = render.parse_page(page)
+    assert (node["id"], node["status"], node["title"]) == ("rule.a.b", "kept", "T") and node["sources"] == [{"path": "x y.go", "lines": "1-2"}]
+    assert node["edges"] == [{"type": "belongs_to", "to": "domain.a"}] and node["extra"] == {"confidence": "0.50"}
+
+
 def test_settings_and_state(tmp_path):
     c = resolve({"model": "m", "repair": True, "domain_depth": 0, "facts": ["a"]}, {"model": "n", "endpoint": "e", "facts": ["b", "a"]}, {"LOOMGRAPH_ENDPOINT": "env"})
     assert (c.model, c.endpoint, c.crosscheck, c.domain_depth, c.facts) == ("m", "env", True, 1, ["a", "b"])
@@ -171,8 +211,8 @@ def test_all_rules_have_heads(spark, tmp_path):
     schema = "rule_id bigint, domain string, slug string, title string, citations array<struct<path:string,lines:string>>, entities array<string>, endpoints array<string>, confidence double, ears_kind string, requirement string, rationale string, acceptance_criteria array<string>, nature string, origin string, received_at timestamp, generated_at timestamp"
     spark.createDataFrame([(*r, "event", "req", None, None, "business", "explicit", at, at) for r in rows], schema).write.parquet(str(tmp_path / "rules.parquet"))
     run = lambda name: {r.id: r["head"] for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
-    heads = run("frontmatter_render_whole")
-    assert set(heads) == {"rule.1.s1", "rule.2.s2", "rule.3.s3", "rule.4.", "rule.5.s5"} and not run("frontmatter_render")
+    heads = run("frontmatter_render")
+    assert set(heads) == {"rule.1.s1", "rule.2.s2", "rule.3.s3", "rule.4.", "rule.5.s5"}
     assert not render.round_trip(plans._with_edges(spark, str(tmp_path))).count()
     node = render.parse_page(heads["rule.1.s1"])
     assert sorted((c["path"], c["lines"]) for c in node["sources"]) == sorted((c[0] or "", c[1] or "") if c else ("", "") for c in odd)
