@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..durable import cut
-from .syntax import WORDS
+from .syntax import WORDS, settled
 
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
 _COMMENT = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|(?m:^\s*#(?![\[!])[^\n]*)")
@@ -351,10 +351,8 @@ _COLUMNS = (*_SUMS, "generated", "vendored", "phrases", "stretches")
 
 def _parts(chunks: DataFrame) -> DataFrame:
     """(file_id, segment, repo, path, parts) of the distinct chunks; texts are shuffled once."""
-    rows = chunks.select("file_id", "id", "repo", F.trim("path").alias("path"), F.col("start_line").alias("start"), F.coalesce("content", F.lit("")).alias("content"))
-    # Only a chunk beyond the first segment can be put wrongly by a delivery without a line: few, and without texts.
-    far = chunks.where(F.col("start_line").isNull() | (F.col("start_line") >= SEGMENT)).groupBy("file_id", "id").agg(F.min("start_line").alias("__first"), F.count_if(F.col("start_line").isNull()).alias("__n")).where("__n > 0 and __first is not null").drop("__n")
-    placed = rows.join(far, ["file_id", "id"], "left").withColumn("start", F.coalesce("start", "__first")).drop("__first")
+    kept = settled(chunks.select("file_id", "id", "repo", "path", "start_line", "content"), SEGMENT)
+    placed = kept.select("file_id", "id", "repo", F.trim("path").alias("path"), F.col("start_line").alias("start"), F.coalesce("content", F.lit("")).alias("content"))
     placed = placed.withColumn("segment", F.coalesce((F.col("start") / SEGMENT).cast("int"), F.lit(0))).repartition("file_id", "segment")
     once = placed.groupBy("file_id", "segment", "id").agg(F.min("start").alias("start"), F.max("repo").alias("repo"), F.max("path").alias("path"), F.min("content").alias("content"))
     return once.groupBy("file_id", "segment").agg(F.max("repo").alias("repo"), F.max("path").alias("path"), F.array_sort(F.collect_list(F.struct(F.coalesce("start", F.lit(-1)).alias("start"), "id", "content"))).alias("parts"))

@@ -1,21 +1,24 @@
-"""Finding source files that do not parse, from per-chunk summaries that compose.
+"""Finding source files that do not parse, from maps of lexer states and bracket summaries that compose.
 
-Each chunk is read once, where it lies: the lexer runs over it from the ordinary state and yields a summary - the
-closing brackets it needs from before, the opening brackets it leaves, the lexer state it ends in, and what its local
-grammar found wrong. Summaries compose associatively, so a file's verdict is a reduction over its chunks in line order,
-and no text is shuffled. For the other entry states the map from entry to exit state is evaluated only where some chunk
-of a file does end in one (inside a comment, string, template or markup): those files' chunks are read again in order.
+A chunk is a map from the lexer state it is entered in to a summary: the closing brackets it needs from before, the
+opening brackets it leaves, the lexer state it ends in, and what its local grammar found wrong. Maps compose
+associatively, so a file's verdict is a reduction over its chunks in line order, within strides first, then over these.
+Each chunk is read where it lies, and no text is shuffled by file. All chunks are read from the ordinary state; only for
+the files of which a chunk ends in another one (within a comment, literal, template, markup or text between tags) their
+chunks are read from that state as well, and again while this shows further states.
 
 The local grammars judge balanced code by what may stand next to what: two names, a name and a number or string, a
 declaring keyword after a name, an operator without its operand, conflict markers, another language's openers.
 Comments and literals are opaque to them.
 
 Defined results: null content is empty and valid; a file of no known language is not judged; a chunk delivered twice
-counts once; a null start line sorts first. PHP without an opening tag doesn't count as PHP.
+counts once, at the first line that any delivery gives; a null start line sorts first. PHP without an opening tag doesn't
+count as PHP.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +26,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..durable import cut
 
@@ -56,9 +61,19 @@ NAME, NUMBER, STRING, VARIABLE, KEYWORD, PUNCT = "n", "0", "s", "v", "k", "p"
 CONFLICT = re.compile(r"(?:<{7}|>{7}|\|{7})(?: [^\n]*)?$|={7}$", re.M)
 
 
+#: Between a state's place and its stack of open brackets (T: template text; J: inside a tag; C: between tags).
+MARK = "\x1f"
+
+
+def stacked(state: str) -> str:
+    """The stack that a state holds."""
+    return state.partition(MARK)[2]
+
+
 @dataclass(slots=True)
 class Summary:
-    """What a chunk needs and leaves. state is '' for the ordinary state; last is its last operator or word, 'x' for any other token."""
+    """What a chunk needs and leaves. state is '' for the ordinary state, else where in a token the chunk ends and, after
+    a mark, the open brackets, templates and tags; last is its last operator or word, 'x' for any other token."""
 
     need: str = ""
     left: str = ""
@@ -71,6 +86,8 @@ class Summary:
     def then(self, other: Summary) -> Summary:
         """This chunk followed by `other`, which must have been read from this one's state."""
         left, need, error = self.left, self.need, self.error or other.error
+        held = sum(map(stacked(self.state).count, "([{"))
+        left = left[: len(left) - held]  # what the state holds is part of what `other` leaves
         top = self.top or (other.top if not left and not need else "")
         for c in other.need:
             if not left:
@@ -96,7 +113,7 @@ _TOKENS = {
     "javascript": r"(?P<w>[A-Za-z_$\u0080-￿#][\w$]*)|(?P<d>\d[\w.]*|\.\d\w*)|(?P<s>\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*')|(?P<c>//[^\n]*|/\*[\s\S]*?\*/)|(?P<l>\n)|(?P<b>[(){}\[\]])|(?P<p>=>|\.\.\.|\?\.|&&|\|\||\?\?|[-+]{2}|[=!]==?|[<>]=|[-+*/%&|^]=|[^\s\w])",
     "go": rf"(?P<w>{_ID})|(?P<d>\d[\w.]*|\.\d\w*)|(?P<s>\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`|'(?:[^'\\\n]|\\(?:[0-7]{{3}}|x[0-9a-fA-F]{{2}}|u[0-9a-fA-F]{{4}}|U[0-9a-fA-F]{{8}}|[^\n]))')|(?P<c>//[^\n]*|/\*[\s\S]*?\*/)|(?P<l>\n)|(?P<b>[(){{}}\[\]])|(?P<p>:=|\.\.\.|<-|&&|\|\||[-+]{{2}}|[=!<>]=|[^\s\w])",
     "rust": rf"(?P<s>b?\"(?:[^\"\\]|\\[\s\S])*\"|b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{{2}}|u\{{[0-9a-fA-F_]+\}}|[^\n]))'|(?:br|r|cr)(?P<h>#*)\"[\s\S]*?\"(?P=h))|(?P<w>(?:r\#)?{_ID})|(?P<d>\d(?:[\w]|\.\d)*)|(?P<c>//[^\n]*|/\*)|(?P<l>\n)|(?P<b>[(){{}}\[\]])|(?P<t>'{_ID})|(?P<p>::|->|=>|\.\.[.=]?|&&|\|\||[=!<>]=|[^\s\w])",
-    "php": rf"(?P<s>\"(?:[^\"\\]|\\[\s\S])*\"|'(?:[^'\\]|\\[\s\S])*'|`[^`]*`)|(?P<h><<<[ \t]*(?P<q>[\"']?)(?P<m>\w+)(?P=q)\n)|(?P<v>\${_ID})|(?P<w>\\?{_ID}(?:\\{_ID})*)|(?P<d>\d[\w.]*|\.\d\w*)|(?P<c>//(?:(?!\?>)[^\n])*|\#(?!\[)(?:(?!\?>)[^\n])*|/\*[\s\S]*?\*/)|(?P<l>\n)|(?P<b>[(){{}}\[\]])|(?P<p>\?>|\?->|->|=>|::|\.\.\.|&&|\|\||\?\?|[-+]{{2}}|[=!]==?|[<>]=|[^\s\w])",
+    "php": rf"(?P<s>\"(?:[^\"\\]|\\[\s\S])*\"|'(?:[^'\\]|\\[\s\S])*'|`[^`]*`)|(?P<h><<<[ \t]*(?P<q>[\"']?)(?P<m>\w+)(?P=q)(?:\n|\Z))|(?P<v>\${_ID})|(?P<w>\\?{_ID}(?:\\{_ID})*)|(?P<d>\d[\w.]*|\.\d\w*)|(?P<c>//(?:(?!\?>)[^\n])*|\#(?!\[)(?:(?!\?>)[^\n])*|/\*[\s\S]*?\*/)|(?P<l>\n)|(?P<b>[(){{}}\[\]])|(?P<p>\?>|\?->|->|=>|::|\.\.\.|&&|\|\||\?\?|[-+]{{2}}|[=!]==?|[<>]=|[^\s\w])",
 }
 _MATCH = {family: re.compile(p).match for family, p in _TOKENS.items()}
 _SPACE = re.compile(r"[ \t\r\f\v ﻿]+")
@@ -132,10 +149,8 @@ class _Lexer:
         self.markup = language == "tsx" or (language == "javascript" and not path.lower().endswith((".mjs", ".cjs")))
 
     def enter(self) -> tuple[int, str]:
-        """Where ordinary code begins, and the state if it doesn't."""
-        t, s = self.text, self.state
-        if not s:
-            return 0, ""
+        """Where code begins, and in what state if it doesn't."""
+        t, s = self.text, self.state.partition(MARK)[0]
         if s.startswith("comment"):
             depth = int(s[7:] or 1)
             if self.family != "rust":
@@ -146,12 +161,10 @@ class _Lexer:
                 if not depth:
                     return m.end(), ""
             return len(t), f"comment{depth}"
-        if s.startswith("until "):
-            m = re.search(s[6:], t)
-            return (m.end(), "") if m else (len(t), s)
-        if s == "html":
-            m = re.search(r"<\?(?:php\b|=)", t)
-            return (m.end(), "") if m else (len(t), s)
+        for mark, rx in (("until ", s[6:]), ("html", r"<\?(?:php\b|=)")):
+            if s.startswith(mark):
+                m = re.search(rx, t)
+                return (m.end(), "") if m else (len(t), s)
         return 0, s
 
     def run(self) -> Summary:
@@ -166,14 +179,23 @@ class _Lexer:
                 at = first.end()
         elif not self.state and text.startswith("#!") and not text.startswith("#!["):
             at = (text.find("\n") + 1) or n
-        if state:
-            out.state = state
-            return out
-        stack: list[str] = []  # brackets; T: template text; J: inside a tag; C: between tags
+        stack = list(stacked(self.state))  # brackets and templates and tags
         kinds: list[str] = []  # Go: what each brace is
         prev, value, before, line, fresh = "", "", "", True, True
-        questions = [0]
+        questions = [0] * (1 + sum(x in "([{" for x in stack))
         error = ""
+        if state in ("template", "markup"):
+            at, error = (self.template(at, stack), "") if state == "template" else self.tags(at, stack)
+            out.state = state if at < 0 and not error else ""
+            if at > 0 and text[at - 1] == "{" and stack[-1:] == ["{"]:
+                prev, value = PUNCT, "{"
+                questions.append(0)
+            else:
+                prev, value = STRING, "``" if state == "template" else "<>"
+        elif state:
+            out.state = state
+        if out.state or error:
+            at = n
         tight = family in ("rust", "php")
         members = ("->", "?->", "::") if family == "php" else (".", "?.")
         free = 0  # Rust: the bracket that opened a macro's own tokens
@@ -401,8 +423,8 @@ class _Lexer:
             fresh = token == ";"
             prev, line = now, False
             value = token if now != KEYWORD else bare
-        if not error and not out.state and any(x in "TJC" for x in stack):
-            out.state = "nested"
+        if not error and any(x in "TJC" for x in stack):
+            out.state += MARK + "".join(stack)
         out.left = "".join(x for x in stack if x in "([{")
         out.error = error
         out.last = value if prev in (PUNCT, KEYWORD) else "x" if prev else ""
@@ -472,14 +494,15 @@ class _Lexer:
         return at, ""
 
 
-def compose(parts: list[Summary]) -> Summary | None:
-    """The summary of consecutive chunks; None if one of them must be read from another state than the ordinary one."""
-    whole = parts[0] if parts else Summary()
-    for p in parts[1:]:
-        if whole.state:
-            return None
-        whole = whole.then(p)
-    return whole
+def compose(maps: list[dict[str, Summary]], state: str = "") -> tuple[Summary | None, str]:
+    """(summary of consecutive chunks entered in `state`, ''); or (None, the state that a chunk must yet be read from)."""
+    whole = None
+    for m in maps:
+        part = m.get(whole.state if whole else state)
+        if part is None:
+            return None, whole.state if whole else state
+        whole = whole.then(part) if whole else part
+    return whole or Summary(state=state), ""
 
 
 def verdict(language: str, whole: Summary) -> str:
@@ -500,17 +523,16 @@ def verdict(language: str, whole: Summary) -> str:
 #: Lines of a file that are composed in one task before the file is.
 STRIDE = 50_000
 _FIELDS = ("need", "left", "state", "error", "top", "tag", "last")
-_PART = "struct<start:int,id:string,need:string,`left`:string,state:string,error:string,`top`:string,tag:boolean,`last`:string>"
+_SUMMARY = "need string, `left` string, state string, error string, `top` string, tag boolean, `last` string"
+_MAP = "struct<" + _SUMMARY.replace(" ", ":").replace(",:", ",") + ">"
 
 
-def _distinct(parts: list[dict]) -> list[dict]:
-    """Each chunk once, with a line if any delivery has one, in line order."""
-    by: dict[str, dict] = {}
-    for p in parts:
-        old = by.get(p["id"])
-        if old is None or old["start"] is None and p["start"] is not None:
-            by[p["id"]] = p
-    return sorted(by.values(), key=lambda p: (p["start"] is not None, p["start"] or 0, p["id"]))
+def settled(chunks: DataFrame, bound: int) -> DataFrame:
+    """Chunks with the first line that any delivery gives, where it is `bound` or beyond and a delivery gives none; for
+    others it makes no difference. Only ids and lines of such chunks are brought together."""
+    far = chunks.where(F.col("start_line").isNull() | (F.col("start_line") >= bound)).groupBy("file_id", "id").agg(F.min("start_line").alias("__first"), F.count_if(F.col("start_line").isNull()).alias("__n"))
+    few = far.where("__n > 0 and __first is not null").drop("__n")
+    return chunks.join(few, ["file_id", "id"], "left").withColumn("start_line", F.coalesce("start_line", "__first")).drop("__first")
 
 
 def _known(chunks: DataFrame, languages: DataFrame) -> DataFrame:
@@ -519,58 +541,98 @@ def _known(chunks: DataFrame, languages: DataFrame) -> DataFrame:
     names = languages.where(F.col("language").isin(list(FAMILY))).select(F.lower("extension").alias("__e"), F.col("language").alias("__language")).distinct()
     few = names.count() <= 1000  # broadcast only if it is as small as it should be
     text = F.coalesce("content", F.lit(""))
-    return chunks.withColumn("__e", extension).join(F.broadcast(names) if few else names, "__e").select("file_id", "id", "repo", F.col("__language").alias("language"), F.col("start_line").alias("start"), F.trim("path").alias("path"), text.alias("content"))
+    named = settled(chunks.select("file_id", "id", "repo", "path", "start_line", "content"), STRIDE).withColumn("__e", extension).join(F.broadcast(names) if few else names, "__e")
+    return named.select("file_id", "id", "repo", F.col("__language").alias("language"), F.col("start_line").alias("start"), F.trim("path").alias("path"), text.alias("content"))
 
 
-def invalid_files(chunks: DataFrame, languages: DataFrame) -> DataFrame:
-    """(file_id, repo, language, reason) for each file of a known language; reason is null for valid files."""
-    known = _known(chunks, languages)
+def _maps(rows: list[dict]) -> list[dict[str, Summary]]:
+    """The maps of chunks (or strides), each once, in line order, from rows of one entry state each."""
+    by: dict[str, tuple[list, dict]] = {}
+    for r in rows:
+        key, found = by.setdefault(r["id"], ([r["start"]], {}))
+        key.append(r["start"])
+        found[r["entry"]] = Summary(*(r["x"][f] for f in _FIELDS))
+    first = lambda lines: min((x for x in lines if x is not None), default=None)
+    placed = [((n := first(lines)) is not None, n or 0, k, found) for k, (lines, found) in by.items()]
+    return [found for *_, found in sorted(placed, key=lambda p: p[:3])]
+
+
+def _read(known: DataFrame) -> DataFrame:
+    """(file_id, id, repo, language, start, entry, x): each chunk's summary from the state `entry`."""
 
-    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [lex(g, t, "", p or "") for g, p, t in zip(*(b.column(k).to_pylist() for k in (3, 5, 6)))]
-            columns = [pa.array([getattr(x, f) for x in found], pa.bool_() if f == "tag" else pa.string()) for f in _FIELDS]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(5)), *columns], ["file_id", "id", "repo", "language", "start", *_FIELDS])
+            found = [lex(g, t, e, p or "") for g, p, t, e in zip(*(b.column(k).to_pylist() for k in ("language", "path", "content", "entry")))]
+            x = pa.StructArray.from_arrays([pa.array([getattr(y, f) for y in found], pa.bool_() if f == "tag" else pa.string()) for f in _FIELDS], list(_FIELDS))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("file_id", "id", "repo", "language", "start", "entry")), x], ["file_id", "id", "repo", "language", "start", "entry", "x"])
+
+    return known.mapInArrow(run, f"file_id bigint, id string, repo string, language string, start int, entry string, x {_MAP}")
+
 
-    parts = known.mapInArrow(summarise, "file_id bigint, id string, repo string, language string, start int, need string, `left` string, state string, error string, `top` string, tag boolean, `last` string")
-    stride = F.coalesce((F.col("start") / STRIDE).cast("int"), F.lit(0)).alias("__s")
-    grouped = parts.groupBy("file_id", stride).agg(F.max("repo").alias("repo"), F.max("language").alias("language"), F.collect_set(F.struct("start", "id", *_FIELDS)).alias("parts"))
+def _judge(parts: DataFrame) -> DataFrame:
+    """(file_id, repo, language, reason, want): a verdict on each file, or the state that its chunks must be read from."""
+    stride = F.coalesce((F.col("start") / STRIDE).cast("int"), F.lit(0)).alias("stride")
+    grouped = parts.groupBy("file_id", stride).agg(F.max("repo").alias("repo"), F.max("language").alias("language"), F.collect_set(F.struct("start", "id", "entry", "x")).alias("rows"))
+    kind = f"array<struct<start:int,id:string,entry:string,want:string,x:{_MAP}>>"
+    row_type = to_arrow_type(StructType.fromDDL(f"map {kind}")["map"].dataType)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The map of each stride, over the states that its chunks have been read from."""
         for b in batches:
-            rows = []
-            for parts in b.column("parts").to_pylist():
-                ordered = _distinct(parts)
-                whole = compose([Summary(*(p[f] for f in _FIELDS)) for p in ordered])
-                first = ordered[0]
-                rows.append({"start": first["start"], "id": first["id"]} | ({f: getattr(whole, f) for f in _FIELDS} if whole else {f: None for f in _FIELDS}))
-            yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("repo"), b.column("language"), pa.array(rows, b.schema.field("parts").type.value_type)], ["file_id", "repo", "language", "part"])
+            out = []
+            for n, rows in zip(b.column("stride").to_pylist(), b.column("rows").to_pylist()):
+                maps, own = _maps(rows), []
+                for e in sorted({r["entry"] for r in rows}):
+                    whole, want = compose(maps, e)
+                    own.append({"start": n, "id": str(n), "entry": e, "want": want, "x": {f: getattr(whole, f) for f in _FIELDS} if whole else None})
+                out.append(own)
+            yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("repo"), b.column("language"), pa.array(out, row_type)], ["file_id", "repo", "language", "map"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            reasons, again = [], []
-            for language, parts in zip(b.column("language").to_pylist(), b.column("parts").to_pylist()):
-                ordered = _distinct(parts)
-                whole = None if any(p["need"] is None for p in ordered) else compose([Summary(*(p[f] for f in _FIELDS)) for p in ordered])
+            reasons, wants = [], []
+            for language, lists in zip(b.column("language").to_pylist(), b.column("maps").to_pylist()):
+                whole, want = _through([r for own in lists for r in own])
                 reasons.append(verdict(language, whole) or None if whole else None)
-                again.append(whole is None)
-            yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("repo"), b.column("language"), pa.array(reasons, pa.string()), pa.array(again, pa.bool_())], ["file_id", "repo", "language", "reason", "again"])
+                wants.append(want if whole is None else None)
+            yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("repo"), b.column("language"), pa.array(reasons, pa.string()), pa.array(wants, pa.string())], ["file_id", "repo", "language", "reason", "want"])
+
+    strides = grouped.mapInArrow(reduce, f"file_id bigint, repo string, language string, map {kind}")
+    files = strides.groupBy("file_id").agg(F.max("repo").alias("repo"), F.max("language").alias("language"), F.collect_list("map").alias("maps"))
+    return files.mapInArrow(judge, "file_id bigint, repo string, language string, reason string, want string")
+
+
+def _through(rows: list[dict]) -> tuple[Summary | None, str]:
+    """compose() over strides of which some have no summary yet from some states."""
+    by: dict[int, dict[str, dict]] = {}
+    for r in rows:
+        by.setdefault(r["start"], {})[r["entry"]] = r
+    whole = None
+    for n in sorted(by):
+        state = whole.state if whole else ""
+        r = by[n].get(state)
+        if r is None:
+            return None, state
+        if r["x"] is None:
+            return None, r["want"]
+        part = Summary(*(r["x"][f] for f in _FIELDS))
+        whole = whole.then(part) if whole else part
+    return whole, ""
 
-    strides = grouped.select("file_id", "repo", "language", "parts").mapInArrow(reduce, f"file_id bigint, repo string, language string, part {_PART}")
-    files = strides.groupBy("file_id").agg(F.max("repo").alias("repo"), F.max("language").alias("language"), F.collect_list("part").alias("parts"))
-    judged = cut(files.mapInArrow(judge, "file_id bigint, repo string, language string, reason string, again boolean")).df
-    rest = judged.where("again").select("file_id")
 
-    def reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            reasons = []
-            for language, path, parts in zip(*(b.column(k).to_pylist() for k in ("language", "path", "parts"))):
-                whole = lex(language, "\n".join(p["content"] for p in _distinct(parts)), "", path or "")
-                reasons.append(verdict(language, whole) or None)
-            yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("repo"), b.column("language"), pa.array(reasons, pa.string())], ["file_id", "repo", "language", "reason"])
-
-    texts = known.join(rest, "file_id", "left_semi").groupBy("file_id").agg(F.max("repo").alias("repo"), F.max("language").alias("language"), F.max("path").alias("path"), F.collect_set(F.struct("start", "id", "content")).alias("parts"))
-    return judged.where("not again").drop("again").unionByName(texts.mapInArrow(reread, "file_id bigint, repo string, language string, reason string"))
+def invalid_files(chunks: DataFrame, languages: DataFrame) -> DataFrame:
+    """(file_id, repo, language, reason) for each file of a known language; reason is null for valid files."""
+    known = _known(chunks, languages)
+    parts = cut(_read(known.withColumn("entry", F.lit("")))).df
+    judged = cut(_judge(parts)).df
+    done = [judged.where("want is null")]
+    while not (wanted := judged.where("want is not null").select("file_id", F.col("want").alias("entry"))).isEmpty():
+        # The same state is never wanted twice, and a file's chunks end in finitely many.
+        more = cut(_read(known.join(wanted, "file_id"))).df
+        parts = cut(parts.join(wanted.select("file_id"), "file_id", "left_semi").unionByName(more)).df
+        judged = cut(_judge(parts)).df
+        done.append(judged.where("want is null"))
+    return functools.reduce(DataFrame.unionByName, done).drop("want")
 
 
 def rates(files: DataFrame) -> DataFrame:

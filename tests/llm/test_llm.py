@@ -331,16 +331,47 @@ def test_syntax(language):
         assert syntax.verdict(language, syntax.lex(language, text)), text
 
 
-def test_summaries_compose():
-    """Cut at any line between ordinary states, the parts compose to the whole; elsewhere they ask to be read again."""
-    for language, texts in VALID.items():
-        for text in texts:
-            lines = text.split("\n")
-            for k in range(1, len(lines)):
-                parts = [syntax.lex(language, "\n".join(p)) for p in (lines[:k], lines[k:])]
-                whole = syntax.compose(parts)
-                if whole is not None and language != "php":
-                    assert not syntax.verdict(language, whole), (language, k, whole)
+@pytest.mark.parametrize("language", list(VALID))
+def test_summaries_compose(language):
+    """Cut at any one or two lines, also within comments, literals, templates and markup, valid texts stay valid; what
+    doesn't close, closes nothing or ends in a literal stays invalid."""
+    for text in VALID[language]:
+        lines = text.split("\n")
+        cuts = [(k,) for k in range(1, len(lines))] + [(k, k + 2) for k in range(1, len(lines) - 2)]
+        for at in cuts:
+            whole = None
+            for lo, hi in zip((0, *at), (*at, len(lines))):
+                part = syntax.lex(language, "\n".join(lines[lo:hi]), whole.state if whole else "")
+                whole = whole.then(part) if whole else part
+            assert syntax.verdict(language, whole) == ("no opening tag" if language == "php" and not text else ""), (at, whole)
+    more = {"javascript": ["f(`a\n${g({\n", "a = `x ${b(`y\n${c}`)\n} z`)"], "tsx": ["const a = <B\n c={d}>\n e {f(\n", "const a = (<B>\n{x}\n</B>\n"], "php": ["<?php\n$a = 'x\ny';\nf(\n", "<?php\n$a = <<<E\n{\nEE\n"], "rust": ["fn f() {\n/* x /* y\n*/ }\n", 'fn f() {\nlet a = "x\n}"; }}\n'], "go": ["package p\nvar a = `x\n}`\nfunc f() {\n"]}
+    for text in more.get(language, []):
+        lines = text.split("\n")
+        for k in range(1, len(lines)):
+            whole = syntax.lex(language, "\n".join(lines[:k]))
+            whole = whole.then(syntax.lex(language, "\n".join(lines[k:]), whole.state))
+            assert syntax.verdict(language, whole) and syntax.verdict(language, syntax.lex(language, text)), (text, k)
+
+
+def test_files_are_read_from_the_states_they_reach(spark, monkeypatch):
+    """A file in many chunks and strides, with chunks that begin within every sort of token, is judged like the whole."""
+    monkeypatch.setattr(syntax, "STRIDE", 4)
+    languages = spark.createDataFrame([(".js", "javascript"), (".tsx", "tsx"), (".php", "php"), (".rs", "rust")], "extension string, language string")
+    texts = [
+        ("a.js", "f(`one\n${g({\n/* two {\n*/ a: `\n${h}\n`\n})}\nthree`);\n/*\n)\n*/\nlet x = `\n(\n`;\n"), ("b.js", "f(`one\n${g({\n/* two {\n*/ a: `\n${h}\n`\n})\nthree`);\n"), ("c.tsx", "const a = (\n<B\nc={d}\n>\nit's {f(\n<i>\nx</i>)}\n</B>\n);\n"),
+        ("d.php", "<?php\n$a = 'x\n(\ny';\n?>\n<p>it's (\n</p>\n<?php f(<<<E\n{\nE\n);\n"), ("e.rs", "fn f() {\n/* a /* b\n*/ {\n*/\nlet s = \"x\n}\";\n}\n"), ("f.rs", "fn f() {\n/* a /* b\n*/ {\n*/\nlet s = \"x\n}\";\n"),
+    ]
+    rows = []
+    for k, (path, text) in enumerate(texts):
+        lines = text.split("\n")
+        for n, line in enumerate(lines, 1):
+            rows += [(f"{k}-{n:02}", k, "r", path, n, line)] + ([(f"{k}-{n:02}", k, "r", path, None, line)] if n % 3 == 0 else [])
+    df = spark.createDataFrame(rows, "id string, file_id bigint, repo string, path string, start_line int, content string")
+    got = {r.file_id: r.reason for r in syntax.invalid_files(df, languages).collect()}
+    assert {k: bool(v) for k, v in got.items()} == {0: False, 1: True, 2: False, 3: False, 4: False, 5: True}, got
+    for k, (path, text) in enumerate(texts):
+        g = {"js": "javascript", "tsx": "tsx", "php": "php", "rs": "rust"}[path[2:]]
+        assert bool(syntax.verdict(g, syntax.lex(g, text, "", path))) == bool(got[k])
 
 
 def test_invalid_files(spark):
@@ -366,9 +397,9 @@ def test_truncated_outside_brackets():
     for language, texts in {"javascript": ["const x =", "let a = b +", "f();\nclass"], "go": ["package p\n\nvar x =", "package p\nfunc"], "rust": ["use a::", "fn f() {}\npub fn"], "php": ["<?php\n$a =", "<?php\nfunction"]}.items():
         for text in texts:
             assert syntax.verdict(language, syntax.lex(language, text)), text
-            assert syntax.verdict(language, syntax.compose([syntax.lex(language, text), syntax.lex(language, "\n// end\n")])), text
-    parts = [syntax.lex("javascript", "const x ="), syntax.lex("javascript", "3;\n")]
-    assert not syntax.verdict("javascript", syntax.compose(parts))
+            assert syntax.verdict(language, syntax.lex(language, text).then(syntax.lex(language, "\n// end\n"))), text
+    parts = [{"": syntax.lex("javascript", x)} for x in ("const x =", "3;\n")]
+    assert not syntax.verdict("javascript", syntax.compose(parts)[0]) and syntax.compose(parts, "comment") == (None, "comment")
 
 
 # ------------------------------------------------------------------ 8, 9
