@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from ..durable import cut
+from ..durable import Cut, cut
 
 CLOSES = {")": "(", "]": "[", "}": "{"}
 
@@ -527,12 +527,23 @@ _SUMMARY = "need string, `left` string, state string, error string, `top` string
 _MAP = "struct<" + _SUMMARY.replace(" ", ":").replace(",:", ",") + ">"
 
 
+#: Rows of ids, lines and states that a broadcast may have; more go by an ordinary join.
+BROADCAST = 100_000
+
+
+def _small(table: Cut) -> DataFrame:
+    """The table, for a broadcast if it is small: then the texts that it is joined with stay where they are."""
+    return F.broadcast(table.df) if table.rows <= BROADCAST else table.df
+
+
 def settled(chunks: DataFrame, bound: int) -> DataFrame:
     """Chunks with the first line that any delivery gives, where it is `bound` or beyond and a delivery gives none; for
     others it makes no difference. Only ids and lines of such chunks are brought together."""
     far = chunks.where(F.col("start_line").isNull() | (F.col("start_line") >= bound)).groupBy("file_id", "id").agg(F.min("start_line").alias("__first"), F.count_if(F.col("start_line").isNull()).alias("__n"))
-    few = far.where("__n > 0 and __first is not null").drop("__n")
-    return chunks.join(few, ["file_id", "id"], "left").withColumn("start_line", F.coalesce("start_line", "__first")).drop("__first")
+    few = cut(far.where("__n > 0 and __first is not null").drop("__n"))
+    if not few.rows:
+        return chunks
+    return chunks.join(_small(few), ["file_id", "id"], "left").withColumn("start_line", F.coalesce("start_line", "__first")).drop("__first")
 
 
 def _known(chunks: DataFrame, languages: DataFrame) -> DataFrame:
@@ -626,10 +637,10 @@ def invalid_files(chunks: DataFrame, languages: DataFrame) -> DataFrame:
     parts = cut(_read(known.withColumn("entry", F.lit("")))).df
     judged = cut(_judge(parts)).df
     done = [judged.where("want is null")]
-    while not (wanted := judged.where("want is not null").select("file_id", F.col("want").alias("entry"))).isEmpty():
-        # The same state is never wanted twice, and a file's chunks end in finitely many.
-        more = cut(_read(known.join(wanted, "file_id"))).df
-        parts = cut(parts.join(wanted.select("file_id"), "file_id", "left_semi").unionByName(more)).df
+    # The same state is never wanted twice, and a file's chunks end in finitely many.
+    while (wanted := cut(judged.where("want is not null").select("file_id", F.col("want").alias("entry")))).rows:
+        more = cut(_read(known.join(_small(wanted), "file_id"))).df
+        parts = cut(parts.join(wanted.df.select("file_id"), "file_id", "left_semi").unionByName(more)).df
         judged = cut(_judge(parts)).df
         done.append(judged.where("want is null"))
     return functools.reduce(DataFrame.unionByName, done).drop("want")
