@@ -33,11 +33,6 @@ def fact_rank(certainty: Column, origin: Column) -> Column:
     return F.when(certainty == "proved", 3).when(origin != "tree-sitter", 2).otherwise(1)
 
 
-def union_citations(a: Column, b: Column) -> Column:
-    """Distinct citations of both, by path then lines as text."""
-    return F.array_sort(F.array_union(a, b))
-
-
 def merge_by_requirement(rules: DataFrame, group: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """Rules of a group with the same requirement made one: the first rule's fields, all rules' distinct citations.
 

@@ -3,7 +3,8 @@
 heavy_keys() finds a superset of the keys above a share of the rows with a frequent-item sketch (bounded: fewer than
 2 / share items, whatever the data) and counts only those exactly. skew_join() sends the rows of heavy keys through a
 broadcast join with the few matching rows of the other side and all other rows through an ordinary shuffle, then unions
-the two. per_key() gives per-key results, heavy keys in two salted steps, the rest in an ordinary aggregation.
+the two. per_key() gives per-key results: sums and maxima combine before the shuffle whatever the key; distinct values of heavy
+keys are spread by key and value first, those of other keys are counted in an ordinary aggregation.
 
 Defined results: a null key is a key of its own in heavy_keys() and per_key() and matches nothing in skew_join().
 Empty input gives empty output with the same schema.
@@ -17,9 +18,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Heavy keys' rows are spread over so many tasks for each multiple of the share.
-SALTS = 64
-
 
 def heavy_keys(df: DataFrame, columns: Sequence[str], share: float) -> DataFrame:
     """(field, key_value, n_rows): values of each column on more than `share` of all rows of `df`.

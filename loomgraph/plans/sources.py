@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import cut
 from ..functions import exprs as X
 from ..operators import chunks, graph, render
 from ..sources import scanners
@@ -22,7 +23,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed(f: DataFrame) -> DataFrame:
-    return scanners.parse_files(f.withColumnRenamed("text", "content"))
+    return cut(scanners.parse_files(f.withColumnRenamed("text", "content"))).df  # parsed once, whatever reads it
 
 
 @query()
