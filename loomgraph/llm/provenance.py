@@ -34,6 +34,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -44,17 +45,18 @@ from ..durable import cut
 from .syntax import WORDS, settled
 
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
-_COMMENT = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|(?m:^\s*#(?![\[!])[^\n]*)")
+#: A # alone in the first column is a token.
+_COMMENT = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|(?m:^[\t-\r\x1c- ]\s*#(?![\[!])[^\n]*|^#(?![\[!])[^\n]+)")
 _NAME = re.compile(r"[A-Za-z_$\u0080-￿][\w$]*")
 _NUMBER = re.compile(r"\d[\w.]*")
-_BLANK = re.compile(r"\s+")
 #: Lines of a dump whose quotes lie elsewhere; heredocs and Rust's raw strings.
 _DUMP = r"\n[ \t]*(?:[A-Za-z0-9+/=]{40,}|(?:[0-9A-Fa-f]{2,16}[ ,]+){8,}[^\n]*)[\\,;\"'` \t\r]*(?=\n|\Z)"
-_LONG = r"<<<[ \t]*([\"']?)(\w+)\1\r?\n[\s\S]*?(?m:^)[ \t]*\2\b|\bb?r(#*)\"[\s\S]*?\"\3"
-_REST = rf"{_NAME.pattern}|{_NUMBER.pattern}|[(){{}}\[\].,;:=<>+*&|!?-]|{_COMMENT.pattern}|{_DUMP}|{_STRING.pattern}|\S"
+_LONG = r"<<<[ \t]*(?P<q>[\"']?)(?P<end>\w+)(?P=q)\r?\n[\s\S]*?(?m:^)[ \t]*(?P=end)\b|\bb?r(?P<raw>#*)\"[\s\S]*?\"(?P=raw)"
+#: What is a token is in the group; comments are matched without it.
+_REST = rf"{_COMMENT.pattern}|(?P<token>{_NAME.pattern}|{_NUMBER.pattern}|[(){{}}\[\].,;:=<>+*&|!?-]|{_DUMP}|{_STRING.pattern}|\S)"
 _TOKEN = re.compile(_REST)
-_TOKEN_OR_LONG = re.compile(rf"{_LONG}|{_REST}")
-_LONG_BEGINS = re.compile(r"<<<|\bb?r#*\"")
+_TOKEN_OR_LONG = re.compile(rf"(?P<long>{_LONG})|{_REST}")
+_RAW_BEGINS = re.compile(r"r(?:(?<=\br)|(?<=\bbr))#*\"")
 _WORD = re.compile(r"\b[^\W\d]{3,24}\b")
 #: How notices of generation and of provenance are worded.
 GENERATED_NOTICE = re.compile(r"code generated by|do not (?:edit|modify)|@generated\b|auto-?generated\b|(?:produced|generated|created) automatically|automatically (?:produced|generated|created)|(?:généré|produit|créé)e? automatiquement|ne pas (?:modifier|éditer)|automatisch (?:generiert|erzeugt|erstellt)|nicht (?:bearbeiten|ändern|editieren)|generad[oa] automáticamente|no (?:editar|modificar)|gerad[oa] automaticamente|não (?:editar|modificar|edite)|changes? (?:\w+ )*(?:will be|is|are) (?:lost|overwritten)", re.I)
@@ -95,27 +97,47 @@ class _Classes(dict):
 
 
 _CLASSES = _Classes()
-_MAYBE_COMMENT = frozenset("/# \t\r\f\v\n")
 _LITERAL_BEGINS = frozenset("\"'`\n0123456789")
 
 
-def _is_comment(t: str) -> bool:
-    return len(t) > 1 and (t[0] == "/" and t[1] in "/*" or t[0] == "#") or t.lstrip()[:1] == "#" and t[:1] != "#"
-
-
 def tokens_of(text: str) -> list[str]:
     """The tokens of a source text, comments and blanks left out. A dump's line begins with its newline."""
-    if _LONG_BEGINS.search(text):
-        found = [m[0] for m in _TOKEN_OR_LONG.finditer("\n" + text)]
-        found = ['"' + t + '"' if len(t) > 4 and (t[:3] == "<<<" or t[-1] in '"#' and t[0] in "br") else t for t in found]
+    if "<<<" in text or ('r"' in text or "r#" in text) and _RAW_BEGINS.search(text):
+        found = [m["token"] or (t := m["long"]) and ('"' + t + '"' if len(t) > 4 else t) for m in _TOKEN_OR_LONG.finditer("\n" + text)]
     else:
         found = _TOKEN.findall("\n" + text)
-    return [t for t in found if t[0] not in _MAYBE_COMMENT or not _is_comment(t)]
+    return list(filter(None, found))
+
+
+class _Codes(dict):
+    """A number for each token, remembered: a hash (names have the bit NAMED), above it the structural token, then LITERAL."""
+
+    def __missing__(self, token: str) -> int:
+        code = zlib.crc32(token.encode("utf-8", "replace"))
+        if _NAME.match(token) and token not in _KEYWORDS:
+            code |= NAMED
+        code |= ord(_CLASSES[token[0]]) << CODE_BITS
+        if token[0] in _LITERAL_BEGINS:
+            code |= LITERAL
+        if len(self) > 500_000:
+            self.clear()
+        self[token] = code
+        return code
 
 
-def structure(tokens: list[str]) -> bytes:
+_CODES = _Codes()
+_KEYWORDS = frozenset(w for words in WORDS.values() for w in words.split())
+NAMED, CODE_BITS, LITERAL = 1 << 33, 34, 1 << 42
+
+
+def coded(tokens: list[str]) -> np.ndarray:
+    """The numbers of tokens."""
+    return np.fromiter(map(_CODES.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+
+
+def structure(codes: np.ndarray) -> bytes:
     """The structural tokens, a byte each."""
-    return "".join([_CLASSES[t[0]] for t in tokens]).encode("latin-1", "replace")
+    return (codes >> CODE_BITS).astype(np.uint8).tobytes()
 
 
 def _pairs_taken(rank: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -134,6 +156,26 @@ def _pairs_taken(rank: np.ndarray, at: np.ndarray) -> np.ndarray:
     return take
 
 
+def _pairs_counted(at: np.ndarray, symbols: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs that begin at `at`, symbols under `size`, those that occur twice: (where they begin, pair by pair, the
+    first of each pair among these, how often each occurs). Pairs are in order, and so is where each begins."""
+    name, place = size.bit_length(), len(symbols).bit_length()
+    if 2 * name + place <= 63:  # pair and place in one number sort several times faster than places by pair
+        both = ((symbols[at] << name | symbols[at + 1]) << place) | at
+        both.sort()
+        key, at = both >> place, both & ((1 << place) - 1)
+    else:
+        key = symbols[at] * np.int64(size) + symbols[at + 1]
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[order]
+    again = np.zeros(len(key) + 1, dtype=bool)
+    again[1:-1] = key[1:] == key[:-1]
+    twice = again[1:] | again[:-1]
+    first = np.flatnonzero(~again[:-1][twice])
+    at = at[twice]
+    return at, first, np.diff(first, append=len(at))
+
+
 def re_pair(sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For each sequence: (bits of its grammar, largest share that one long rule's uses cover).
 
@@ -143,72 +185,64 @@ def re_pair(sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """
     k = len(sequences)
     sizes = np.array([len(s) for s in sequences], dtype=np.int64)
-    bits, share, rules = np.zeros(k), np.zeros(k), np.zeros(k, dtype=np.int64)
-    symbols = np.frombuffer(b"".join(sequences), dtype=np.uint8).astype(np.int64)
+    share = np.zeros(k)
     owner = np.repeat(np.arange(k), sizes)
+    # each sequence has symbols of its own, numbered by byte, then by rule
+    symbols = owner * 256 + np.frombuffer(b"".join(sequences), dtype=np.uint8)
+    present = np.bincount(symbols, minlength=1) > 0
+    symbols = (np.cumsum(present) - 1)[symbols]
+    whose = [np.flatnonzero(present) >> 8]
+    next_symbol = terminals = len(whose[0]) if len(symbols) else 0
     spans = np.ones(len(symbols), dtype=np.int64)
-    next_symbol = 256
-
-    def settle(done: np.ndarray) -> None:
-        """Account for the sequences of which no pair occurs twice any more."""
-        own, name = owner[done], symbols[done]
-        if len(own):
-            _, first, times = np.unique(own * np.int64(next_symbol) + name, return_index=True, return_counts=True)
-            of = own[first]
-            rest = np.bincount(own, minlength=k)
-            np.add.at(bits, of, times * np.log2(rest[of] / times))
-
-    while len(symbols):
-        at = np.flatnonzero(owner[1:] == owner[:-1])
-        key = (owner[at] * np.int64(next_symbol) + symbols[at]) * np.int64(next_symbol) + symbols[at + 1]
-        _, back, count = np.unique(key, return_inverse=True, return_counts=True)
-        often = count[back]
+    # A pair is live while it occurs twice. One that doesn't never will again, whatever its sides become, and a symbol
+    # between two such is final; it is set aside.
+    live = np.zeros(len(symbols), dtype=bool)
+    live[:-1] = owner[1:] == owner[:-1]
+    final = []
+    while True:
+        at, first, count = _pairs_counted(np.flatnonzero(live), symbols, next_symbol)
+        pair = np.repeat(np.arange(len(count)), count)
+        of = owner[at[first]]
         most = np.zeros(k, dtype=np.int64)
-        np.maximum.at(most, owner[at], often)
-        good = (often >= 2) & (often * 2 >= most[owner[at]])
-        g, back_g = at[good], back[good]
+        np.maximum.at(most, of, count)
+        worth = np.where(count * 2 >= most[of], count * (len(count) + 1) + np.arange(len(count)), -1)
         rank = np.full(len(symbols) + 1, -1, dtype=np.int64)
-        rank[g] = often[good] * np.int64(len(count) + 1) + back_g
-        taken = _pairs_taken(rank, g) if len(g) else np.zeros(0, dtype=bool)
-        g, back_g = g[taken], back_g[taken]
-        lone = np.bincount(back_g, minlength=len(count))[back_g] < 2 if len(g) else taken[:0]
-        g, back_g = g[~lone], back_g[~lone]  # a pair of which overlaps left one use saves nothing
-        going = np.zeros(k, dtype=bool)
-        going[owner[g]] = True
-        done = ~going[owner]
-        settle(done)
+        rank[at] = worth[pair]
+        g = np.flatnonzero(rank >= 0)
+        g = g[_pairs_taken(rank, g)] if len(g) else g
+        back_g = rank[g] % (len(count) + 1)
+        times = np.bincount(back_g, minlength=len(count))
+        saves = times[back_g] >= 2  # a pair of which overlaps left one use saves nothing
+        g, back_g = g[saves], back_g[saves]
         if not len(g):
             break
-        used, name, times = np.unique(back_g, return_inverse=True, return_counts=True)
-        width = spans[g] + spans[g + 1]
-        rules += np.bincount(owner[g][np.unique(name, return_index=True)[1]], minlength=k)
-        long = (width >= RULE_TOKENS) & (times[name] >= RULE_USES)
-        np.maximum.at(share, owner[g][long], (times[name] * width / sizes[owner[g]])[long])
-        symbols[g] = next_symbol + name
+        used = times >= 2
+        whose.append(of[used])
+        width, uses = spans[g] + spans[g + 1], times[back_g]
+        long = (width >= RULE_TOKENS) & (uses >= RULE_USES)
+        np.maximum.at(share, owner[g][long], (uses * width / sizes[owner[g]])[long])
+        symbols[g] = next_symbol + (np.cumsum(used) - 1)[back_g]
         spans[g] = width
-        keep = ~done
-        keep[g + 1] = False
-        symbols, owner, spans = symbols[keep], owner[keep], spans[keep]
-        next_symbol += len(used)
-    return bits + 16 * rules, share
-
-
-class _Codes(dict):
-    """A number for each token, remembered; names have the bit NAMED."""
-
-    def __missing__(self, token: str) -> int:
-        code = zlib.crc32(token.encode("utf-8", "replace"))
-        if _NAME.match(token) and token not in _KEYWORDS:
-            code |= NAMED
-        if len(self) > 500_000:
-            self.clear()
-        self[token] = code
-        return code
-
-
-_CODES = _Codes()
-_KEYWORDS = frozenset(w for words in WORDS.values() for w in words.split())
-NAMED = 1 << 33
+        next_symbol += len(whose[-1])
+        going = np.zeros(k, dtype=bool)
+        going[owner[g]] = True
+        live[:] = False
+        live[at] = True
+        live[g] = live[g + 1]
+        keep = live.copy()
+        keep[1:] |= live[:-1]
+        keep &= going[owner]
+        gone = ~keep
+        gone[g + 1] = keep[g + 1] = False
+        final.append(symbols[gone])
+        keep = np.flatnonzero(keep)
+        symbols, owner, spans, live = symbols[keep], owner[keep], spans[keep], live[keep]
+    times = np.bincount(np.concatenate([*final, symbols]), minlength=next_symbol)
+    name, of = np.flatnonzero(times), np.concatenate(whose)
+    rules = np.bincount(of[terminals:], minlength=k)
+    times, of = times[name], of[name]
+    rest = np.bincount(of, times, minlength=k)
+    return np.bincount(of, times * np.log2(rest[of] / times), minlength=k) + 16.0 * rules, share
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -259,15 +293,14 @@ def common_rules(codes: np.ndarray, owner: np.ndarray, least: int) -> tuple[np.n
     return owner[kept], symbols[kept]
 
 
-def stretches(texts: list[list[str]]) -> list[list[int]]:
-    """For each list of tokens the hashes of its shared rules; see common_rules().
+def stretches(texts: list[np.ndarray]) -> list[list[int]]:
+    """For each text's numbers of tokens the hashes of its shared rules; see common_rules().
 
     Even hashes are of tokens with their names. Odd ones tell a name by how far back it stood last, so a copy with other
     names has them too; they are longer. A text under LEAST_TOKENS tokens has none.
     """
-    lists = [np.fromiter(map(_CODES.__getitem__, t), dtype=np.int64, count=len(t)) for t in texts]
-    lists = [c if len(c) >= LEAST_TOKENS else c[:0] for c in lists]
-    codes = np.concatenate(lists) if lists else np.zeros(0, dtype=np.int64)
+    lists = [c if len(c) >= LEAST_TOKENS else c[:0] for c in texts]
+    codes = np.concatenate(lists) & ((1 << CODE_BITS) - 1) if lists else np.zeros(0, dtype=np.int64)
     owner = np.repeat(np.arange(len(lists)), [len(c) for c in lists])
     if not len(codes):
         return [[] for _ in texts]
@@ -307,10 +340,10 @@ def phrases(comment: str) -> list[int]:
     return sorted(int.from_bytes(hashlib.blake2b(p.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) for p in found)
 
 
-def literals(tokens: list[str]) -> tuple[bytes, float, int]:
+def literals(tokens: list[str], codes: np.ndarray) -> tuple[bytes, float, int]:
     """Of all literals, blanks dropped: (their bytes, bits by entropy of characters, characters in words)."""
-    found = "\n".join([t for t in tokens if t[0] in _LITERAL_BEGINS])
-    raw = _BLANK.sub("", found).encode("utf-8", "replace")
+    found = "\n".join(compress(tokens, (codes & LITERAL).tolist()))
+    raw = "".join(found.split()).encode("utf-8", "replace")
     if not raw:
         return b"", 0.0, 0
     n = np.bincount(np.frombuffer(raw, dtype=np.uint8))
@@ -320,9 +353,12 @@ def literals(tokens: list[str]) -> tuple[bytes, float, int]:
 
 def evidence(texts: list[str], notices: bool = True) -> dict[str, list]:
     """What each text (a file or a segment of one) shows, as sums that add up over segments."""
-    found = [tokens_of(t) for t in texts]
-    tokens = [structure(t) for t in found]
-    held = [literals(t) for t in found]
+    codes, held = [], []
+    for t in texts:  # the tokens of one text at a time, so that they lie in the same memory
+        found = tokens_of(t)
+        codes.append(coded(found))
+        held.append(literals(found, codes[-1]))
+    tokens = [structure(c) for c in codes]
     bits, share = re_pair(tokens + [raw for raw, _, _ in held])
     heads = [head(t) for t in texts]
     return {
@@ -339,7 +375,7 @@ def evidence(texts: list[str], notices: bool = True) -> dict[str, list]:
         "generated": [notices and bool(GENERATED_NOTICE.search(h)) for h in heads],
         "vendored": [notices and bool(VENDORED_NOTICE.search(h)) for h in heads],
         "phrases": [phrases(h) for h in heads],
-        "stretches": stretches(found),
+        "stretches": stretches(codes),
     }
 
 
