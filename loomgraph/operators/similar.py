@@ -1,8 +1,8 @@
 """Near-duplicate word sets: an exact Jaccard join over classes of equal sets, and what reports ask of it.
 
-Equal sets are one class, so copies are never paired with each other while joining. Classes meet by length and by their
-rarest words; see near_classes(). Reports (the closest pairs, how many there are) are worked out from the classes and
-their sizes; only similar_sets() lists all pairs of rows.
+Equal sets are one class, so copies are never paired with each other while joining. Classes meet by their rarest words;
+see regions.py. Reports (the closest pairs, how many there are) are worked out from the classes and their sizes; only
+similar_sets() lists all pairs of rows.
 
 Defined results: an empty set is in no class; a row delivered twice with one set is one row.
 """
@@ -10,14 +10,20 @@ Defined results: an empty set is in no class; a row delivered twice with one set
 from __future__ import annotations
 
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..durable import cut
+from . import regions
 
-#: A word that so many sets of like length have at most is a key by itself.
-RARE = 16
+#: A word that so many sets have at most is a key by itself; others are keys with the words after them.
+RARE = 128
+#: Keys counted to be those of more sets than this are divided by further words.
+LARGE = 1024
+#: The finest fraction that a threshold is taken for.
+FINEST = 10**6
 
 
 @dataclass
@@ -29,47 +35,25 @@ class Near:
 
 
 def near_classes(sets: DataFrame, row: str = "row", words: str = "words", threshold: float = 0.8) -> Near:
-    """Classes of equal sets and the pairs of classes with a Jaccard similarity of at least `threshold` (<= 0 means 0.8).
-
-    A set of n words is similar only to sets of t n to n / t words, so sets meet in spaces of like length: a set is in
-    that of its own length class, where the longer of a pair looks, and in that of the next. In a space, words are
-    ordered by how rare they are. A pair that needs k words in common shares k of the first |A| - ceil(t |A|) + k words
-    of each. For t above one half two distinct sets need two words, so the first word that a pair shares is its key if
-    the word is rare, and with the second if it isn't; below, single words are keys. A long text has few texts of like
-    length, so its words are rare and its keys few. Candidates are counted exactly.
-    """
+    """Classes of equal sets and the pairs of classes with a Jaccard similarity of at least `threshold` (<= 0 means 0.8)."""
     t = threshold if threshold > 0 else 0.8
-    own = sets.select(F.col(row).alias("row"), F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))).alias("w")).where(F.size("w") > 0)
-    keyed = cut(own.select("row", "w", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), F.col("w")).alias("h2")))
-    reps = cut(keyed.df.groupBy("h1", "h2").agg(F.min("row").alias("id"), F.first("w").alias("w"))).df
-    members = keyed.df.select("row", "h1", "h2").distinct().join(reps.select("h1", "h2", "id"), ["h1", "h2"]).select("id", "row")
-    n = F.size("w")
-    length = F.floor(F.log(n) / F.log(F.lit(1 / t)) + 1e-9).cast("int") if t < 1 else n
-    placed = reps.select("id", length.alias("class"), "w").select("id", "class", F.explode(F.array("class", F.col("class") + 1)).alias("space"), F.explode("w").alias("word"))
-    often = placed.groupBy("space", "word").agg(F.count("*").alias("f"))
-    ranked = placed.join(often, ["space", "word"]).groupBy("space", "id").agg((F.first("class") == F.first("space")).alias("long"), F.array_sort(F.collect_list(F.struct("f", "word"))).alias("fw"))
-    k = 2 if t > 0.5 else 1
-    size = F.size("fw")
-    head = ranked.select("space", "id", "long", size.alias("n"), F.slice("fw", F.lit(1), size - F.ceil(size * F.lit(t) - 1e-9).cast("int") + k).alias("head"))
-    # `miss` of the words before a key's last one are not shared.
-    one = lambda x, i: F.array(F.struct(F.xxhash64("space", x["word"]).alias("key"), i.alias("miss")))
-    if k == 2:
-        rest = lambda i: F.slice("head", i + 2, F.greatest(F.size("head") - i - 1, F.lit(0)))
-        two = lambda x, i: F.transform(rest(i), lambda y, j: F.struct(F.xxhash64("space", x["word"], y["word"]).alias("key"), (i + j).alias("miss")))
-        keys = F.flatten(F.transform("head", lambda x, i: F.when(x["f"] <= RARE, one(x, i)).otherwise(two(x, i))))
-    else:
-        keys = F.flatten(F.transform("head", one))
-    at = head.select("id", "n", "long", F.explode(keys).alias("x")).select("id", "n", "long", "x.key", "x.miss")
-    l, r = at.where("long").alias("l"), at.alias("r")
-    need = F.ceil((F.col("l.n") + F.col("r.n")) * F.lit(t / (1 + t)) - 1e-6)
-    fits = F.expr("l.key = r.key and (l.n > r.n or l.n = r.n and l.id < r.id)") & (F.col("r.n") >= F.col("l.n") * t - 1e-9) & (F.col("l.n") - F.col("l.miss") >= need) & (F.col("r.n") - F.col("r.miss") >= need)
-    met = l.join(r, fits).select(F.least("l.id", "r.id").alias("ia"), F.greatest("l.id", "r.id").alias("ib")).distinct()
-    wa, wb = reps.select(F.col("id").alias("ia"), F.col("w").alias("wa")), reps.select(F.col("id").alias("ib"), F.col("w").alias("wb"))
-    both = F.size(F.array_intersect("wa", "wb"))
-    sized = met.join(wa, "ia").join(wb, "ib").select("ia", "ib", (both / (F.size("wa") + F.size("wb") - both)).alias("similarity"))
+    own = sets.select(F.col(row).alias("row"), F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))).alias("words")).where(F.size("words") > 0)
+    keyed = cut(own.select("row", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), F.col("words")).alias("h2"), "words"))
+    reps = cut(keyed.df.groupBy("h1", "h2").agg(F.min("row").alias("id"), F.first("words").alias("words")))
+    members = keyed.df.select("row", "h1", "h2").distinct().join(reps.df.select("h1", "h2", "id"), ["h1", "h2"]).select("id", "row")
+    met = regions.near_pairs(reps, _fraction(t), RARE, LARGE)
+    sized = met.select(F.col("a").alias("ia"), F.col("b").alias("ib"), (F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap"))).alias("similarity"))
     return Near(members, cut(sized.where(F.col("similarity") >= t)).df)
 
 
+def _fraction(t: float) -> tuple[int, int]:
+    """`t` as a fraction of integers; beyond six decimals, the next one below."""
+    whole = Fraction(str(t))
+    if whole.denominator > FINEST:
+        whole = Fraction(max(1, int(whole * FINEST)), FINEST)
+    return whole.numerator, whole.denominator
+
+
 def _row_pairs(near: Near, pairs: DataFrame) -> DataFrame:
     """(a, b, similarity), a < b, of all pairs of members of one class and of the classes of `pairs`."""
     ra, rb = near.members.select(F.col("id").alias("ia"), F.col("row").alias("ra")), near.members.select(F.col("id").alias("ib"), F.col("row").alias("rb"))

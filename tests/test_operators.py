@@ -2,8 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from loomgraph import durable
 from loomgraph.operators import checks, graph, joins, merge, similar, skew
 from loomgraph.operators import model as M
 
@@ -104,6 +107,22 @@ def test_frequent_words_are_keys_in_pairs(spark, monkeypatch):
     test_similar_sets_equal_brute_force(spark)
 
 
+@pytest.mark.parametrize("query", ["duplicates_intra_cross"])
+def test_duplicate_reports_keep_sets_whole(spark, monkeypatch, query):
+    """No cut of a report is made by exploding words and joining them one by one."""
+    plans = []
+    monkeypatch.setattr(similar, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or durable.cut(df))
+    entry.queries()[query](spark, "/root/testdata/sf0.001")
+    assert plans and not [p for p in plans if "explode" in p]
+
+
+def test_thresholds_as_fractions():
+    assert [similar._fraction(t) for t in (0.8, 0.4, 1.0)] == [(4, 5), (2, 5), (1, 1)]
+    for t in (1 / 3, 0.87654321, 1e-9):
+        p, q = similar._fraction(t)
+        assert 0 < q <= similar.FINEST and p > 0 and (p / q <= t < (p + 1) / q or p == 1)
+
+
 def test_merges(spark):
     cols = "id string, certainty string, origin string, pos int, v string"
     a = spark.createDataFrame([("x", "static", "tree-sitter", 0, "a"), ("y", "proved", "tree-sitter", 1, "b"), ("y", "proved", "tree-sitter", 2, "c")], cols)
