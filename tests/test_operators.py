@@ -107,7 +107,7 @@ def test_frequent_words_are_keys_in_pairs(spark, monkeypatch):
     test_similar_sets_equal_brute_force(spark)
 
 
-@pytest.mark.parametrize("query", ["duplicates_intra_cross"])
+@pytest.mark.parametrize("query", ["duplicates_intra_cross", "near_duplicates"])
 def test_duplicate_reports_keep_sets_whole(spark, monkeypatch, query):
     """No cut of a report is made by exploding words and joining them one by one."""
     plans = []
