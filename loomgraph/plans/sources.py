@@ -17,6 +17,7 @@ from .relations import RULES, first_delivery
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, language, text): files put together from their distinct chunks, with ids as paths."""
     c = load(spark, sf_dir, "chunks").select("file_id", "id", "path", F.coalesce("start_line", F.lit(0)).alias("start"), F.coalesce("content", F.lit("")).alias("content"))
+    c = c.repartition("file_id")  # the one exchange of the texts, for both groupings
     once = c.groupBy("file_id", "id").agg(F.max("path").alias("path"), F.max("start").alias("start"), F.min("content").alias("content"))
     whole = once.groupBy("file_id").agg(F.max(F.trim("path")).alias("p"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "id", "content"))), lambda x: x["content"]), "\n").alias("text"))
     return whole.select(F.concat("p", F.lit("#"), F.col("file_id").cast("string")).alias("path"), X.language_of(F.col("p")).alias("language"), "text")
@@ -42,8 +43,8 @@ def source_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def source_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of all source files, by definition or by window."""
-    f = files(spark, sf_dir)
-    return chunks.chunk_files(f, _parsed(f)).select("path", "id", "start_line", "end_line", "language", "namespace", "domain", F.length("content").alias("n_chars"), "context_start")
+    whole = scanners.parse_files(files(spark, sf_dir).withColumnRenamed("text", "content"), "content").withColumnRenamed("content", "text")
+    return chunks.chunk_parsed(whole).select("path", "id", "start_line", "end_line", "language", "namespace", "domain", F.length("content").alias("n_chars"), "context_start")
 
 
 @query()

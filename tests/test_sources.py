@@ -1,8 +1,10 @@
 import json
+import random
 import sys
 
 import pytest
 
+import __spark_entry__ as entry
 from loomgraph import plain_yaml
 from loomgraph.config import ConfigError, resolve
 from loomgraph.operators import chunks, render
@@ -97,6 +99,34 @@ def test_chunks(spark):
     assert f["symbol.a.php#m0:7"]["container"] == "Big" and f["module.p"] == {"name": "p", "language": "go"}
 
 
+def test_chunk_spans_equal_loops():
+    rng = random.Random(7)
+    inside = lambda o, x: o != x and o[0] <= x[0] and x[1] <= o[1]
+    for _ in range(300):
+        spans = [(a := rng.randint(1, 40), a + rng.randint(0, 30)) for _ in range(rng.randint(0, 12))]
+        want = set()
+        for t in {x for x in spans if not any(inside(o, x) for o in spans)}:
+            held = {x for x in spans if inside(t, x)} if t[1] - t[0] + 1 > 8 else set()
+            parts = {x for x in held if not any(inside(o, x) for o in held)}
+            first = min((x[0] for x in parts), default=t[0])
+            want |= {(*x, *((t[0], first - 1) if first > t[0] else (None, None))) for x in parts or {t}}
+        got = chunks.spans_of(spans, 8)
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_part_of_two_spans_is_given_once_for_each(spark):
+    files = spark.createDataFrame([("p", "go", "\n".join(map(str, range(1, 601))))], "path string, language string, text string")
+    spans = [{"start_line": a, "end_line": b} for a, b in ((1, 400), (200, 600), (250, 300))]
+    parsed = spark.createDataFrame([("p", spans, [{"name": "m", "start_line": 260}, {"name": "k", "start_line": 10}])], "path string, definitions array<struct<start_line:int,end_line:int>>, modules array<struct<name:string,start_line:int>>").selectExpr("path", "'go' as language", "definitions", "modules")
+    got = chunks.chunk_files(files, parsed, max_lines=100).collect()
+    assert sorted((r.start_line, r.end_line, r.context_start, r.context[:3], r.namespace) for r in got) == [(250, 300, 1, "1\n2", "k"), (250, 300, 200, "200", "k")]
+
+
+def test_source_chunks_move_texts_once(spark):
+    plan = entry.queries()["source_chunks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 def test_tree(spark, tmp_path):
     for name, data in (("a/x.PHP", b"<?php"), ("a-b/_y.go", b""), ("b.bin", b"\0"), ("é.txt", "é".encode()), ("latin.txt", b"\xe9" * 9), (".h/z", b"z"), ("node_modules/q.js", b"q")):
         (tmp_path / name).parent.mkdir(exist_ok=True)
